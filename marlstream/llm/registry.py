@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_rules",)
+MODULES = ("url_rules", "tool_chat")
 
 
 def _modules():
