@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_rules", "tool_chat", "language")
+MODULES = ("url_rules", "tool_chat", "language", "pieces")
 
 
 def _modules():
