@@ -63,15 +63,15 @@ def _earliest(rows: DataFrame, keep: list[str]) -> DataFrame:
 def depths(links: DataFrame) -> DataFrame:
     """(call_id, depth, dangling) from unique rows (call_id, after): how many calls must come before each; null in
     and behind a cycle."""
-    found = links.select("call_id", F.col("after").alias("hop")).join(links.select(F.col("call_id").alias("hop"), F.lit(1).alias("there")), "hop", "left")
-    state = written(
-        found.select(
-            "call_id",
-            F.when(F.col("there").isNotNull(), F.col("hop")).alias("hop"),
-            F.coalesce(F.col("there"), F.lit(0)).cast("long").alias("depth"),
-            (F.col("hop").isNotNull() & F.col("there").isNull()).alias("dangling"),
-        )
+    first = links.where(F.col("after").isNull()).select("call_id", F.lit(None).cast(links.schema["after"].dataType).alias("hop"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("dangling"))
+    found = links.where(F.col("after").isNotNull()).select("call_id", F.col("after").alias("hop")).join(links.select(F.col("call_id").alias("hop"), F.lit(1).alias("there")), "hop", "left")
+    later = found.select(
+        "call_id",
+        F.when(F.col("there").isNotNull(), F.col("hop")).alias("hop"),
+        F.coalesce(F.col("there"), F.lit(0)).cast("long").alias("depth"),
+        F.col("there").isNull().alias("dangling"),
     )
+    state = written(first.unionByName(later))
     rounds = math.ceil(math.log2(state.count() + 1)) + 1
     for _ in range(rounds):
         if state.where(F.col("hop").isNotNull()).isEmpty():
