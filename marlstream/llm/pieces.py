@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstream.llm.arrow_text import batches_of
 from marlstream.llm.common import table
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, text: str = "text", ids: str
     """docs with a column of ids, an empty array for a null text; the other columns stay."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     rest = [c for c in docs.columns if c != ids]
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(ids, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         t = _transducer(model)
@@ -262,7 +263,7 @@ def round_trips(docs: DataFrame, path: str = MODEL_PATH, with_ids: bool = False)
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     schema = docs.select("doc_id").schema.add("n_tokens", "long").add("n_bytes", "long").add("ids_sha256", "string").add("round_trip", "boolean")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         t = _transducer(model)
