@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies")
+MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies", "line_copies")
 
 
 def _modules():
