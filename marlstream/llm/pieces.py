@@ -12,7 +12,7 @@ the text has one state that can be reached, and the search carries one state for
 whose pieces all have one score, are merged directly.
 
 No piece has U+2581 inside or a line feed, so texts are composed part by part, and the parts seen most lately are
-kept, MAX_KEPT of them at most.
+kept, twice MAX_KEPT of them at most.
 
 Defined cases: a null text stays null when decoded and has no ids, an empty text has no ids and decodes to itself;
 bytes that are no UTF-8 decode to U+FFFD each; a text's own U+2581 decodes to a space, as in the library itself;
@@ -37,7 +37,7 @@ from marlstream.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_KEPT = 400_000
+MAX_KEPT = 250_000
 BATCH_BYTES = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -111,15 +111,21 @@ class Transducer:
         self.vocabulary = v
         self.ids = {p: i for i, p in enumerate(v.pieces) if v.kinds[i] in (NORMAL, USER)}
         self.weights = [-s for s in v.scores]
-        self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(v.pieces) if v.kinds[i] == BYTE}
         self.unknown_id = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
         self.surface = [v.unknown.encode() if k == UNKNOWN else b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
         inside = any(SPACE in p.strip(SPACE) or p.rstrip(SPACE) not in ("", p) for p in self.ids)
         feed = any("\n" in p for p in self.ids)
         self.part = re.compile(r"(?s).+" if inside else r"(?s)[ ▁]+[^ ▁]*|[^ ▁]+" if feed else r"\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.arcs: list[dict[int, bool]] = [{} for _ in v.pieces]
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for char in p:
+                node = node.setdefault(char, {})
+            node[""] = i
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that are left when neighbours are merged by score, the leftmost first among equals."""
@@ -136,12 +142,8 @@ class Transducer:
 
     def follows(self, a: int, b: int) -> bool:
         """If there is an arc from the state of piece a to that of piece b."""
-        if a == self.FALLBACK or b == self.FALLBACK:
-            return True
-        known = self.pairs.get((a, b))
-        if known is None:
-            x, y = self.vocabulary.pieces[a], self.vocabulary.pieces[b]
-            known = self.pairs[a, b] = self.merged(x + y) == [x, y]
+        x, y = self.vocabulary.pieces[a], self.vocabulary.pieces[b]
+        self.arcs[a][b] = known = self.merged(x + y) == [x, y]
         return known
 
     def fallback(self, char: str) -> list[int]:
@@ -152,28 +154,31 @@ class Transducer:
         if SPACE + SPACE in text:
             parts = self.merged(text)
             return [i for p in parts for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-        ids, weights, follows, pairs, n = self.ids, self.weights, self.follows, self.pairs, len(text)
-        last, start, cost = [self.FALLBACK] * (n + 1), [0] * (n + 1), [0.0] + [float("inf")] * n
-        for end in range(1, n + 1):
-            least, arc, source = float("inf"), None, 0
-            for begin in range(max(0, end - self.longest), end):
-                piece = ids.get(text[begin:end])
+        weights, arcs, follows, n = self.weights, self.arcs, self.follows, len(text)
+        last, start, cost = [None] * (n + 1), [0] * (n + 1), [float("inf")] * (n + 1)
+        last[0], cost[0] = self.FALLBACK, 0.0
+        for begin in range(n):
+            before, so_far, node = last[begin], cost[begin], self.trie
+            if before is None:
+                continue
+            known = arcs[before] if before >= 0 else None
+            for end in range(begin, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                piece = node.get("")
                 if piece is None:
                     continue
-                before = last[begin]
-                if before is None:
-                    continue
-                if before >= 0:
-                    may = pairs.get((before, piece))
+                if known is not None:
+                    may = known.get(piece)
                     if may is None:
                         may = follows(before, piece)
                     if not may:
                         continue
-                if cost[begin] + weights[piece] < least:
-                    least, arc, source = cost[begin] + weights[piece], piece, begin
-            if arc is None and text[end - 1] not in ids and last[end - 1] is not None:
-                least, arc, source = cost[end - 1], self.FALLBACK, end - 1
-            last[end], start[end], cost[end] = arc, source, least
+                if so_far + weights[piece] < cost[end + 1]:
+                    last[end + 1], start[end + 1], cost[end + 1] = piece, begin, so_far + weights[piece]
+            if text[begin] not in self.ids and so_far < cost[begin + 1]:
+                last[begin + 1], start[begin + 1], cost[begin + 1] = self.FALLBACK, begin, so_far
         path, at = [], n
         while at:
             path.append([last[at]] if last[at] >= 0 else self.fallback(text[at - 1]))
@@ -183,14 +188,16 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        kept, out = self.kept, []
+        out = []
         for part in self.part.findall(" " + text if self.vocabulary.dummy_prefix else text):
-            packed = kept.get(part)
+            packed = self.kept.get(part)
             if packed is None:
-                packed = np.array(self.shortest(part.replace(" ", SPACE)), "<u4").tobytes()
-                if len(kept) >= MAX_KEPT:
-                    kept.clear()
-                kept[part] = packed
+                packed = self.older.get(part)
+                if packed is None:
+                    packed = np.array(self.shortest(part.replace(" ", SPACE)), "<u4").tobytes()
+                if len(self.kept) >= MAX_KEPT:
+                    self.older, self.kept = self.kept, {}
+                self.kept[part] = packed
             out.append(packed)
         return b"".join(out)
 
