@@ -6,10 +6,11 @@
 2. Band buckets with more than one class give candidates. No bucket emits all pairs: first each member is paired
    with the bucket's smallest id. Pairs whose signatures agree too little to be links are dropped, the others are
    verified on the full sets. Verified links make components (large-star and small-star).
-3. A bucket whose members are then in several components may hide links between them. Small such buckets emit the
-   pairs between components. Documents of buckets with more than MANY components go through an exact prefix
-   filter instead: with each set's shingles in order of rarity, two sets that are similar enough share one among
-   the first n - ceil(0.75 n) + 1; so a passage common to many otherwise different documents makes no candidates.
+3. A bucket whose members are then in several components may hide links between them. Its documents go through an
+   exact prefix filter: with each set's shingles in order of rarity, two sets of x and y shingles that are similar
+   enough have ceil(0.75 / 1.75 (x + y)) in common, so they share one early in that order, at places that leave
+   enough shingles behind both. Keys are made for each pair of size classes, so that most documents of a large
+   group of nearly similar ones emit none, and a passage common to many otherwise different documents none at all.
 4. All verified links together make the final components.
 
 At a similarity of 0.75 a pair shares no band with a probability of 1e-6; signatures lose one in 1e9.
@@ -35,7 +36,8 @@ from marlstream.llm.hashing import LOWER, coefficients, mixed, sequence_hashes,
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
-MANY = 40
+#: sizes within one class differ by this factor at most
+CLASS = 1.05
 BATCH_BYTES = 2 << 20
 #: agreement of signatures below which a pair can't be a link: 0.75 less six standard deviations
 LEAST_AGREEMENT = 0.75 - 6 * (0.75 * 0.25 / (BANDS * ROWS)) ** 0.5
@@ -137,31 +139,48 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return written(likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_similar, "u long, v long"))
 
 
-def _prefix_pairs(ids: DataFrame, where: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs of an exact prefix filter among the documents ids (rep); where: (rep, component)."""
-    sets = shingle_sets(docs.select("doc_id", "text").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    unpack = lambda batches: (
-        pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column("doc_id").to_pylist(), np.int64), (size := np.diff(utf8(b.column("shingles"))[1]) // 8))), pa.array(np.frombuffer(utf8(b.column("shingles"))[0].tobytes(), np.int64))], ["rep", "shingle"])
-        for b in batches
-    )
-    rows = written(sets.mapInArrow(unpack, "rep long, shingle long"))
-    common = written(rows.groupBy("shingle").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
-    ranked = rows.join(common, "shingle", "left").select("rep", F.struct(F.coalesce("n_docs", F.lit(1)).alias("n_docs"), "shingle").alias("s"))
-    size = F.size("all")
-    first = ranked.groupBy("rep").agg(F.sort_array(F.collect_list("s")).alias("all")).select("rep", F.explode(F.slice("all", F.lit(1), size - F.ceil(size * PERCENT / 100).cast("int") + 1)).alias("s"))
-    shared = first.where("s.n_docs > 1").select("rep", F.col("s.shingle").alias("key")).join(where, "rep")
-    return _between(written(shared))
+def _shingle_rows(docs: DataFrame) -> DataFrame:
+    """(rep, shingle), a row for each element of each set."""
 
+    def run(batches):
+        for whole in batches:
+            for batch in batches_of(whole, "text", BATCH_BYTES):
+                sets = list(_sets(*utf8(batch.column("text"))))
+                reps = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(sets).astype(np.int64))], ["rep", "shingle"])
 
-def _between(members: DataFrame) -> DataFrame:
-    """Pairs of reps of (rep, key, component) that share a key and are in different components."""
-    x, y = members.alias("x"), members.alias("y")
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
+
+
+def _prefix_pairs(open_docs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) by an exact prefix filter among open_docs (rep, n, component), not within a component."""
+    texts = docs.join(open_docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    rows = written(_shingle_rows(texts).distinct())
+    common = written(rows.groupBy("shingle").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
+    share = PERCENT / (100 + PERCENT)
+    n, place = F.col("n"), F.col("n") - F.size("shared") + F.col("at") + 1
+    early = (
+        rows.join(common, "shingle")
+        .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n_docs", "shingle"))).alias("shared"))
+        .join(open_docs, "rep")
+        .select("rep", "n", "component", "shared", F.posexplode("shared").alias("at", "s"))
+        .select("rep", "n", "component", F.col("s.shingle").alias("shingle"), place.alias("place"))
+        .where(F.col("place") <= n - F.ceil(n * PERCENT / 100) + 1)
+    )
+    number = lambda x: F.floor(F.log(x) / F.log(F.lit(CLASS)) + 1e-9)
+    partner = F.explode(F.sequence(number(n * PERCENT / 100) - 1, number(n * 100 / PERCENT) + 1))
+    smallest = F.pow(F.lit(CLASS), F.col("other")) * (1 - 1e-6)
+    keyed = early.withColumn("class", number(n)).withColumn("other", partner).where(F.col("place") <= n - F.ceil(share * (n + smallest)) + 1)
+    key = ["shingle", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high")]
+    keyed = written(keyed.select("rep", "n", "component", "place", *key))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    together = 1 + F.least(nx - F.col("x.place"), ny - F.col("y.place"))
     return (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-        .select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-        .distinct()
-    )
+        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+               & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ((100 + PERCENT) * together >= PERCENT * (nx + ny)))
+        .select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
+    )
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -175,15 +194,10 @@ def groups(docs: DataFrame) -> DataFrame:
     members = written(rows.join(shared.drop("size"), "key"))
     links = verified(members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct(), classes, docs)
     found = components(links)
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
-    placed = written(placed)
-    apart = placed.groupBy("key").agg(F.approx_count_distinct("component", 0.01).alias("about"), F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b"))
-    apart = written(placed.join(apart.select("key", (F.col("about") > MANY).alias("hot")), "key"))
-    pairs = _between(apart.where("NOT hot").drop("hot"))
-    hot = apart.where("hot").select("rep", "component").distinct()
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(hot.select("rep"), hot, docs)).distinct()
-    more = verified(written(pairs), classes, docs)
+    placed = written(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component")))
+    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    open_docs = written(placed.join(apart, "key", "left_semi").select("rep", "component").distinct().join(classes.select("rep", "n"), "rep"))
+    more = verified(written(_prefix_pairs(open_docs, docs)), classes, docs)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     copies = classes.where("size > 1").select("fp1", "fp2", "rep")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies", "line_copies", "leaks")
+MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies", "line_copies", "leaks", "word_repeats")
 
 
 def _modules():
