@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
+from marlstream.session import ship
+
 MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies", "line_copies", "leaks", "word_repeats")
 
 
@@ -11,14 +14,24 @@ def _modules():
     return [importlib.import_module(f"marlstream.llm.{name}") for name in MODULES]
 
 
+def shipped(f):
+    """A query or stage whose executors are given this package first."""
+
+    @functools.wraps(f)
+    def run(spark, *rest):
+        ship(spark)
+        return f(spark, *rest)
+
+    return run
+
+
 def queries() -> dict:
     found = {}
     for module in _modules():
-        found |= module.QUERIES
+        found |= {name: shipped(f) for name, f in module.QUERIES.items()}
     import corpus_pipeline
 
-    if corpus_pipeline.STAGES:
-        found["pipeline"] = corpus_pipeline.run
+    found["pipeline"] = corpus_pipeline.run
     return found
 
 
