@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from marlstream.plans import search  # noqa: F401
+    from marlstream.plans import relational, scalars, search  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +49,17 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, or where that is unset, as in tests, a new one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a frame as Parquet to the shared folder and reads it back: what reads it twice gets the same rows in the
+    same tasks' order, and a lost executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/marlstream-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
