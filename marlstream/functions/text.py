@@ -248,7 +248,7 @@ def age(then: Column, now: Column) -> Column:
 
 def clean_leaf(column: Column) -> Column:
     """Last segment, between dots or angle brackets, that isn't blank; empty if there is none."""
-    parts = F.filter(F.transform(F.split(column, "[.>]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(column, "[.>]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
