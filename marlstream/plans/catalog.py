@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstream.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
 
+def _shipped(f: Query) -> Query:
+    """The query, whose executors are given this package first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Decorator: adds a query, and its SQL twin where there is one."""
 
     def add(f: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = f
+        _QUERIES[name] = _shipped(f)
         if sql is not None:
             _ORACLE[name] = sql
         return f
@@ -30,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from marlstream.plans import relational, scalars, search  # noqa: F401
+    from marlstream.plans import content, relational, scalars, search  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -68,7 +68,12 @@ def missing_sections(spark, sf_dir):
 # --- joins ------------------------------------------------------------------------------------------------------
 
 
-@register("ordered_children", "SELECT o_custkey, i - 1 AS pos, o_orderkey, o_totalprice FROM (SELECT o_custkey, ks, unnest(range(1, len(ks) + 1)) AS i FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1)) x LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON o.o_orderkey = ks[i]".replace("SELECT o_custkey, i - 1 AS pos, o_orderkey,", "SELECT x.o_custkey, (i - 1)::INTEGER AS pos, ks[i] AS o_orderkey,"))
+@register(
+    "ordered_children",
+    """SELECT x.o_custkey, (i - 1)::INTEGER AS pos, ks[i] AS o_orderkey, o_totalprice
+    FROM (SELECT o_custkey, ks, unnest(range(1, len(ks) + 1)) AS i FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ks FROM orders GROUP BY 1)) x
+    LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON o.o_orderkey = ks[i]""",
+)
 def ordered_children(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     parents = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
@@ -150,7 +155,7 @@ _TYPES = "SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^h
 def self_join_parent(spark, sf_dir):
     own = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "").alias("type")).distinct()
     nodes = own.union(own.select(F.regexp_replace("type", "/[^/]+$", ""))).distinct()
-    return lookup.by_parent_type(nodes, "type").select("type", F.when(F.col("parent_type").isin("") == F.lit(False), F.col("parent_type")).alias("p")).join(nodes.withColumnRenamed("type", "p").withColumn("parent", F.col("p")), "p", "left").select("type", "parent")
+    return lookup.by_parent_type(nodes.withColumn("own", F.col("type")), "type").select("type", F.col("parent_own").alias("parent"))
 
 
 @register("cross_locales", "SELECT n_nationkey, n_name, l AS locale FROM nation CROSS JOIN (VALUES ('en'), ('de'), ('fr')) v(l)")

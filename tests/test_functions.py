@@ -114,3 +114,37 @@ def test_numbering_over_many_tasks(spark):
     df = spark.range(1000).repartition(7)
     assert [r.n for r in windows.numbered(df, ["id"]).orderBy("id").collect()] == list(range(1, 1001))
     assert windows.numbered(df.where("id < 0"), ["id"]).collect() == []
+
+
+def test_node_queries_agree(spark, sf_dir):
+    """The flat nodes of a page hold the text that the parser gives."""
+    from marlstream.plans import catalog
+
+    found = catalog.queries()
+    nodes = found["richtext_nodes"](spark, sf_dir).where("text IS NOT NULL").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    joined = {r.page_id: " ".join(" ".join(x.text for x in r.t).split()) for r in nodes.collect()}
+    assert joined == {r.page_id: r.body for r in found["html_parsed_text"](spark, sf_dir).collect()}
+    assert found["richtext_markdown"](spark, sf_dir).where("markdown != ''").count() == len(joined)
+
+
+def test_feed_lookups(spark):
+    from marlstream.operators import content
+
+    items = spark.createDataFrame(
+        [(1, [("X", "category", "x"), ("Y", "post_tag", "y"), ("Z", "odd", "x")], [("_thumbnail_id", "9"), ("_thumbnail_id", "7")], "Doe, Jo "), (2, [("N", "category", None)], [("k", "7")], "Nobody")],
+        "id int, category array<struct<text:string,_domain:string,_nicename:string>>, `wp:postmeta` array<struct<`wp:meta_key`:string,`wp:meta_value`:string>>, creator string",
+    )
+    index = spark.createDataFrame([("x", "categories", "c1"), ("y", "tag", "t1"), ("x", "categories", "c0"), ("y", "terms", "no")], "slug string, content_type string, uid string")
+    assert [(r.id, [x.uid for x in r.refs]) for r in content.category_references(items, "id", index).collect()] == [(1, ["c0", "t1"])]
+    assets = spark.createDataFrame([("assets_7",), ("assets_8",)], "uid string")
+    assert [tuple(r) for r in content.featured(items, "id", "wp:postmeta", assets).collect()] == [(1, "assets_7")]
+    authors = spark.createDataFrame([("a", "Doe Jo"), ("b", "Doe Jo")], "author string, name string")
+    assert sorted(r.author for r in content.by_author(items, "creator", authors, "name").collect()) == ["a", "b"]
+
+
+def test_ancestors_with_a_cycle(spark):
+    from marlstream.operators import content
+
+    nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None), (5, 4)], "id int, parent int")
+    assert {(r.uid, r.ancestor) for r in content.ancestors(nodes, "id", "parent").collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(5, 4)}
+    assert content.ancestors(nodes.where("id = 4"), "id", "parent").collect() == []
