@@ -6,8 +6,8 @@ keep regions dense enough in them to hold an item of some length; there count ea
 distinct q-grams in overlapping diagonal bands of 2 (k + 1); and verify bands that reach the bound by banded
 alignment of the whole item, free at the document's side.
 
-k is EDIT_SHARE of the item's length. Characters are compared as code points, A-Z lower-cased and each white space
-character as a space. Items are broadcast in blocks of about BLOCK_CHARS characters, each block with a pass of its
+k is EDIT_SHARE of the item's length. Characters are compared as code points after Unicode case folding, and each
+ASCII white space character as a space. Items are broadcast in blocks of about BLOCK_CHARS characters, each block with a pass of its
 own over the documents (no shuffle in any), so what is broadcast is bounded whatever the benchmark's size.
 
 Defined cases: null and empty texts leak nothing; items that are null or shorter than MIN_CHARS match nothing, being
@@ -38,13 +38,12 @@ CLASS = 1.2
 BATCH_BYTES = 4 << 20
 
 _FOLD = np.arange(128, dtype=np.uint32)
-_FOLD[65:91] += 32
 _FOLD[9:14] = 32
 
 
 def characters(text: str) -> np.ndarray:
     """Folded code points."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = np.frombuffer(text.casefold().encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(x < 128, _FOLD[np.minimum(x, 127)], x)
 
 
@@ -130,10 +129,10 @@ class Items:
 
     def leaks(self, text: str) -> dict[int, int]:
         """Number of each item found -> edits."""
-        if not self.items or len(text) < MIN_CHARS - self.edits.max():
+        if not self.items:
             return {}
         x = characters(text)
-        if len(x) < Q:
+        if len(x) < max(Q, MIN_CHARS - self.edits.max()):
             return {}
         at = self._dense_hits(x)
         if not len(at):
