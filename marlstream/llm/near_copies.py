@@ -222,3 +222,18 @@ def keep_one_of_each(spark, docs, sf_dir):
 
 
 QUERIES = {"op8_minhash": op8_minhash}
+ORACLE = {
+    "op8_minhash": rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) >= {SHINGLE}),
+    s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, concat_ws(' ', word, {", ".join(f"lead(word, {j}) OVER r" for j in range(1, SHINGLE))}) AS k, lead(word, {SHINGLE - 1}) OVER r IS NOT NULL AS whole
+          FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY i)) WHERE whole
+          UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {SHINGLE - 1}),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.v FROM reach JOIN l ON l.u = reach.b),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+    """
+}

@@ -328,3 +328,20 @@ def op7_suffix_array(spark, sf_dir):
 
 
 QUERIES = {"op7_suffix_array": op7_suffix_array}
+ORACLE = {
+    "op7_suffix_array": f"""
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - {WIDTH - 2})) AS i FROM d WHERE octet_length(b) >= {WIDTH}),
+    k AS (SELECT doc_id, i - 1 AS i, md5_number(array_slice(b, i, i + {WIDTH - 1})) AS k FROM p),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+    e AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WIDTH}, true) AS new FROM r),
+    g AS (SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+    s AS (SELECT doc_id, span, min(i) AS a, max(i) + {WIDTH} AS z FROM g GROUP BY ALL),
+    cut AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begin, a AS stop FROM s
+            UNION ALL SELECT doc_id, max(z), max(z), NULL FROM s GROUP BY doc_id),
+    kept AS (SELECT doc_id, unhex(string_agg(hex(array_slice(b, begin + 1, coalesce(stop, octet_length(b)))), '' ORDER BY begin)) AS x FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM s GROUP BY doc_id)
+    SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(x, b)) AS kept_sha256
+    FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
+}

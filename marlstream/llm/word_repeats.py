@@ -146,3 +146,16 @@ def op4_recompression(spark, sf_dir):
 
 
 QUERIES = {"op4_recompression": op4_recompression}
+ORACLE = {
+    "op4_recompression": rf"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+    k AS (SELECT doc_id, i, word, concat_ws(' ', word, {", ".join(f"lead(word, {j}) OVER r" for j in range(1, WIDTH))}) AS k, lead(word, {WIDTH - 1}) OVER r IS NOT NULL AS whole
+          FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM k WHERE whole),
+    c AS (SELECT w.doc_id, w.i, w.word, coalesce(max(CASE WHEN g.again THEN w.i END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW), -1) > 0 AS gone
+          FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = w.i),
+    r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)
+    """
+}

@@ -4,8 +4,6 @@ import json
 import re
 from itertools import combinations
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from marlstream.llm import tool_chat, url_rules
@@ -61,17 +59,6 @@ def test_url_rules_empty(spark):
     assert {x.verdict for x in url_rules.judge(pages.where("page_id = 12"), labels.where("doc_id < 0")).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize(("module", "name"), [(url_rules, "op9_url_rules"), (tool_chat, "op5_tool_chat")])
-def test_sql_twins(spark, sf_dir, module, name):
-    con = duckdb.connect()
-    for t in ("pages", "labels", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    wanted = con.execute(module.ORACLE[name])
-    columns = [c[0] for c in wanted.description]
-    found = module.QUERIES[name](spark, sf_dir).select(*columns)
-    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted.fetchall()))
-
-
 def test_tool_chat(spark):
     good = '{"words":2,"question":"q"}'
     calls = [(1, 0, "a", "ask", good, None), (1, 1, "b", "ask", '{"question":"","words":0,"more":1}', "a"), (1, 2, "c", "ask", "{broken", "gone"), (1, 3, "d", "other", good, "b"),
