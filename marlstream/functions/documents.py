@@ -261,3 +261,107 @@ def node_rows(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
             yield frame.astype({"parent": "Int32"})
 
     return rows.mapInPandas(run, schema)
+
+
+def canonical(column: Column) -> Column:
+    """JSON text with sorted keys and without what only tells a position, for signatures."""
+    return _text_function(lambda x: _json(_without_places(json.loads(x))))(column)
+
+
+def _without_places(value, drop=("id", "position", "index")):
+    if isinstance(value, dict):
+        return {k: _without_places(v) for k, v in value.items() if k not in drop}
+    return [_without_places(v) for v in value] if isinstance(value, list) else value
+
+
+def descended(column: Column, key: str) -> Column:
+    """Every value under a key, at any depth, in document order, as JSON texts."""
+
+    def found(value):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if k == key:
+                    yield _json(v)
+                yield from found(v)
+        elif isinstance(value, list):
+            for v in value:
+                yield from found(v)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else list(found(json.loads(x))))
+
+    return run(column)
+
+
+def _rows_of_trees(rows: DataFrame, keys: list[str], column: str, extra: str, walk) -> DataFrame:
+    rows = rows.select(*keys, F.col(column).alias("__json")).where("__json IS NOT NULL")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + extra
+    names = [*keys, *[x.split()[0] for x in extra.split(", ")]]
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([(*row[:-1], *node) for row in batch.itertuples(index=False) for node in walk(json.loads(row[-1]))], columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def component_rows(models: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One row for each component of a page model: keys, pre (place in pre-order), post (place in post-order), depth,
+    path, type, props. Children come in the order of `:itemsOrder`, or else as they stand."""
+
+    def walk(model):
+        out, pre, post = [], 0, 0
+        # a stack of (node, path, depth, its place in out if its children are done)
+        stack = [(model, "", 0, None)]
+        while stack:
+            node, path, depth, place = stack.pop()
+            if place is not None:
+                out[place][1] = post
+                post += 1
+                continue
+            props = {k: v for k, v in node.items() if k not in (":items", ":itemsOrder", ":type")}
+            out.append([pre, 0, depth, path, node.get(":type"), _json(props)])
+            stack.append((node, path, depth, pre))
+            pre += 1
+            items = node.get(":items") or {}
+            order = [k for k in node.get(":itemsOrder") or items if k in items]
+            stack += [(items[k], f"{path}/{k}", depth + 1, None) for k in reversed(order) if isinstance(items[k], dict)]
+        return out
+
+    return _rows_of_trees(models, keys, column, "pre int, post int, depth int, path string, type string, props string", walk)
+
+
+def schema_rows(models: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Flat rows of a nested field schema: keys, pos, depth, uid (dotted), label (joined by ` > `), type."""
+
+    def walk(model):
+        out, stack = [], [(f, (), ()) for f in reversed(model if isinstance(model, list) else model.get("schema") or [])]
+        while stack:
+            field, uids, labels = stack.pop()
+            uids, labels = (*uids, field.get("uid", "")), (*labels, field.get("display_name") or field.get("title") or field.get("uid", ""))
+            out.append((len(out), len(uids), ".".join(uids), " > ".join(labels), field.get("data_type")))
+            stack += [(f, uids, labels) for f in reversed((field.get("schema") or []) + (field.get("blocks") or []))]
+        return out
+
+    return _rows_of_trees(models, keys, column, "pos int, depth int, uid string, label string, type string", walk)
+
+
+def with_assets(rows: DataFrame, column: str, index: DataFrame, name: str = "tree") -> DataFrame:
+    """rows whose node trees have their images replaced by asset references where index (src, uid) knows the source. The
+    sources that a row's tree names are looked up by a join first."""
+    named = F.regexp_extract_all(column, F.lit(r'"src":"([^"]*)"'), 1)
+    each = rows.select(F.xxhash64(column).alias("__row"), F.explode(F.array_distinct(named)).alias("src")).distinct()
+    found = each.join(index.groupBy("src").agg(F.min("uid").alias("uid")), "src").groupBy("__row").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "uid")))).alias("__known"))
+
+    def rewritten(node, known):
+        uid = known.get((node.get("attrs") or {}).get("src")) if node.get("type") == "img" else None
+        if uid is not None:
+            return {"type": "reference", "attrs": {"display-type": "display", "type": "asset", "uid": uid, "href": node["attrs"]["src"]}, "children": [{"text": ""}]}
+        return node | {"children": [rewritten(c, known) for c in node["children"]]} if "children" in node else node
+
+    @F.pandas_udf("string")
+    def run(trees: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _json(rewritten(json.loads(t), json.loads(k) if k else {})) for t, k in zip(trees, known, strict=True)], dtype=object)
+
+    return rows.withColumn("__row", F.xxhash64(column)).join(found, "__row", "left").withColumn(name, run(F.col(column), F.col("__known"))).drop("__row", "__known")

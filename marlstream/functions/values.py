@@ -138,3 +138,19 @@ def moved(values: Column, source: int, target: int) -> Column:
 def table_shape(rows: Column) -> Column:
     """(rows, most columns in a row) of an array of arrays."""
     return F.struct(F.size(rows).alias("n_rows"), F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)).alias("n_columns"))
+
+
+def projected_objects(objects: Column, required: str, fields: list[str]) -> Column:
+    """Of an array of structs those with the required field, cut to some fields."""
+    return F.transform(F.filter(objects, lambda x: x[required].isNotNull()), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+
+def any_true(objects: Column, field: str) -> Column:
+    """If any struct of the array has the flag, such as an administrator's role."""
+    return F.coalesce(F.exists(objects, lambda x: F.coalesce(x[field], F.lit(False))), F.lit(False))
+
+
+def references(uids: Column, content_type: str) -> Column:
+    """Array of reference structs; empty ids and the parent id 0 give none."""
+    kept = F.filter(uids, lambda x: x.isNotNull() & ~x.isin("", "0"))
+    return F.transform(kept, lambda x: F.struct(x.alias("uid"), F.lit(content_type).alias("_content_type_uid")))

@@ -62,3 +62,8 @@ def next_status(status: Column, step: Column, steps: dict[tuple[int, int], int]
     for (s, t), to in steps.items():
         found = F.when((status == s) & (step == t), to).otherwise(found)
     return found
+
+
+def path_kind(path: Column) -> Column:
+    """Container, fragment or plain component, by the path of its type."""
+    return F.when(F.contains(path, F.lit("/experiencefragment")) | F.contains(path, F.lit("/contentfragment")), "fragment").when(path.rlike("/(container|responsivegrid|parsys)$"), "container").otherwise("component")

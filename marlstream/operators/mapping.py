@@ -107,3 +107,17 @@ def projected_by_rows(entries: DataFrame, keys: list[str], fields: DataFrame, ma
 def selected(mapper_keys: Column, uid: Column) -> Column:
     """Destination type of a content type: the mapped key or its own."""
     return F.coalesce(F.try_element_at(mapper_keys, uid), uid)
+
+
+def projected_json(df: DataFrame, payload: str, rules: Iterable[Mapping], keep: Iterable[str] = ()) -> DataFrame:
+    """As projected, for fields inside a JSON column: the source is a dotted path, of any depth."""
+    path = lambda rule: "$" + "".join(f"['{part}']" for part in rule.source.split("."))
+    return df.select(*keep, *[coerced(F.get_json_object(payload, path(r)), r).alias(r.target) for r in rules])
+
+
+def advanced(validations: Column, required: Column, localized: Column, description: Column, default: Column) -> Column:
+    """Advanced settings of a field: the first pattern of its validations, and flags."""
+    return F.struct(
+        F.get(F.filter(validations, lambda x: x.isNotNull()), F.lit(0)).alias("validation_regex"), F.coalesce(required, F.lit(False)).alias("mandatory"),
+        (~F.coalesce(localized, F.lit(False))).alias("non_localizable"), F.substring(description, 1, 255).alias("description"), default.alias("default_value"),
+    )

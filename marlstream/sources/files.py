@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 MAX_NESTING = 4
 
 
-def xml_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.StructType | str | None = None) -> DataFrame:
+def xml_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.StructType | str | None = None, mode: str = "DROPMALFORMED") -> DataFrame:
     """One row for each `row_tag` element; attributes start with an underscore, text is in `text`, comments and
-    declarations are ignored. Broken elements are left out; repeated children are arrays by the schema."""
-    reader = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_").option("valueTag", "text").option("mode", "DROPMALFORMED").option("inferSchema", "false")
+    declarations are ignored. Broken elements are left out, or with mode PERMISSIVE kept as far as they can be read;
+    repeated children are arrays by the schema."""
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_").option("valueTag", "text").option("mode", mode).option("inferSchema", "false")
     return (reader.schema(schema) if schema else reader).load(path)
 
 
@@ -70,6 +71,18 @@ def page_models(spark: SparkSession, path: str, skip: str = "dam-downloads") ->
     return kept.where(F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("model")), F.lit("OBJECT")), F.lit(False)))
 
 
+def package(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a source package by its ending: a feed, an archive's entries, one JSON document, or a folder's models."""
+    ending = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    if ending == "xml":
+        return feed_items(spark, path)
+    if ending == "zip":
+        return archive_entries(spark, path)
+    if ending == "json":
+        return spark.read.option("multiLine", True).json(path)
+    return page_models(spark, path)
+
+
 def find_files(spark: SparkSession, path: str, pattern: str | None = None, text: str | None = None) -> DataFrame:
     """(path, name, length) of files below a folder whose name fits a pattern or contains a text. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring_index("path", "/", -1).alias("name"), "length")

@@ -148,3 +148,33 @@ def test_ancestors_with_a_cycle(spark):
     nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None), (5, 4)], "id int, parent int")
     assert {(r.uid, r.ancestor) for r in content.ancestors(nodes, "id", "parent").collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(5, 4)}
     assert content.ancestors(nodes.where("id = 4"), "id", "parent").collect() == []
+
+
+def test_components_and_schemas(spark):
+    model = {":type": "page", ":itemsOrder": ["b", "a", "gone"], ":items": {"a": {":type": "text", "t": 1}, "b": {":type": "grid", ":items": {"c": {":type": "text"}}}}, "title": "T"}
+    df = spark.createDataFrame([(1, json.dumps(model)), (2, None)], "id int, m string")
+    rows = D.component_rows(df, ["id"], "m").orderBy("pre").collect()
+    assert [(r.path, r.type, r.depth, r.post) for r in rows] == [("", "page", 0, 3), ("/b", "grid", 1, 1), ("/b/c", "text", 2, 0), ("/a", "text", 1, 2)]
+    schema = {"schema": [{"uid": "g", "display_name": "G", "data_type": "group", "schema": [{"uid": "x", "data_type": "text"}]}, {"uid": "b", "data_type": "blocks", "blocks": [{"uid": "k", "title": "K", "schema": [{"uid": "y"}]}]}]}
+    flat = D.schema_rows(spark.createDataFrame([(1, json.dumps(schema))], "id int, s string"), ["id"], "s").orderBy("pos").collect()
+    assert [(r.uid, r.label) for r in flat] == [("g", "G"), ("g.x", "G > x"), ("b", "b"), ("b.k", "b > K"), ("b.k.y", "b > K > y")]
+
+
+def test_json_documents(spark):
+    df = spark.createDataFrame([('{"b": {"id": 1, "a": [{"id": 2}]}, "index": 3}', '<p><img src="i.png"><img src="o.png"></p>'), (None, None)], "j string, h string")
+    row = df.select(D.descended(F.col("j"), "id").alias("ids"), D.canonical(F.col("j")).alias("c")).first()
+    assert list(row.ids) == ["1", "2"] and row.c == '{"b":{"a":[{}]}}'
+    trees_ = df.select(D.html_to_tree(F.col("h")).alias("t"))
+    made = D.with_assets(trees_, "t", spark.createDataFrame([("i.png", "u2"), ("i.png", "u1")], "src string, uid string"), "x").where("x IS NOT NULL").first()
+    children = json.loads(made.x)["children"][0]["children"]
+    assert [c["type"] for c in children] == ["reference", "img"] and children[0]["attrs"]["uid"] == "u1"
+    rules = [M.Mapping("b.id", "n", "number"), M.Mapping("b.gone", "g", "text")]
+    assert tuple(M.projected_json(df.where("j IS NOT NULL"), "j", rules).first()) == (1, None)
+
+
+def test_small_structures(spark):
+    from marlstream.operators import classify
+
+    df = spark.createDataFrame([([("p", 1, None), (None, 2, True)], ["0", "7", None], "x/container")], "o array<struct<public_id:string,w:int,admin:boolean>>, u array<string>, path string")
+    row = df.select(V.projected_objects(F.col("o"), "public_id", ["w"]).alias("a"), V.any_true(F.col("o"), "admin").alias("b"), V.references(F.col("u"), "page").alias("c"), classify.path_kind(F.col("path")).alias("d"), M.advanced(F.array(F.lit(None), F.lit("^x$")), F.lit(None).cast("boolean"), F.lit(True), F.lit("d"), F.lit("v")).alias("e")).first()
+    assert [x.w for x in row.a] == [1] and row.b and [x.uid for x in row.c] == ["7"] and row.d == "container" and (row.e.validation_regex, row.e.mandatory, row.e.non_localizable) == ("^x$", False, False)
