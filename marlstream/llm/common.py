@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstream.session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset, as in tests, a new one."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        found = spark.sparkContext.getCheckpointDir()
-        set_to = found if found else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return set_to.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Writes a frame as Parquet to the shared folder and reads it back: cuts the lineage, so that a lost
-    executor costs a re-read and not a recomputation, and a frame used twice is computed once."""
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"marlstream-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A frame written to the shared folder and read back, which cuts the lineage: a lost executor costs a re-read and not
+    a recomputation, and a frame used twice is computed once."""
+    return stored(df)
 
 
 def lower_ascii(column):
