@@ -6,8 +6,9 @@
 2. Band buckets with more than one class give candidates. No bucket emits all pairs: first each member is paired
    with the bucket's smallest id. Pairs whose signatures agree too little to be links are dropped, the others are
    verified on the full sets. Verified links make components (large-star and small-star).
-3. A bucket whose members are then in several components may hide links between them. Its documents go through an
-   exact prefix filter: with each set's shingles in order of rarity, two sets of x and y shingles that are similar
+3. A bucket whose members are then in several components may hide links between them. In one of SMALL members at
+   most, each meets those of other components directly, SMALL - 1 at most. The documents of larger ones go through
+   an exact prefix filter instead: with each set's shingles in order of rarity, two sets of x and y shingles that are similar
    enough have ceil(0.75 / 1.75 (x + y)) in common, so they share one early in that order, at places that leave
    enough shingles behind both. Keys are made for each pair of size classes, so that most documents of a large
    group of nearly similar ones emit none, and a passage common to many otherwise different documents none at all.
@@ -36,6 +37,8 @@ from marlstream.llm.hashing import LOWER, coefficients, mixed, sequence_hashes,
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
+#: members of a bucket that still meet one another directly
+SMALL = 16
 #: sizes within one class differ by this factor at most
 CLASS = 1.05
 BATCH_BYTES = 2 << 20
@@ -195,9 +198,12 @@ def groups(docs: DataFrame) -> DataFrame:
     links = verified(members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct(), classes, docs)
     found = components(links)
     placed = written(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component")))
-    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    open_docs = written(placed.join(apart, "key", "left_semi").select("rep", "component").distinct().join(classes.select("rep", "n"), "rep"))
-    more = verified(written(_prefix_pairs(open_docs, docs)), classes, docs)
+    apart = written(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a != b").select("key", "size"))
+    few = written(placed.join(apart.where(F.col("size") <= SMALL), "key"))
+    other = few.select("key", F.col("rep").alias("v"), F.col("component").alias("other"))
+    met = few.join(other, "key").where((F.col("rep") < F.col("v")) & (F.col("component") != F.col("other"))).select(F.col("rep").alias("u"), "v")
+    open_docs = written(placed.join(apart.where(F.col("size") > SMALL), "key", "left_semi").select("rep", "component").distinct().join(classes.select("rep", "n"), "rep"))
+    more = verified(written(met.union(_prefix_pairs(open_docs, docs)).distinct()), classes, docs)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     copies = classes.where("size > 1").select("fp1", "fp2", "rep")
