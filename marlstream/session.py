@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -51,9 +52,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@functools.cache
+def _folder_of_tests() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset, as in tests, a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The folder that all executors see: spark.checkpoint.dir, or where that is unset, as in tests, a folder in /tmp."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _folder_of_tests()
     return found.rstrip("/")
 
 
