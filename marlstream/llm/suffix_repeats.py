@@ -12,11 +12,13 @@ bytes have to be told apart, and induced sorting needs to sort a sample of them
    goes on to the last column, so that a sample with a third of all tuples is spread over many tasks. Neighbours say
    how far the common prefix goes: over all strings of the tuple (r equal: all repeat), into the sample (a equal:
    some may repeat) or less (none does). Tasks keep one run at a time; what lies at their ends is compared after.
-3. Induction: only tuples whose neighbours have a, but not r, are undecided. Their single strings are named and
-   sorted likewise. A tuple is at most WIDTH strings, and of tuples with one r a few stand for all.
+3. Induction: only tuples whose neighbours have a, but not r, are undecided; of tuples with one r a few stand for
+   all. They are cut into blocks of BLOCK strings by the distance from the sample, so that equal strings are in equal
+   blocks. All strings of a block have its core in common: blocks (core, all bytes covered) are sorted and compared
+   likewise, and the single strings of those that are still undecided after that.
 
 Per-suffix tuples for all suffixes, as a whole suffix array has them, would alone be 16 bytes or more for each byte of
-the corpus; the sampled ones are about a sixth of a byte.
+the corpus; the sampled ones are about a fifth of a byte.
 
 Defined cases: a null or empty text has no bytes; texts of fewer than WIDTH bytes lose nothing; rows that repeat an id,
 and rows without one, are documents of their own, so that texts of WIDTH bytes or more in repeated rows are removed
@@ -42,7 +44,10 @@ from marlstream.llm.hashing import coefficients, mixed
 WIDTH = 400
 LEVELS = 3
 NAME = 8
+BLOCK = 32
 BATCH_BYTES = 1 << 20
+TUPLE = "a long, r long, doc long, place long, shift int"
+TUPLE_COLUMNS = ["a", "r", "doc", "place", "shift"]
 #: kinds of rows that a sorted stretch of tuples gives
 REPEATS, UNDECIDED, EDGE = 1, 2, 3
 _BYTES = coefficients(256, 7)
@@ -144,7 +149,7 @@ def strings_by_sample(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH)
 
 
 def tuples(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (a, r, doc, place) of docs (doc, tag, text)."""
+    """Rows (a, r, doc, place, shift) of docs (doc, tag, text): shift is the sample's distance from the first string."""
 
     def run(batches):
         for whole in batches:
@@ -156,35 +161,39 @@ def tuples(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 r = stretch.hashes(first, last + width, 1)
                 doc, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
                 place = anchored.packed(first - offsets[text], tags[text], last - first + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(doc[text]), pa.array(place)], ["a", "r", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(doc[text]), pa.array(place), pa.array((low - first).astype(np.int32))], TUPLE_COLUMNS)
 
-    return docs.mapInArrow(run, "a long, r long, doc long, place long")
+    return docs.mapInArrow(run, TUPLE)
 
 
 def _compare(batches):
-    """Over sorted (a, r, doc, place): rows of kind REPEATS or UNDECIDED, and an EDGE for the first and the last run of
+    """Over sorted (a, r, doc, place, shift): rows of kind REPEATS or UNDECIDED, and an EDGE for the first and the last run of
     equal (a, r) of this task, as the neighbours of those aren't known here. State: the last run and its neighbour."""
     pid = TaskContext.get().partitionId()
-    names = ["kind", "doc", "place", "pid", "a", "r", "n", "differs"]
+    names = ["kind", "doc", "place", "shift", "pid", "a", "r", "n", "differs"]
 
-    def out(kind, doc, place, a=None, r=None, n=None, differs=None):
+    def out(kind, doc, place, shift, a=None, r=None, n=None, differs=None):
         m = len(doc)
         of = lambda x, t: pa.nulls(m, t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(np.full(m, pid, np.int64)), of(a, pa.int64()), of(r, pa.int64()), of(n, pa.int64()), of(differs, pa.bool_())], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(shift, pa.int32()), pa.array(np.full(m, pid, np.int64)), of(a, pa.int64()), of(r, pa.int64()), of(n, pa.int64()), of(differs, pa.bool_())], names)
 
-    # the run that may go on: (a, r, doc, place of its first row, rows, a of the run before it, is it the task's first)
+    # the run that may go on: (a, r, its first row, rows, a of the run before it, is it the task's first)
     held = None
 
     def close(run, after):
         """What is said of a run's first row once the next run's a is known."""
-        a, r, doc, place, n, before, is_first = run
+        a, r, row, n, before, is_first = run
         differs = before == a or after == a
         if is_first:
-            return out(EDGE, [doc], [place], [a], [r], [n], [differs])
-        return out(REPEATS if n > 1 else UNDECIDED, [doc], [place]) if n > 1 or differs else None
+            yield out(EDGE, *row, [a], [r], [n], [bool(differs)])
+            return
+        if n > 1:
+            yield out(REPEATS, *row)
+        if differs:
+            yield out(UNDECIDED, *row)
 
     for batch in batches:
-        a, r, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "r", "doc", "place"))
+        a, r, *rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in TUPLE_COLUMNS)
         if not len(a):
             continue
         new = np.ones(len(a), bool)
@@ -194,20 +203,16 @@ def _compare(batches):
         first = np.flatnonzero(new)
         later = np.flatnonzero(~new)
         if len(later):
-            yield out(REPEATS, doc[later], place[later])
+            yield out(REPEATS, *(x[later] for x in rows))
         if held is not None:
             more = int(first[0]) if len(first) else len(a)
-            held = (*held[:4], held[4] + more, *held[5:])
+            held = (*held[:3], held[3] + more, *held[4:])
         if not len(first):
             continue
         size = np.diff(np.append(first, len(a)))
         fa = a[first]
         if held is not None:
-            said = close(held, fa[0])
-            if said is not None:
-                yield said
-                if held[4] > 1 and not held[6] and (held[5] == held[0] or fa[0] == held[0]):
-                    yield out(UNDECIDED, [held[2]], [held[3]])
+            yield from close(held, fa[0])
         task_first = held is None
         before = np.empty(len(fa), np.int64)
         before[1:] = fa[:-1]
@@ -220,25 +225,25 @@ def _compare(batches):
         differs = ((before == fa) & has_before)[inner] | (fa[inner] == fa[1:])
         i = np.arange(len(first) - 1)
         if task_first and len(i):
-            yield out(EDGE, doc[first[:1]], place[first[:1]], fa[:1], r[first[:1]], size[:1], differs[:1])
+            yield out(EDGE, *(x[first[:1]] for x in rows), fa[:1], r[first[:1]], size[:1], differs[:1])
             i, differs = i[1:], differs[1:]
         again = first[i][size[i] > 1]
         if len(again):
-            yield out(REPEATS, doc[again], place[again])
+            yield out(REPEATS, *(x[again] for x in rows))
         undecided = first[i][differs]
         if len(undecided):
-            yield out(UNDECIDED, doc[undecided], place[undecided])
+            yield out(UNDECIDED, *(x[undecided] for x in rows))
         k = first[-1]
-        held = (a[k], r[k], doc[k], place[k], int(size[-1]), before[-1] if has_before[-1] else None, task_first and len(first) == 1)
+        held = (a[k], r[k], [x[k : k + 1] for x in rows], int(size[-1]), before[-1] if has_before[-1] else None, task_first and len(first) == 1)
     if held is not None:
-        a, r, doc, place, n, before, _ = held
-        yield out(EDGE, [doc], [place], [a], [r], [n], [before is not None and before == a])
+        a, r, row, n, before, _ = held
+        yield out(EDGE, *row, [a], [r], [n], [before is not None and bool(before == a)])
 
 
 def sorted_and_compared(rows: DataFrame) -> DataFrame:
-    """(kind, doc, place): the tuples (a, r, doc, place) that repeat as a whole, and those that may in part."""
+    """(kind, doc, place, shift): the tuples that repeat as a whole, and those that may in part."""
     ordered = written(rows).orderBy("a", "r", "doc", "place")
-    said = written(ordered.mapInArrow(_compare, "kind int, doc long, place long, pid long, a long, r long, n long, differs boolean"))
+    said = written(ordered.mapInArrow(_compare, "kind int, doc long, place long, shift int, pid long, a long, r long, n long, differs boolean"))
     # two rows a task at most, so that one window over all is small whatever the corpus
     by_task = Window.orderBy("pid", "a", "r")
     edges = said.where(F.col("kind") == EDGE)
@@ -249,41 +254,78 @@ def sorted_and_compared(rows: DataFrame) -> DataFrame:
     repeats = (F.col("n") > 1) | same("before") | same("after")
     differs = F.col("differs") | (across("before") & ~same("before")) | (across("after") & ~same("after"))
     return (
-        said.where(F.col("kind") != EDGE).select("kind", "doc", "place")
-        .unionByName(edges.where(repeats).select(F.lit(REPEATS).alias("kind"), "doc", "place"))
-        .unionByName(edges.where(differs).select(F.lit(UNDECIDED).alias("kind"), "doc", "place"))
+        said.where(F.col("kind") != EDGE).select("kind", "doc", "place", "shift")
+        .unionByName(edges.where(repeats).select(F.lit(REPEATS).alias("kind"), "doc", "place", "shift"))
+        .unionByName(edges.where(differs).select(F.lit(UNDECIDED).alias("kind"), "doc", "place", "shift"))
     )
 
 
-def single_strings(docs: DataFrame, places: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, r, doc, place), one for each string of the places, a and r being two names of it."""
+def _at_places(docs: DataFrame, said: DataFrame, make) -> DataFrame:
+    """Tuples that `make` gets from the undecided places: it is given the fingerprints of a batch, and for each place
+    its text's first byte, its start there, its number of strings and its shift, and returns (a, r, place number,
+    start, number of strings, shift)."""
 
     def run(batches):
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
                 data, offsets = utf8(batch.column("text"))
-                stretch = anchored.Stretches(_BYTES[data])
                 listed = batch.column("places")
                 text = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
-                first, count = anchored.unpacked(listed.flatten().to_numpy(zero_copy_only=False))
-                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                text = np.repeat(text, count)
-                doc, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
-                at_all = at + offsets[:-1][text]
-                a, r = (stretch.hashes(at_all, at_all + width, seed).astype(np.int64) for seed in (2, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r), pa.array(doc[text]), pa.array(anchored.packed(at, tags[text], np.ones(len(at), np.int64)))], ["a", "r", "doc", "place"])
-
-    grouped = anchored.by_document(places.distinct())
+                place, shift = (listed.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("place", "shift"))
+                first, count = anchored.unpacked(place)
+                a, r, of, first, count, shift = make(anchored.Stretches(_BYTES[data]), offsets[:-1][text], first, count, shift.astype(np.int64))
+                doc, tags = (batch.column(c).to_numpy(zero_copy_only=False)[text[of]] for c in ("doc", "tag"))
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(doc), pa.array(anchored.packed(first, tags, count)), pa.array(shift.astype(np.int32))], TUPLE_COLUMNS)
+
+    undecided = said.where(F.col("kind") == UNDECIDED).select("doc", "place", "shift").distinct()
+    grouped = undecided.groupBy(F.col("doc").alias("__doc"), anchored.tag_of(F.col("place")).alias("__tag")).agg(F.collect_list(F.struct("place", "shift")).alias("places"))
     joined = docs.join(grouped, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag"))).select("doc", "tag", "text", "places")
-    return joined.mapInArrow(run, "a long, r long, doc long, place long")
+    return joined.mapInArrow(run, TUPLE)
+
+
+def _expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, 0 .. n - 1) of each of n items of each row."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def blocks(docs: DataFrame, said: DataFrame, width: int = WIDTH) -> DataFrame:
+    size = max(1, min(BLOCK, width // 4))
+
+    def make(stretch, base, first, count, shift):
+        # distances of strings from the sample run from shift down to shift - count + 1; a block has `size` of them
+        low, high = (shift - count + 1) // size, shift // size
+        of, i = _expanded(high - low + 1)
+        block, sample = low[of] + i, first[of] + shift[of]
+        begin = np.maximum(first[of], sample - (block * size + size - 1))
+        stop = np.minimum(first[of] + count[of] - 1, sample - block * size)
+        core = base[of] + sample - block * size
+        a = stretch.hashes(core, core - size + 1 + width, 4) ^ mixed(block.astype(np.uint64))
+        r = stretch.hashes(base[of] + begin, base[of] + stop + width, 5)
+        return a, r, of, begin, stop - begin + 1, sample - begin
+
+    return _at_places(docs, said, make)
+
+
+def single_strings(docs: DataFrame, said: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One tuple for each string, a and r being two names of it."""
+
+    def make(stretch, base, first, count, shift):
+        of, i = _expanded(count)
+        at = first[of] + i
+        a, r = (stretch.hashes(base[of] + at, base[of] + at + width, seed) for seed in (2, 3))
+        return a, r, of, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+
+    return _at_places(docs, said, make)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__doc, __tag, places): the strings of each document that also start elsewhere."""
     docs = docs.select(anchored.doc_key().alias("doc"), anchored.tag().alias("tag"), "text").where(F.octet_length("text") >= width)
-    said = written(sorted_and_compared(tuples(docs, width)))
-    single = sorted_and_compared(single_strings(docs, said.where(F.col("kind") == UNDECIDED).select("doc", "place"), width))
-    return anchored.by_document(said.unionByName(single).where(F.col("kind") == REPEATS).select("doc", "place"))
+    whole = sorted_and_compared(tuples(docs, width))
+    part = sorted_and_compared(blocks(docs, whole, width))
+    single = sorted_and_compared(single_strings(docs, part, width))
+    found = whole.unionByName(part).unionByName(single)
+    return anchored.by_document(found.where(F.col("kind") == REPEATS).select("doc", "place"))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
