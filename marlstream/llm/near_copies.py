@@ -37,6 +37,8 @@ from marlstream.llm.hashing import LOWER, coefficients, mixed, sequence_hashes,
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
+#: ids that may be broadcast, 16 MB of them
+BROADCAST_IDS = 2_000_000
 #: members of a bucket that still meet one another directly
 SMALL = 16
 #: sizes within one class differ by this factor at most
@@ -130,6 +132,13 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among the distinct ids. Texts are moved for it only if there are more ids than may be
+    broadcast."""
+    ids = written(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (u, v) of class ids those that are links: by signature first, then on the full sets."""
     sign = classes.select(F.col("rep").alias("id"), "n", "signature")
@@ -137,7 +146,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     fits = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
     likely = written(pairs.join(side("u"), "u").join(side("v"), "v").where(fits).select("u", "v", "sign_u", "sign_v").mapInArrow(_agree, "u long, v long"))
     ids = likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = written(shingle_sets(_of_ids(docs.select("doc_id", "text"), ids)).dropDuplicates(["doc_id"]))
     full = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     return written(likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_similar, "u long, v long"))
 
@@ -157,7 +166,7 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
 
 def _prefix_pairs(open_docs: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidate pairs (u, v) by an exact prefix filter among open_docs (rep, n, component), not within a component."""
-    texts = docs.join(open_docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = _of_ids(docs, open_docs.select(F.col("rep").alias("doc_id")))
     rows = written(_shingle_rows(texts).distinct())
     common = written(rows.groupBy("shingle").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
     share = PERCENT / (100 + PERCENT)
