@@ -34,30 +34,38 @@ _PLACE_BITS = 43
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda x: x != "")
+    return F.array_remove(F.split(line, _SPACE), "")
 
 
 def _row_id() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Keys of the first and the last half, for partners of the same length and of one word less."""
-    keys = []
-    for less in (0, 1):
-        h = F.floor((n - less) / 2).cast("int")
-        keys.append(F.xxhash64(F.array_join(F.slice(words, F.lit(1), h), " "), n - less, F.lit(0)))
-        keys.append(F.xxhash64(F.array_join(F.slice(words, n - (n - less - h) + 1, n - less - h), " "), n - less, F.lit(1)))
-    return F.array(*keys)
+def _halves(words: Column) -> Column:
+    """Hashes of the first and the last half, and of the one that is shorter by a word in a line of a word less."""
+    n = F.size(words)
+    h = F.floor(n / 2).cast("int")
+    shorter = F.when(n % 2 == 1, F.slice(words, h + 2, h)).otherwise(F.slice(words, F.lit(1), h - 1))
+    return F.array(F.xxhash64(F.slice(words, F.lit(1), h)), F.xxhash64(F.slice(words, h + 1, n - h)), F.xxhash64(shorter))
+
+
+def _half_keys() -> Column:
+    """Keys of both halves, for partners of the same length and of one word less, from columns halves and n_words."""
+    n, odd = F.col("n_words"), F.col("n_words") % 2 == 1
+    first, last, shorter = (F.get("halves", F.lit(i)) for i in range(3))
+    key = lambda half, length, side: F.xxhash64(half, length, F.lit(side))
+    less = (F.when(odd, first).otherwise(shorter), F.when(odd, shorter).otherwise(last))
+    return F.array(key(first, n, 0), key(last, n, 1), key(less[0], n - 1, 0), key(less[1], n - 1, 1))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, no, k1, k2, halves) of every line that has words; k1 and k2 are hashes of the line."""
-    exploded = docs.select("doc_id", _row_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0)
-    line, n = F.array_join("words", " "), F.size("words")
-    return exploded.select(
-        "doc_id", "row", "no", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"),
-        F.when(n >= MIN_WORDS, _halves(F.col("words"), n)).alias("halves"),
+    """(doc_id, row, no, k1, k2, n_words, halves) of every line that has words; k1 and k2 are hashes of the line."""
+    # the filter is on the line, not on its words, as Spark would then find the words twice
+    exploded = docs.select("doc_id", _row_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    words = F.col("words")
+    return exploded.withColumn("words", words_of(F.col("line"))).select(
+        "doc_id", "row", "no", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(7), words).alias("k2"),
+        F.size(words).alias("n_words"), F.when(F.size(words) >= MIN_WORDS, _halves(words)).alias("halves"),
     )
 
 
@@ -84,7 +92,7 @@ def _without(words: Column, at: Column) -> Column:
 
 def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(k1, k2) of the distinct lines that have an earlier neighbour."""
-    halves = distinct.where("halves IS NOT NULL").select("k1", "k2", F.explode("halves").alias("half"))
+    halves = distinct.where("halves IS NOT NULL").select("k1", "k2", F.explode(_half_keys()).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     might = distinct.join(halves.join(shared, "half", "left_semi").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "first")
     places = might.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("k1", "k2", "first")).alias("lines"))
@@ -116,7 +124,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(row, removed): for each document that loses lines, their numbers."""
     lines = written(lines_of(docs))
     place = F.struct("doc_id", "no", "row")
-    distinct = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    distinct = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("halves").alias("halves")))
     near = _near(distinct, docs).withColumn("near", F.lit(True))
     again = written(distinct.join(near, ["k1", "k2"], "left").where("n > 1 OR near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("near")))
     gone = lines.select("k1", "k2", "doc_id", "no", "row").join(again, ["k1", "k2"]).where(F.col("near") | (place != F.col("first")))
