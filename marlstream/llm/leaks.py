@@ -6,12 +6,16 @@ keep regions dense enough in them to hold an item of some length; there count ea
 distinct q-grams in overlapping diagonal bands of 2 (k + 1); and verify bands that reach the bound by banded
 alignment of the whole item, free at the document's side.
 
-k is EDIT_SHARE of the item's length. Characters are compared as code points after Unicode case folding, and each
+k is EDIT_SHARE of the item's length. A document may also quote a part of an item: the same lemma holds for each stretch of
+an item, at every place of it. A stretch has as many characters as would be a leak, but MIN_CHARS at least and STRETCH at
+most; those that reach their bound in a band of their own k are aligned, and the share of the item's characters that lie
+in any stretch found is its quoted share, wherever in the document the stretches are. An item is leaked if it is found
+whole, or by a quoted share of QUOTED_SHARE or more, which is a parameter of find(). Characters are compared as code points after Unicode case folding, and each
 ASCII white space character as a space. Items are broadcast in blocks of about BLOCK_CHARS characters, each block with a pass of its
 own over the documents (no shuffle in any), so what is broadcast is bounded whatever the benchmark's size.
 
 Defined cases: null and empty texts leak nothing; items that are null or shorter than MIN_CHARS match nothing, being
-too short to tell a leak from chance; equal items are each reported; repeated rows get equal results; only the
+too short to tell a leak from chance, and so do quotes in pieces that are each shorter than a stretch; equal items are each reported; repeated rows get equal results; only the
 named columns are used and replaced, so further columns can't clash.
 """
 
@@ -32,6 +36,9 @@ from marlstream.llm.hashing import mixed
 Q = 8
 EDIT_SHARE = 0.06
 MIN_CHARS = 30
+#: an item of which a document quotes this share of the characters is leaked
+QUOTED_SHARE = 0.5
+STRETCH = 50
 BLOCK_CHARS = 4_000_000
 #: lengths within one class of items differ by this factor at most
 CLASS = 1.2
@@ -77,18 +84,62 @@ def edits_within(item: np.ndarray, doc: np.ndarray, low: int, high: int, k: int)
     return int(cost.min())
 
 
+def stretches_within(item: np.ndarray, starts: np.ndarray, length: int, doc: np.ndarray, low: int, high: int, k: int) -> np.ndarray:
+    """Those starts whose `length` characters of the item align to some stretch of doc with at most k edits, on diagonals
+    low .. high - 1."""
+    low, high = low - k, high + k
+    width, m = high - low, len(item)
+    padded = np.full(m + width, 0xFFFFFFFF, np.uint32)
+    a, b = max(0, low), min(len(doc), low + m + width)
+    if b > a:
+        padded[a - low : b - low] = doc[a:b]
+    facing = np.lib.stride_tricks.sliding_window_view(padded, width)
+    ramp = np.arange(width, dtype=np.int32)
+    cost = np.zeros((len(starts), width), np.int32)
+    for i in range(length):
+        best = cost + (facing[starts + i] != item[starts + i, None])
+        best[:, :-1] = np.minimum(best[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(best - ramp, axis=1) + ramp
+    return starts[cost.min(axis=1) <= k]
+
+
+def bands(item: np.ndarray, place: np.ndarray, diagonal: np.ndarray, edits: np.ndarray, least: np.ndarray):
+    """(item, low, places) of each diagonal band of 2 (k + 1) from low that has at least `least` distinct places of an item."""
+    wide = edits[item] + 1
+    band = diagonal // wide
+    item, place = np.tile(item, 2), np.tile(place, 2)
+    band = np.concatenate([band, band - 1])
+    key = np.unique(np.stack([item, band, place], axis=1), axis=0)
+    change = np.flatnonzero(np.any(np.diff(key[:, :2], axis=0) != 0, axis=1)) + 1
+    edge = np.concatenate([[0], change, [len(key)]])
+    for a, count in zip(edge[:-1], np.diff(edge), strict=True):
+        i = int(key[a, 0]) if count else 0
+        if count and count >= least[i]:
+            yield i, int(key[a, 1]) * (int(edits[i]) + 1), key[a : a + count, 2]
+
+
+def covered(starts: np.ndarray, length: int, size: int) -> int:
+    """How many of an item's characters lie in stretches with these starts."""
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(starts + length, minlength=size + 1)
+    return int((np.cumsum(change) > 0).sum())
+
+
 class Items:
     """One block of items with its q-gram index."""
 
     BITS = 22
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], share: float = QUOTED_SHARE):
+        self.share = share
         texts = [(i, characters(t)) for i, t in rows if t is not None]
         self.items = [(i, x) for i, x in texts if len(x) >= MIN_CHARS]
         size = np.array([len(x) for _, x in self.items], np.int64)
         self.edits = np.minimum(np.floor(size * EDIT_SHARE).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - self.edits * Q
-        self.classes = self._classes(size)
+        self.stretch = np.clip(np.ceil(size * share).astype(np.int64), MIN_CHARS, STRETCH)
+        self.slack = np.minimum(np.floor(self.stretch * EDIT_SHARE).astype(np.int64), (self.stretch - Q) // Q)
+        self.rich = self.stretch - Q + 1 - self.slack * Q
+        self.classes = self._classes(size, self.edits, self.least) + self._classes(self.stretch, self.slack, self.rich)
         gram = np.concatenate([grams(x) for _, x in self.items]) if self.items else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(size)), np.maximum(0, size - Q + 1))
         place = np.concatenate([np.arange(len(x) - Q + 1) for _, x in self.items]) if self.items else np.zeros(0, np.int64)
@@ -100,12 +151,13 @@ class Items:
     def _slot(self, gram: np.ndarray) -> np.ndarray:
         return (mixed(gram) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
-    def _classes(self, size: np.ndarray) -> list[tuple[int, int]]:
-        """(window, least): an item of a class of similar lengths has at least `least` of its q-grams in one window."""
+    def _classes(self, size: np.ndarray, edits: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
+        """(window, least): an item, or stretch, of a class of similar lengths has at least `least` of its q-grams in one
+        window."""
         found, order = [], np.argsort(size)
         while len(order):
             own = order[size[order] <= CLASS * size[order[0]]]
-            found.append((int((size[own] + self.edits[own]).max()) - Q + 1, int(self.least[own].min())))
+            found.append((int((size[own] + edits[own]).max()) - Q + 1, int(least[own].min())))
             order = order[len(own) :]
         return found
 
@@ -127,40 +179,61 @@ class Items:
             return np.zeros(0, np.int64)
         return np.flatnonzero(hit & (np.cumsum(change[:-1]) > 0))
 
-    def leaks(self, text: str) -> dict[int, int]:
-        """Number of each item found -> edits."""
-        if not self.items:
-            return {}
-        x = characters(text)
-        if len(x) < max(Q, MIN_CHARS - self.edits.max()):
-            return {}
+    def _hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(item, place, diagonal) of q-grams that the document shares with items, in regions that might hold one."""
+        if not self.items or len(x) < max(Q, MIN_CHARS - self.edits.max()):
+            return None
         at = self._dense_hits(x)
-        if not len(at):
-            return {}
         gram = grams(x)[at]
         first, last = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
         n = last - first
         if not n.any():
-            return {}
+            return None
         row = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, place, diagonal = self.item[row], self.place[row], np.repeat(at, n) - self.place[row]
-        wide = self.edits[item] + 1
-        band = diagonal // wide
-        item, place = np.tile(item, 2), np.tile(place, 2)
-        band = np.concatenate([band, band - 1])
-        key = np.unique(np.stack([item, band, place], axis=1), axis=0)
-        change = np.flatnonzero(np.any(np.diff(key[:, :2], axis=0) != 0, axis=1)) + 1
-        edge = np.concatenate([[0], change, [len(key)]])
+        return self.item[row], self.place[row], np.repeat(at, n) - self.place[row]
+
+    def leaks(self, text: str) -> tuple[dict[int, int], dict[int, float]]:
+        """(number of each item found whole -> edits, number of each other item leaked -> its quoted share)."""
+        x = characters(text)
+        hits = self._hits(x)
+        if hits is None:
+            return {}, {}
         found: dict[int, int] = {}
-        for a, count in zip(edge[:-1], np.diff(edge), strict=True):
-            i, b = int(key[a, 0]), int(key[a, 1])
-            if count < self.least[i] or found.get(i) == 0:
+        for i, low, _ in bands(*hits, self.edits, self.least):
+            if found.get(i) == 0:
                 continue
             k = int(self.edits[i])
-            edits = edits_within(self.items[i][1], x, b * (k + 1), (b + 2) * (k + 1), k)
+            edits = edits_within(self.items[i][1], x, low, low + 2 * (k + 1), k)
             if edits is not None:
                 found[i] = min(edits, found.get(i, k))
-        return found
+        rest = ~np.isin(hits[0], list(found))
+        return found, self._quoted(x, *[h[rest] for h in hits])
+
+    def _quoted(self, x: np.ndarray, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> dict[int, float]:
+        """Number of each item of which the document quotes the share that counts -> share."""
+        might: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, low, places in bands(item, place, diagonal, self.slack, self.rich):
+            total = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(self.items[i][1]) - Q + 1))])
+            window = int(self.stretch[i]) - Q + 1
+            starts = np.flatnonzero(total[window:] - total[:-window] >= self.rich[i])
+            if len(starts):
+                might.setdefault(i, []).append((low, starts))
+        shares = {}
+        for i, parts in might.items():
+            whole, length, k = self.items[i][1], int(self.stretch[i]), int(self.slack[i])
+            enough = self.share * len(whole)
+            if covered(np.unique(np.concatenate([starts for _, starts in parts])), length, len(whole)) < enough:
+                continue
+            held = np.zeros(len(whole) - length + 1, bool)
+            for low, starts in parts:
+                held[stretches_within(whole, starts[~held[starts]], length, x, low, low + 2 * (k + 1), k)] = True
+            quoted = covered(np.flatnonzero(held), length, len(whole))
+            if quoted and quoted >= enough:
+                shares[i] = quoted / len(whole)
+        return shares
+
+
+FOUND = {"__items": T.LongType(), "__edits": T.IntegerType(), "__quoted": T.LongType(), "__shares": T.DoubleType()}
 
 
 def _pass(docs: DataFrame, items: Items) -> DataFrame:
@@ -171,39 +244,43 @@ def _pass(docs: DataFrame, items: Items) -> DataFrame:
         known = shared.value
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
-                ids, edits = [], []
-                for text, before, so_far in zip(batch.column("text").to_pylist(), batch.column("__items").to_pylist(), batch.column("__edits").to_pylist(), strict=True):
-                    found = sorted((known.items[i][0], e) for i, e in known.leaks(text or "").items())
-                    ids.append(before + [i for i, _ in found])
-                    edits.append(so_far + [e for _, e in found])
-                new = {"__items": pa.array(ids, pa.list_(pa.int64())), "__edits": pa.array(edits, pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c not in new else None) for c in names], names)
+                new = {c: batch.column(c).to_pylist() for c in FOUND}
+                for row, text in enumerate(batch.column("text").to_pylist()):
+                    whole, parts = known.leaks(text or "")
+                    for found, ids, values in ((whole, "__items", "__edits"), (parts, "__quoted", "__shares")):
+                        pairs = sorted((known.items[i][0], v) for i, v in found.items())
+                        new[ids][row] += [i for i, _ in pairs]
+                        new[values][row] += [v for _, v in pairs]
+                yield pa.RecordBatch.from_arrays([pa.array(new[c], batch.column(c).type) if c in new else batch.column(c) for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with item_ids (sorted) and the edits of each; the other columns stay."""
+def find(docs: DataFrame, benchmark: DataFrame, share: float = QUOTED_SHARE) -> DataFrame:
+    """docs with item_ids (sorted) of the items found whole and the edits of each, and quoted_ids (sorted) of others of
+    which at least `share` is quoted and the quoted_shares; the other columns stay."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))
-    rest = [c for c in docs.columns if c not in ("item_ids", "edits")]
-    state = docs.select(*[F.col(f"`{c}`") for c in rest], F.array().cast(T.ArrayType(T.LongType())).alias("__items"), F.array().cast(T.ArrayType(T.IntegerType())).alias("__edits"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("item_ids", "edits", "quoted_ids", "quoted_shares")]
+    state = docs.select(*rest, *[F.array().cast(T.ArrayType(kind)).alias(c) for c, kind in FOUND.items()])
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        state = _pass(state, Items(sorted((r.item_id, r.text) for r in own)))
-    pairs = F.array_sort(F.arrays_zip("__items", "__edits"))
-    return state.withColumn("__pairs", pairs).select(*[F.col(f"`{c}`") for c in rest], F.col("__pairs.__items").alias("item_ids"), F.col("__pairs.__edits").alias("edits"))
+        state = _pass(state, Items(sorted((r.item_id, r.text) for r in own), share))
+    state = state.withColumn("__whole", F.array_sort(F.arrays_zip("__items", "__edits"))).withColumn("__parts", F.array_sort(F.arrays_zip("__quoted", "__shares")))
+    return state.select(*rest, F.col("__whole.__items").alias("item_ids"), F.col("__whole.__edits").alias("edits"), F.col("__parts.__quoted").alias("quoted_ids"), F.col("__parts.__shares").alias("quoted_shares"))
 
 
 def op10_decontaminate(spark, sf_dir):
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("leaked"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "edits")
+    n = F.size("item_ids") + F.size("quoted_ids")
+    return found.select("doc_id", (n > 0).alias("leaked"), n.cast("long").alias("n_items"), "item_ids", "edits", "quoted_ids", "quoted_shares")
 
 
 def drop_leaks(spark, docs, sf_dir):
-    """Pipeline stage: documents that hold a benchmark item, within its edit budget, go."""
-    return find(docs, table(spark, sf_dir, "benchmark")).where(F.size("item_ids") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: documents that hold a benchmark item within its edit budget, or quote the share that counts, go."""
+    found = find(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("item_ids") + F.size("quoted_ids") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op10_decontaminate": op10_decontaminate}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -66,3 +67,45 @@ def test_odd_rows(spark):
     assert found == [(1, [1, 2]), (1, [1, 2]), (2, []), (3, []), (4, []), (5, [])]
     assert leaks.find(docs, benchmark.where("item_id > 9")).where(F.size("item_ids") > 0).count() == 0
     assert leaks.find(docs.where("doc_id > 9"), benchmark).collect() == []
+
+
+def brute_share(item, text):
+    """Share of the item's characters that lie in stretches found in the text."""
+    x = fold(item)
+    length = max(leaks.MIN_CHARS, min(leaks.STRETCH, math.ceil(len(x) * leaks.QUOTED_SHARE)))
+    k = min(int(length * leaks.EDIT_SHARE), (length - leaks.Q) // leaks.Q)
+    held = {p for s in range(len(x) - length + 1) if brute(x[s : s + length], text) <= k for p in range(s, s + length)}
+    return len(held) / len(x)
+
+
+def test_quoted_parts_against_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeéß") for _ in range(r.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((9, 12, 16, 25, 34))]
+    docs = []
+    for i in range(16):
+        item, parts = r.choice(items)[1], [text(4)]
+        for _ in range(r.choice([1, 1, 2])):
+            a = r.randrange(len(item) // 2)
+            part = list(item[a : a + r.randint(len(item) // 3, len(item))])
+            for _ in range(r.choice([0, 0, 1, 3, 6])):
+                part[r.randrange(len(part))] = "z"
+            parts += ["".join(part).upper() if r.random() < 0.2 else "".join(part), text(3)]
+        docs.append((i, " ".join(parts)))
+    found = leaks.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    some = 0
+    for x in found.collect():
+        want = {j: share for j, item in items if j not in x.item_ids and len(fold(item)) >= leaks.MIN_CHARS and (share := brute_share(item, docs[x.doc_id][1])) >= leaks.QUOTED_SHARE}
+        assert dict(zip(x.quoted_ids, x.quoted_shares, strict=True)) == want
+        some += bool(want)
+    assert 2 < some < 14
+
+
+def test_item_without_its_middle_line_is_dropped(spark, tmp_path):
+    lines = ["the first line of the item is long enough for anyone to tell", "a middle line goes", "the last line of the item says something else again, at length"]
+    spark.createDataFrame([(1, "\n".join(lines))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, f"{lines[0]}\n{lines[2]}"), (2, "first of the line, item long to tell " * 4), (3, lines[1]), (4, lines[0][:45] + " and so on")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in leaks.drop_leaks(spark, docs, str(tmp_path)).collect()) == [2, 3, 4]
+    loose = leaks.find(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")), share=0.25)
+    assert sorted(x.doc_id for x in loose.where(F.size("quoted_ids") > 0).collect()) == [1, 4]
