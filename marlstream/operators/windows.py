@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstream.session import stored
 
 
-def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+def _placed(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """df in order, with the number of the task that has a row, and the row's place there from 0. It is stored, as a
     second run of the sort might deal the rows out otherwise."""
     at = F.monotonically_increasing_id()
@@ -65,6 +65,21 @@ def appearance_order(df: DataFrame, key: str, order: str, name: str = "rank") ->
     return numbered(first, ["__first", key], name).drop("__first")
 
 
+def upper_medians(df: DataFrame, group: str, value: str, name: str = "median") -> DataFrame:
+    """(group, median): the value at half a group's length, rounded down, of its sorted values, nulls last. Equal values are
+    counted, the counts sorted by ranges, and of each group only the task that holds its middle is looked through."""
+    counts = df.groupBy(F.col(group).alias("__group"), F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    placed = _placed(counts, ["__group", F.asc_nulls_last("__value")])
+    so_far = lambda w, x: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tasks = placed.groupBy(F.col("__group").alias("__g"), F.col("__task").alias("__t")).agg(F.sum("__n").alias("__sum"))
+    own = Window.partitionBy("__g")
+    tasks = tasks.withColumn("__before", so_far(own.orderBy("__t"), "__sum") - F.col("__sum"))
+    tasks = tasks.withColumn("__wanted", F.floor(F.sum("__sum").over(own) / 2) - F.col("__before")).where("__wanted >= 0 AND __wanted < __sum")
+    middle = placed.join(tasks, F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__task") == F.col("__t")))
+    middle = middle.withColumn("__upto", so_far(Window.partitionBy("__group", "__task").orderBy("__at"), "__n"))
+    return middle.where("__upto - __n <= __wanted AND __wanted < __upto").select(F.col("__group").alias(group), F.col("__value").alias(name))
+
+
 def samples(df: DataFrame, group: list[str], order: list[str], n: int = 1) -> DataFrame:
     """The first n rows of each group. Spark keeps n rows for each group and task before it shuffles."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -222,7 +222,7 @@ def choice_fold(spark, sf_dir):
 
 @register("upper_median", "SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events GROUP BY 1")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(V.upper_median(F.collect_list("value")).alias("median"))
+    return windows.upper_medians(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 @register("count_by_type", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

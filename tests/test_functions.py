@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marlstream.functions import documents as D
@@ -9,6 +10,7 @@ from marlstream.functions import text as X
 from marlstream.functions import values as V
 from marlstream.operators import mapping as M
 from marlstream.operators import trees, windows
+from marlstream.plans import catalog
 
 #: input -> snake, flat, digit-safe, feed, component, field, schema
 GOLDEN = {
@@ -116,6 +118,28 @@ def test_numbering_over_many_tasks(spark):
     assert windows.numbered(df.where("id < 0"), ["id"]).collect() == []
 
 
+def test_upper_medians(spark):
+    rows = [(g, float(i * i % 97)) for g, n in (("a", 1), ("b", 2), ("c", 501), (None, 7)) for i in range(n)] + [("d", None), ("e", None), ("e", 2.0), ("e", 1.0), ("e", None), ("e", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = sorted((v for h, v in rows if h == g), key=lambda v: (v is None, v))
+        want[g] = own[len(own) // 2]
+    found = windows.upper_medians(df, "g", "v")
+    assert found.columns == ["g", "median"] and sorted(found.collect(), key=str) == sorted(want.items(), key=lambda x: str(Row(g=x[0], median=x[1])))
+    assert windows.upper_medians(df.where("g = 'x'"), "g", "v").collect() == []
+
+
+def test_upper_median_gathers_no_group(spark, tmp_path):
+    """The registered query keeps no array of a type's values, and counts nulls as its SQL twin does."""
+    events = [(i, "click", float(i % 50)) for i in range(5000)] + [(i, "view", None if i % 2 else float(i)) for i in range(9)]
+    spark.createDataFrame(events, "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.queries()["upper_median"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "ArraySort" not in plan
+    assert dict(found.collect()) == {"click": 25.0, "view": 8.0}
+
+
 def test_node_queries_agree(spark, sf_dir):
     """The flat nodes of a page hold the text that the parser gives."""
     from marlstream.plans import catalog
