@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstream.functions import values as V
 from marlstream.operators import merge
-from marlstream.session import stored
+from marlstream.session import dropped, stored
 
 #: fixed values: category domain of a feed -> content type
 DOMAINS = {"category": "categories", "post_tag": "tag", "term": "terms"}
@@ -84,7 +84,8 @@ def ancestors(nodes: DataFrame, uid: str, parent: str) -> DataFrame:
     while size:
         further = known.select(F.col("uid").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
         longer = known.join(further, "ancestor").select("uid", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
-        known = stored(known.unionByName(longer).groupBy("uid", "ancestor").agg(F.min("distance").alias("distance")))
+        last, known = known, stored(known.unionByName(longer).groupBy("uid", "ancestor").agg(F.min("distance").alias("distance")))
+        dropped(last)
         before, size = size, known.count()
         if size == before:
             break

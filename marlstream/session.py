@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -58,14 +60,44 @@ def _folder_of_tests() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset, as in tests, a folder in /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _folder_of_tests()
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a local master gets a folder in /tmp;
+    any other is refused, as its executors couldn't read each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _folder_of_tests()
     return found.rstrip("/")
 
 
+_stored_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _file_system(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder and its path; PySpark has no call of its own that deletes files."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a frame as Parquet to the shared folder and reads it back: what reads it twice gets the same rows in the
-    same tasks' order, and a lost executor costs a re-read."""
-    path = f"{shared_folder(df.sparkSession)}/marlstream-{uuid.uuid4().hex}"
+    same tasks' order, and a lost executor costs a re-read. What isn't `dropped` before goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/marlstream-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, own = _file_system(spark, path)
+    fs.deleteOnExit(own)
+    found = spark.read.schema(df.schema).parquet(path)
+    _stored_at[found] = path
+    return found
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames. Only for frames that nothing reads any more: what was made from them must have
+    been stored itself."""
+    for df in frames:
+        if (path := _stored_at.pop(df, None)) is not None:
+            fs, own = _file_system(df.sparkSession, path)
+            fs.delete(own, True)
+            fs.cancelDeleteOnExit(own)
