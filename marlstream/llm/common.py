@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstream.session import stored
+from marlstream.session import dropped, stored
+
+
+__all__ = ["dropped", "lower_ascii", "of_ids", "table", "written"]
+#: ids that may be broadcast, 16 MB of them
+BROADCAST_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +26,10 @@ def written(df: DataFrame) -> DataFrame:
 def lower_ascii(column):
     """Lower-cases A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among the distinct ids, a null id included. Texts are moved for it only if there are
+    more ids than may be broadcast."""
+    ids = written(ids.select(F.col("doc_id").alias("__of_id")))
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("__of_id")), "left_semi")
