@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 import re
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstream.llm import tool_chat, url_rules
@@ -29,28 +32,73 @@ def pages_and_labels(spark):
     return pages, spark.createDataFrame(flags, "doc_id long, quality int, toxic int")
 
 
-def test_url_rules_against_brute_force(spark):
-    pages, labels = pages_and_labels(spark)
-    found = {x.page_id: x for x in url_rules.judge(pages, labels).collect()}
-    tokens = {x.page_id: frozenset(x.t) for x in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
-    flags = {}
-    for x in labels.collect():
-        if x.quality is not None or x.toxic is not None:
-            flags[x.doc_id] = flags.get(x.doc_id, False) or x.toxic == 1 or x.quality == 0
-    taught = [(tokens[i], b) for i, b in flags.items() if i in tokens and tokens[i]]
+def brute_rules(taught):
+    """The rules that stay, from (token set, blocked) of each labelled URL."""
     sets = {frozenset(c) for t, _ in taught for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
     rules = {}
     for s in sets:
         n_all, n_block = sum(s <= t for t, _ in taught), sum(s <= t and b for t, b in taught)
         if n_block and n_block >= url_rules.MIN_SUPPORT * len(taught) and n_block / n_all >= url_rules.MIN_CONFIDENCE:
             rules[s] = n_block / n_all
-    rules = [s for s, c in rules.items() if not any(t < s and d >= c for t, d in rules.items())]
+    return [s for s, c in rules.items() if not any(t < s and d >= c for t, d in rules.items())]
+
+
+def check_against_brute_force(pages, labels, urls):
+    found = {x.page_id: x for x in url_rules.judge(pages, labels).collect()}
+    tokens = {x.page_id: frozenset(x.t) for x in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
+    flags = {}
+    for x in labels.collect():
+        if x.quality is not None or x.toxic is not None:
+            flags[x.doc_id] = flags.get(x.doc_id, False) or x.toxic == 1 or x.quality == 0
+    rules = brute_rules([(tokens[i], b) for i, b in flags.items() if i in tokens and tokens[i]])
     assert rules
-    for i, url in enumerate(URLS * 3):
+    for i, url in enumerate(urls):
         host, path, listed = rule_of(url)
-        fires = any(s <= tokens[i] for s in rules)
-        want = (host, path, listed[0], listed[1]) if listed else (host, path, None, "block" if fires else "allow")
-        assert (found[i].host, found[i].path, found[i].rule, found[i].verdict) == want, url
+        n = sum(s <= tokens[i] for s in rules)
+        want = (host, path, listed[0], listed[1]) if listed else (host, path, None, "block" if n else "allow")
+        assert (found[i].host, found[i].path, found[i].rule, found[i].verdict, found[i].n_fired) == (*want, n), url
+
+
+@pytest.mark.parametrize("fp_classes", [12, 0])
+def test_url_rules_against_brute_force(spark, monkeypatch, fp_classes):
+    monkeypatch.setattr(url_rules, "FP_CLASSES", fp_classes)
+    check_against_brute_force(*pages_and_labels(spark), URLS * 3)
+
+
+@pytest.mark.parametrize("fp_classes", [12, 0])
+def test_url_rules_of_several_tokens(spark, monkeypatch, fp_classes):
+    """Combinations that are blocked though their parts aren't."""
+    monkeypatch.setattr(url_rules, "FP_CLASSES", fp_classes)
+    r = random.Random(3)
+    urls = ["https://h{}.io/{}".format(r.randrange(2), "/".join(sorted(r.sample("abcdef", r.randrange(1, 5))))) for _ in range(60)]
+    blocked = [("/a/" in u + "/" and "/c/" in u + "/") or ("h1" in u and u.endswith("e")) or r.random() < 0.1 for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, b in enumerate(blocked)], "doc_id long, quality int, toxic int")
+    check_against_brute_force(pages, labels, urls)
+
+
+def test_url_rules_long_urls(spark):
+    """Forty segments, alone and as prefixes of one another, and one URL of some 100,000 characters."""
+    segments = [chr(97 + i // 20) + chr(97 + i % 20) for i in range(40)]
+    urls = ["https://long.io/" + "/".join(segments[:n]) for n in (40, 40, 30, 20)] + ["https://long.io/" + "/".join(f"{'xyz'[i % 3]}q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(14000)), "https://fine.io/aa"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    found = {x.page_id: x for x in url_rules.judge(pages, labels).collect()}
+    assert all(found[i].verdict == "block" for i in (0, 1, 2, 4))
+    tokens = {x.page_id: frozenset(x.t) for x in pages.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
+    assert len(tokens[4]) > 10_000
+    flags = {0: 1, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+    # rules of one token by brute force; those of more can only be better than the best inside them
+    share = lambda s: sum(flags[i] for i in flags if s <= tokens[i]) / sum(s <= tokens[i] for i in flags)
+    single = {t: share({t}) for t in set().union(*tokens.values())}
+    classes = {}
+    for t in sorted(single):
+        classes.setdefault(tuple(i for i in flags if t in tokens[i]), []).append(t)
+    firsts = {c[0]: len(c) for c in classes.values()}
+    rules = brute_rules([(tokens[i] & firsts.keys(), bool(b)) for i, b in flags.items()])
+    for i in flags:
+        want = sum(math.prod(firsts[t] for t in s) for s in rules if s <= tokens[i])
+        assert found[i].n_fired == want
 
 
 def test_url_rules_empty(spark):
