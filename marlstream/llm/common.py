@@ -28,8 +28,8 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the distinct ids, a null id included. Texts are moved for it only if there are
-    more ids than may be broadcast."""
+def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs whose doc_id is among the distinct ids, a null id included, or with "left_anti" the others. Texts are
+    moved for it only if there are more ids than may be broadcast."""
     ids = written(ids.select(F.col("doc_id").alias("__of_id")))
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("__of_id")), "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("__of_id")), how)

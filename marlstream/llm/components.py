@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstream.llm.common import written
+from marlstream.llm.common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -27,7 +27,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         found = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         found = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return written(found.where(F.col("u") != F.col("v")).distinct())
+    after = written(found.where(F.col("u") != F.col("v")).distinct())
+    dropped(least, edges)
+    return after
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. One pass makes each document's set of 5-word shingles (64-bit fingerprints), a fingerprint of the whole set, and
    from BANDS * ROWS universal hash minima the keys of the BANDS bands and an 8-bit signature. Documents with equal
-   sets are one class, and only its smallest id goes on.
+   sets are one class, with a number of its own, and only its smallest id goes on.
 2. Band buckets with more than one class give candidates. No bucket emits all pairs: first each member is paired
    with the bucket's smallest id. Pairs whose signatures agree too little to be links are dropped, the others are
    verified on the full sets. Verified links make components (large-star and small-star).
@@ -18,7 +18,7 @@ At a similarity of 0.75 a pair shares no band with a probability of 1e-6; signat
 
 Defined cases: a null text and one without words have an empty set and link with nothing; a document whose doc_id
 is null links with nothing, has a null component and is kept; rows that repeat a doc_id are one document, with the
-links of all of them; only the named columns are used, so further columns can't clash.
+links of all of them that have words, whatever their texts; only the named columns are used, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,15 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstream.llm.arrow_text import batches_of, utf8
-from marlstream.llm.common import table, written
+from marlstream.llm.common import dropped, of_ids, table, written
 from marlstream.llm.components import components
 from marlstream.llm.hashing import LOWER, coefficients, mixed, sequence_hashes, word_hashes, words
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
-#: ids that may be broadcast, 16 MB of them
-BROADCAST_IDS = 2_000_000
 #: members of a bucket that still meet one another directly
 SMALL = 16
 #: sizes within one class differ by this factor at most
@@ -87,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n, fp, keys, signs = [], [], [], []
                 for s in _sets(*utf8(batch.column("text"))):
                     n.append(len(s))
-                    fp.append((mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
+                    fp.append(_prints(s))
                     if len(s):
                         least = _minima(s, a, b)
                         keys.append(mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * rows).sum(axis=1, dtype=np.uint64) + band).astype(np.int64))
@@ -102,17 +100,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _prints(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two fingerprints of a set."""
+    return mixed(shingles).sum(dtype=np.uint64), mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct shingles as packed uint64."""
-    schema = docs.select("doc_id").schema.add("shingles", "binary")
+    """(fp1, fp2, shingles): the sorted distinct shingles as packed uint64."""
 
     def run(batches):
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
-                out = [s.tobytes() for s in _sets(*utf8(batch.column("text")))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], schema.names)
+                sets = list(_sets(*utf8(batch.column("text"))))
+                fp = np.array([_prints(s) for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp1", "fp2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "fp1 long, fp2 long, shingles binary")
 
 
 def _agree(batches):
@@ -132,42 +135,42 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u", "v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the distinct ids. Texts are moved for it only if there are more ids than may be
-    broadcast."""
-    ids = written(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def _sets_of(numbers: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes with these numbers (id)."""
+    asked = written(classes.join(numbers, "id").select("id", "fp1", "fp2", "rep"))
+    own = shingle_sets(of_ids(docs, asked.select(F.col("rep").alias("doc_id")).distinct()))
+    # rows of one id may have different texts, so the set is found by its fingerprints
+    return own.join(asked.select("id", "fp1", "fp2"), ["fp1", "fp2"]).select("id", "shingles").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of class ids those that are links: by signature first, then on the full sets."""
-    sign = classes.select(F.col("rep").alias("id"), "n", "signature")
-    side = lambda c: sign.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"sign_{c}"))
+    """Of pairs (u, v) of class numbers those that are links: by signature first, then on the full sets."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"sign_{c}"))
     fits = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
     likely = written(pairs.join(side("u"), "u").join(side("v"), "v").where(fits).select("u", "v", "sign_u", "sign_v").mapInArrow(_agree, "u long, v long"))
-    ids = likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct()
-    sets = written(shingle_sets(_of_ids(docs.select("doc_id", "text"), ids)).dropDuplicates(["doc_id"]))
-    full = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    return written(likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_similar, "u long, v long"))
+    sets = written(_sets_of(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct(), classes, docs))
+    full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    links = written(likely.join(full("u"), "u").join(full("v"), "v").mapInArrow(_similar, "u long, v long"))
+    dropped(likely, sets)
+    return links
 
 
-def _shingle_rows(docs: DataFrame) -> DataFrame:
-    """(rep, shingle), a row for each element of each set."""
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """(rep, shingle), a row for each element of each set (id, shingles)."""
 
     def run(batches):
         for whole in batches:
-            for batch in batches_of(whole, "text", BATCH_BYTES):
-                sets = list(_sets(*utf8(batch.column("text"))))
-                reps = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(sets).astype(np.int64))], ["rep", "shingle"])
+            for batch in batches_of(whole, "shingles", BATCH_BYTES):
+                data, offsets = utf8(batch.column("shingles"))
+                reps = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["rep", "shingle"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
+    return sets.mapInArrow(run, "rep long, shingle long")
 
 
-def _prefix_pairs(open_docs: DataFrame, docs: DataFrame) -> DataFrame:
+def _prefix_pairs(open_docs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidate pairs (u, v) by an exact prefix filter among open_docs (rep, n, component), not within a component."""
-    texts = _of_ids(docs, open_docs.select(F.col("rep").alias("doc_id")))
-    rows = written(_shingle_rows(texts).distinct())
+    rows = written(_shingle_rows(_sets_of(open_docs.select(F.col("rep").alias("id")), classes, docs)))
     common = written(rows.groupBy("shingle").agg(F.count("*").alias("n_docs")).where("n_docs > 1"))
     share = PERCENT / (100 + PERCENT)
     n, place = F.col("n"), F.col("n") - F.size("shared") + F.col("at") + 1
@@ -185,6 +188,7 @@ def _prefix_pairs(open_docs: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = early.withColumn("class", number(n)).withColumn("other", partner).where(F.col("place") <= n - F.ceil(share * (n + smallest)) + 1)
     key = ["shingle", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high")]
     keyed = written(keyed.select("rep", "n", "component", "place", *key))
+    dropped(common, rows)
     x, y = keyed.alias("x"), keyed.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     together = 1 + F.least(nx - F.col("x.place"), ny - F.col("y.place"))
@@ -195,32 +199,49 @@ def _prefix_pairs(open_docs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of rows that repeat a doc_id."""
+    prints = F.struct("fp1", "fp2")
+    ids = full.groupBy("doc_id").agg((F.min(prints) != F.max(prints)).alias("several")).where("several").select("doc_id")
+    members = written(full.select("doc_id", "fp1", "fp2").join(ids, "doc_id").distinct().join(classes.select("fp1", "fp2", "id"), ["fp1", "fp2"]).select("doc_id", "id"))
+    least = members.groupBy("doc_id").agg(F.min("id").alias("u"))
+    return members.join(least, "doc_id").where(F.col("id") != F.col("u")).select("u", F.col("id").alias("v"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id long, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(signatures(docs))
     full = seen.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("fp1", "fp2").agg(F.min_by(F.struct(F.col("doc_id").alias("rep"), "n", "bands", "signature"), "doc_id").alias("x"), F.count("*").alias("size")).select("fp1", "fp2", "size", "x.*"))
-    rows = classes.select("rep", F.explode("bands").alias("key"))
+    first = F.min_by(F.struct("n", "bands", "signature"), "doc_id")
+    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), first.alias("x"), F.count("*").alias("size"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "fp1", "fp2", "rep", "size", "x.*"))
+    rows = classes.select(F.col("id").alias("rep"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1")
     members = written(rows.join(shared.drop("size"), "key"))
     links = verified(members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct(), classes, docs)
+    links = written(links.unionByName(_same_id(full, classes)))
     found = components(links)
     placed = written(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component")))
+    dropped(members)
     apart = written(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a != b").select("key", "size"))
     few = written(placed.join(apart.where(F.col("size") <= SMALL), "key"))
     other = few.select("key", F.col("rep").alias("v"), F.col("component").alias("other"))
     met = few.join(other, "key").where((F.col("rep") < F.col("v")) & (F.col("component") != F.col("other"))).select(F.col("rep").alias("u"), "v")
-    open_docs = written(placed.join(apart.where(F.col("size") > SMALL), "key", "left_semi").select("rep", "component").distinct().join(classes.select("rep", "n"), "rep"))
-    more = verified(written(met.union(_prefix_pairs(open_docs, docs)).distinct()), classes, docs)
+    open_docs = written(placed.join(apart.where(F.col("size") > SMALL), "key", "left_semi").select("rep", "component").distinct().join(classes.select(F.col("id").alias("rep"), "n"), "rep"))
+    dropped(placed)
+    more = verified(written(met.union(_prefix_pairs(open_docs, classes, docs)).distinct()), classes, docs)
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    copies = classes.where("size > 1").select("fp1", "fp2", "rep")
+    # a component is told by the smallest doc_id of its classes
+    placed = written(classes.select("id", "fp1", "fp2", "rep", "size").join(found.withColumnRenamed("node", "id"), "id", "left"))
+    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("component_id"))
+    told = written(placed.where("component IS NOT NULL OR size > 1").join(least, "component", "left").select("fp1", "fp2", F.coalesce("component_id", "rep").alias("component_id")))
+    dropped(classes, links, more, few, apart, open_docs, placed)
     return (
-        seen.join(copies, ["fp1", "fp2"], "left")
-        .withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+        seen.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp1")).alias("fp1"), "fp2")
+        .join(told, ["fp1", "fp2"], "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -230,10 +251,16 @@ def op8_minhash(spark, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    """Pipeline stage: one document of each group stays, that of the smallest id; of rows with one id one stays."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    return own.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(own.where("doc_id IS NULL"))
+    """Pipeline stage: one document of each group stays, that of the smallest id; of rows with one id that of the least
+    hash of its text stays, or any of equal texts. Texts are moved only for ids that have several rows."""
+    gone = groups(docs).where("NOT kept").select("doc_id").distinct()
+    left = of_ids(docs, gone, "left_anti")
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = of_ids(left, again).groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64("text")).alias("x")).select("x.*")
+    return of_ids(left, again, "left_anti").select(*columns).unionByName(one)
 
 
 QUERIES = {"op8_minhash": op8_minhash}

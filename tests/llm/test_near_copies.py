@@ -65,6 +65,17 @@ def test_odd_ids_and_empty(spark):
     assert sorted(x.doc_id or -1 for x in kept.collect()) == [-1, 2] and kept.columns == ["doc_id", "text", "lang"]
 
 
+def test_one_id_with_several_texts(spark):
+    """All rows of an id are one document, with the links of each of its texts."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (3, b), (7, a), (8, a + " z"), (9, "c d e"), (9, "f g h"), (10, "f g h"), (11, "i j k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((x.doc_id, x.component_id, x.kept) for x in near_copies.groups(docs).collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 3, False), (9, 9, True), (9, 9, True), (10, 9, False), (11, 11, True)]
+    kept = sorted((x.doc_id, x.text) for x in near_copies.keep_one_of_each(spark, docs, "").collect())
+    assert [i for i, _ in kept] == [3, 9, 11] and kept[1][1] in ("c d e", "f g h")
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {x.component for x in components.components(edges).collect()} == {0}
