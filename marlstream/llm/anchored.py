@@ -3,10 +3,11 @@
 A window is `width` symbols in a row. Each window has an anchor inside it that depends on its symbols alone, so
 equal windows have equal anchors at equal offsets. Consecutive windows with one anchor are one row:
 
-    a      fingerprint of the anchor        r      fingerprint of all symbols that its windows cover
-    doc    the document's id                place  start of the first window, tag of the text, number of windows
+    a      fingerprint of the anchor        r, s   two independent fingerprints of all symbols that its windows cover
+    doc    the document's id                tag    64-bit hash of its text, for rows that repeat an id
+                                            place  start of the first window and number of windows
 
-Anchors that occur once are dropped. Where all rows of an anchor cover equal symbols (one r), their windows repeat
+Symbols are equal if r and s are, 128 bits in all. Anchors that occur once are dropped. Where all rows of an anchor cover equal symbols (one r), their windows repeat
 as a whole; only where r differs must single windows be looked at, and there only the first row of each r.
 """
 
@@ -16,21 +17,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstream.llm.common import written
-from marlstream.llm.hashing import mixed, powers
+from marlstream.llm.common import dropped, written
+from marlstream.llm.hashing import BASES, mixed, powers
 
-TAG_BITS, COUNT_BITS = 12, 12
+COUNT_BITS = 12
 MOST_WINDOWS = (1 << COUNT_BITS) - 1
-_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 class Stretches:
-    """Fingerprints of any stretches of a symbol sequence."""
+    """Fingerprints of any stretches of a symbol sequence; those of another number are independent if the symbols' names
+    are."""
 
-    def __init__(self, names: np.ndarray):
+    def __init__(self, names: np.ndarray, number: int = 0):
+        base = BASES[number]
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * powers(len(names))[: len(names)], dtype=np.uint64)])
-        self.back = powers(len(names) + 1, _INVERSE)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * powers(len(names), base)[: len(names)], dtype=np.uint64)])
+        self.back = powers(len(names) + 1, pow(base, -1, 1 << 64))
 
     def hashes(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         length = (end - start).astype(np.uint64)
@@ -65,38 +67,42 @@ def doc_key() -> Column:
 
 def tag() -> Column:
     """Tells rows of one id with different texts apart."""
-    return F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)).cast("long")
+    return F.xxhash64("text")
 
 
-def packed(start: np.ndarray, tags: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << (TAG_BITS + COUNT_BITS)) | (tags.astype(np.int64) << COUNT_BITS) | count.astype(np.int64)
+def packed(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << COUNT_BITS) | count.astype(np.int64)
 
 
 def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, count)"""
-    return place >> (TAG_BITS + COUNT_BITS), place & MOST_WINDOWS
+    return place >> COUNT_BITS, place & MOST_WINDOWS
 
 
-def tag_of(place: Column) -> Column:
-    return F.shiftright(place, COUNT_BITS).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
+def with_places(docs: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:
+    """docs (doc, tag, ...) with the column `places` of by_document()."""
+    return docs.join(places, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag")), how).drop("__doc", "__tag")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Of rows (a, r, doc, place) those whose anchor occurs more than once, with `many`: if its r differ. The group-by
-    is pre-aggregated and written, so that the join back to the rows can be split where an anchor is hot."""
-    groups = rows.groupBy("a").agg(F.count("*").alias("n"), (F.min("r") != F.max("r")).alias("many")).where("n > 1").select("a", "many")
-    return written(rows.join(written(groups), "a"))
+    """Of rows (a, r, s, doc, tag, place) those whose anchor occurs more than once, with `many`: if its r or s differ. The
+    group-by is pre-aggregated and written, so that the join back to the rows can be split where an anchor is hot."""
+    rs = F.struct("r", "s")
+    groups = written(rows.groupBy("a").agg(F.count("*").alias("n"), (F.min(rs) != F.max(rs)).alias("many")).where("n > 1").select("a", "many"))
+    found = written(rows.join(groups, "a"))
+    dropped(groups)
+    return found
 
 
 def first_places(rows: DataFrame) -> DataFrame:
-    """(a, r, many, doc, place, n): of equal rows the first, and how many there are."""
-    first = rows.groupBy("a", "r").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n"), F.first("many").alias("many"))
-    return written(first.select("a", "r", "many", "f.doc", "f.place", "n"))
+    """(a, r, s, many, doc, place, tag, n): of equal rows the first, and how many there are."""
+    first = rows.groupBy("a", "r", "s").agg(F.min(F.struct("doc", "place", "tag")).alias("f"), F.count("*").alias("n"), F.first("many").alias("many"))
+    return written(first.select("a", "r", "s", "many", "f.doc", "f.place", "f.tag", "n"))
 
 
-def by_document(places: DataFrame) -> DataFrame:
+def by_document(places: DataFrame, value: Column | str = "place") -> DataFrame:
     """(__doc, __tag, places): a document's rows together; as many as it has anchors at most."""
-    return places.groupBy(F.col("doc").alias("__doc"), tag_of(F.col("place")).alias("__tag")).agg(F.collect_list("place").alias("places"))
+    return places.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(value).alias("places"))
 
 
 def covered(n: int, places, width: int) -> np.ndarray:

@@ -8,7 +8,8 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_PRIME = 0x9E3779B97F4A7C15 | 1
+#: bases of independent fingerprints
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -18,7 +19,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, base: int = _PRIME) -> np.ndarray:
+def powers(n: int, base: int = BASES[0]) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     out = np.ones(max(1, n), np.uint64)
     done = 1
@@ -51,8 +52,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A fingerprint of each word's bytes."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, number: int = 0) -> np.ndarray:
+    """A fingerprint of each word's bytes; those of another number are independent of it."""
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
@@ -60,7 +61,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     first = np.cumsum(length) - length
     place = np.arange(total) - np.repeat(first, length)
     at = place + np.repeat(start, length)
-    value = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[place]
+    byte = data[at].astype(np.uint64) + np.uint64(1) if number == 0 else coefficients(256, 90 + number)[data[at]]
+    value = byte * powers(int(length.max()), BASES[number])[place]
     return mixed(np.add.reduceat(value, first) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

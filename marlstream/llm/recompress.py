@@ -100,17 +100,21 @@ def anchors(level: Symbols, starts: np.ndarray, width: int) -> np.ndarray:
     some = np.flatnonzero(n > 0)
     if not len(some):
         return out
-    rank = (mixed(level.name[inside]) & ~np.uint64((1 << 24) - 1)) | np.arange(len(inside), dtype=np.uint64)
+    rank = mixed(level.name[inside])
     size = n[some]
     power = np.frexp(size.astype(np.float64))[1] - 1
-    best = np.empty(len(some), np.uint64)
-    table = rank
+    best = np.empty(len(some), np.int64)
+    # least[i] is the number of the symbol of least rank among 2 ** k from i on, the leftmost of equals
+    least = np.arange(len(inside))
     for k in range(int(power.max()) + 1):
         if k:
             half = 1 << (k - 1)
-            table = np.minimum(table[:-half], table[half:]) if len(table) > half else table
+            if len(least) > half:
+                x, y = least[:-half], least[half:]
+                least = np.where(rank[y] < rank[x], y, x)
         own = np.flatnonzero(power == k)
         i = some[own]
-        best[own] = np.minimum(table[first[i]], table[last[i] - (1 << k)])
-    out[some] = inside[(best & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        x, y = least[first[i]], least[last[i] - (1 << k)]
+        best[own] = np.where(rank[y] < rank[x], y, x)
+    out[some] = inside[best]
     return out

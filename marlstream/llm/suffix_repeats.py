@@ -7,12 +7,14 @@ bytes have to be told apart, and induced sorting needs to sort a sample of them
    minimum among its neighbours; of the sampled ones the local minima are sampled again, LEVELS times. With each
    sample goes the stretch of bytes [low, high) that alone makes it be one. Every string of WIDTH bytes is induced
    from one sample inside it: the least of the highest level, the leftmost of equals. Consecutive strings of one
-   sample are one tuple (a, r, doc, place): a names the sample by its stretch, r all bytes that its strings cover.
-2. Sorting: Spark sorts the tuples by (a, r, doc, place), spilling sorted runs to disk and merging them. The order
-   goes on to the last column, so that a sample with a third of all tuples is spread over many tasks. Neighbours say
-   how far the common prefix goes: over all strings of the tuple (r equal: all repeat), into the sample (a equal:
+   sample are one tuple (a, r, s, doc, tag, place): a names the sample by its stretch, and r and s, of different bases
+   and symbols, all bytes that its strings cover. Bytes are equal if both are, 128 bits in all.
+2. Sorting: Spark sorts the tuples, spilling sorted runs to disk and merging them. The order goes on to the last
+   column, so that a sample with a third of all tuples is spread over many tasks. Suffixes are thus ordered by the names
+   of their stretches, not by their bytes: equal ones meet, and that is all that is asked. The common prefix of
+   neighbours is known in three steps: over all strings of the tuple (r, s equal: all repeat), into the sample (a equal:
    some may repeat) or less (none does). Tasks keep one run at a time; what lies at their ends is compared after.
-3. Induction: only tuples whose neighbours have a, but not r, are undecided; of tuples with one r a few stand for
+3. Induction: only tuples whose neighbours have a, but not r and s, are undecided; of equal tuples a few stand for
    all. They are cut into blocks of BLOCK strings by the distance from the sample, so that equal strings are in equal
    blocks. All strings of a block have its core in common: blocks (core, all bytes covered) are sorted and compared
    likewise, and the single strings of those that are still undecided after that.
@@ -38,7 +40,7 @@ from pyspark.sql import types as T
 
 from marlstream.llm import anchored
 from marlstream.llm.arrow_text import batches_of, utf8
-from marlstream.llm.common import table, written
+from marlstream.llm.common import dropped, table, written
 from marlstream.llm.hashing import coefficients, mixed
 
 WIDTH = 400
@@ -46,8 +48,9 @@ LEVELS = 3
 NAME = 8
 BLOCK = 32
 BATCH_BYTES = 1 << 20
-TUPLE = "a long, r long, doc long, place long, shift int"
-TUPLE_COLUMNS = ["a", "r", "doc", "place", "shift"]
+TUPLE = "a long, r long, s long, doc long, tag long, place long, shift int"
+TUPLE_COLUMNS = ["a", "r", "s", "doc", "tag", "place", "shift"]
+NAMES, ROW = TUPLE_COLUMNS[:3], TUPLE_COLUMNS[3:]
 #: kinds of rows that a sorted stretch of tuples gives
 REPEATS, UNDECIDED, EDGE = 1, 2, 3
 _BYTES = coefficients(256, 7)
@@ -63,11 +66,30 @@ class Samples:
         return len(self.name)
 
 
-def every_place(data: np.ndarray, offsets: np.ndarray) -> Samples:
-    """All suffixes with NAME bytes or more, named by these."""
+class Names:
+    """Two independent fingerprints of stretches of bytes: one of bytes, one of the NAME bytes from each place on."""
+
+    def __init__(self, data: np.ndarray):
+        self.bytes = anchored.Stretches(_BYTES[data])
+        self.grams = anchored.Stretches(grams(data), 1)
+
+    def first(self, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        return self.bytes.hashes(start, end, seed)
+
+    def second(self, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        return self.grams.hashes(start, np.maximum(start, end - NAME + 1), seed)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """A name of the NAME bytes from each place on."""
     padded = np.zeros(len(data) + NAME, np.uint8)
     padded[: len(data)] = data
-    name = mixed(np.ndarray(len(data), "<u8", buffer=padded, strides=(1,)).copy())
+    return mixed(np.ndarray(len(data), "<u8", buffer=padded, strides=(1,)).copy())
+
+
+def every_place(data: np.ndarray, offsets: np.ndarray) -> Samples:
+    """All suffixes with NAME bytes or more, named by these."""
+    name = grams(data)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.flatnonzero(np.arange(len(data)) + NAME <= offsets[1:][text])
     return Samples(name[at], text[at], at, at + NAME)
@@ -149,64 +171,73 @@ def strings_by_sample(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH)
 
 
 def tuples(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (a, r, doc, place, shift) of docs (doc, tag, text): shift is the sample's distance from the first string."""
+    """Rows (*TUPLE_COLUMNS) of docs (doc, tag, text): shift is the sample's distance from the first string."""
 
     def run(batches):
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
                 data, offsets = utf8(batch.column("text"))
                 level, low, high, text, first, last = strings_by_sample(data, offsets, width)
-                stretch = anchored.Stretches(_BYTES[data])
-                a = stretch.hashes(low, high, 0) ^ coefficients(LEVELS + 1, 8)[level]
-                r = stretch.hashes(first, last + width, 1)
-                doc, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
-                place = anchored.packed(first - offsets[text], tags[text], last - first + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(doc[text]), pa.array(place), pa.array((low - first).astype(np.int32))], TUPLE_COLUMNS)
+                names = Names(data)
+                a = names.first(low, high, 0) ^ coefficients(LEVELS + 1, 8)[level]
+                r, s = names.first(first, last + width, 1), names.second(first, last + width, 1)
+                doc, tags = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "tag"))
+                place = anchored.packed(first - offsets[text], last - first + 1)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (a, r, s, doc, tags, place)), pa.array((low - first).astype(np.int32))], TUPLE_COLUMNS)
 
     return docs.mapInArrow(run, TUPLE)
 
 
+SAID = "kind int, doc long, tag long, place long, shift int, pid long, a long, r long, s long, n long, differs boolean"
+
+
 def _compare(batches):
-    """Over sorted (a, r, doc, place, shift): rows of kind REPEATS or UNDECIDED, and an EDGE for the first and the last run of
-    equal (a, r) of this task, as the neighbours of those aren't known here. State: the last run and its neighbour."""
+    """Over sorted tuples: rows of kind REPEATS or UNDECIDED, and an EDGE for the first and the last run of equal names of
+    this task, as the neighbours of those aren't known here. State: the last run and its neighbour."""
     pid = TaskContext.get().partitionId()
-    names = ["kind", "doc", "place", "shift", "pid", "a", "r", "n", "differs"]
+    names = ["kind", *ROW, "pid", *NAMES, "n", "differs"]
 
-    def out(kind, doc, place, shift, a=None, r=None, n=None, differs=None):
-        m = len(doc)
+    def out(kind, row, key=None, n=None, differs=None):
+        m = len(row[0])
         of = lambda x, t: pa.nulls(m, t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(shift, pa.int32()), pa.array(np.full(m, pid, np.int64)), of(a, pa.int64()), of(r, pa.int64()), of(n, pa.int64()), of(differs, pa.bool_())], names)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        key = [None] * len(NAMES) if key is None else key
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(m, kind, np.int32)), *(pa.array(x, t) for x, t in zip(row, kinds, strict=True)), pa.array(np.full(m, pid, np.int64)), *(of(x, pa.int64()) for x in key), of(n, pa.int64()), of(differs, pa.bool_())], names
+        )
 
-    # the run that may go on: (a, r, its first row, rows, a of the run before it, is it the task's first)
+    # the run that may go on: (its names, its first row, rows, a of the run before it, is it the task's first)
     held = None
 
     def close(run, after):
         """What is said of a run's first row once the next run's a is known."""
-        a, r, row, n, before, is_first = run
-        differs = before == a or after == a
+        key, row, n, before, is_first = run
+        differs = before == key[0] or after == key[0]
         if is_first:
-            yield out(EDGE, *row, [a], [r], [n], [bool(differs)])
+            yield out(EDGE, row, [[x] for x in key], [n], [bool(differs)])
             return
         if n > 1:
-            yield out(REPEATS, *row)
+            yield out(REPEATS, row)
         if differs:
-            yield out(UNDECIDED, *row)
+            yield out(UNDECIDED, row)
 
     for batch in batches:
-        a, r, *rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in TUPLE_COLUMNS)
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in TUPLE_COLUMNS]
+        keys, rows = columns[: len(NAMES)], columns[len(NAMES) :]
+        a = keys[0]
         if not len(a):
             continue
         new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-        if held is not None and held[0] == a[0] and held[1] == r[0]:
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        if held is not None and all(x == k[0] for x, k in zip(held[0], keys, strict=True)):
             new[0] = False
         first = np.flatnonzero(new)
         later = np.flatnonzero(~new)
         if len(later):
-            yield out(REPEATS, *(x[later] for x in rows))
+            yield out(REPEATS, [x[later] for x in rows])
         if held is not None:
             more = int(first[0]) if len(first) else len(a)
-            held = (*held[:3], held[3] + more, *held[4:])
+            held = (*held[:2], held[2] + more, *held[3:])
         if not len(first):
             continue
         size = np.diff(np.append(first, len(a)))
@@ -220,49 +251,50 @@ def _compare(batches):
         if held is None:
             has_before[0], before[0] = False, 0
         else:
-            before[0] = held[0]
+            before[0] = held[0][0]
         inner = slice(0, len(first) - 1)
         differs = ((before == fa) & has_before)[inner] | (fa[inner] == fa[1:])
         i = np.arange(len(first) - 1)
         if task_first and len(i):
-            yield out(EDGE, *(x[first[:1]] for x in rows), fa[:1], r[first[:1]], size[:1], differs[:1])
+            yield out(EDGE, [x[first[:1]] for x in rows], [k[first[:1]] for k in keys], size[:1], differs[:1])
             i, differs = i[1:], differs[1:]
         again = first[i][size[i] > 1]
         if len(again):
-            yield out(REPEATS, *(x[again] for x in rows))
+            yield out(REPEATS, [x[again] for x in rows])
         undecided = first[i][differs]
         if len(undecided):
-            yield out(UNDECIDED, *(x[undecided] for x in rows))
+            yield out(UNDECIDED, [x[undecided] for x in rows])
         k = first[-1]
-        held = (a[k], r[k], [x[k : k + 1] for x in rows], int(size[-1]), before[-1] if has_before[-1] else None, task_first and len(first) == 1)
+        held = ([x[k] for x in keys], [x[k : k + 1] for x in rows], int(size[-1]), before[-1] if has_before[-1] else None, task_first and len(first) == 1)
     if held is not None:
-        a, r, row, n, before, _ = held
-        yield out(EDGE, *row, [a], [r], [n], [before is not None and bool(before == a)])
+        key, row, n, before, _ = held
+        yield out(EDGE, row, [[x] for x in key], [n], [before is not None and bool(before == key[0])])
 
 
 def sorted_and_compared(rows: DataFrame) -> DataFrame:
-    """(kind, doc, place, shift): the tuples that repeat as a whole, and those that may in part."""
-    ordered = written(rows).orderBy("a", "r", "doc", "place")
-    said = written(ordered.mapInArrow(_compare, "kind int, doc long, place long, shift int, pid long, a long, r long, n long, differs boolean"))
+    """(kind, *ROW): the tuples that repeat as a whole, and those that may in part."""
+    unsorted = written(rows)
+    said = written(unsorted.orderBy(*NAMES, "doc", "place", "tag").mapInArrow(_compare, SAID))
+    dropped(unsorted)
     # two rows a task at most, so that one window over all is small whatever the corpus
-    by_task = Window.orderBy("pid", "a", "r")
+    by_task = Window.orderBy("pid", *NAMES)
     edges = said.where(F.col("kind") == EDGE)
-    for c in ("pid", "a", "r"):
+    for c in ("pid", *NAMES):
         edges = edges.withColumn(f"{c}_before", F.lag(c).over(by_task)).withColumn(f"{c}_after", F.lead(c).over(by_task))
     across = lambda side: F.coalesce((F.col(f"pid_{side}") != F.col("pid")) & (F.col(f"a_{side}") == F.col("a")), F.lit(False))
-    same = lambda side: across(side) & (F.col(f"r_{side}") == F.col("r"))
+    same = lambda side: across(side) & (F.col(f"r_{side}") == F.col("r")) & (F.col(f"s_{side}") == F.col("s"))
     repeats = (F.col("n") > 1) | same("before") | same("after")
     differs = F.col("differs") | (across("before") & ~same("before")) | (across("after") & ~same("after"))
     return (
-        said.where(F.col("kind") != EDGE).select("kind", "doc", "place", "shift")
-        .unionByName(edges.where(repeats).select(F.lit(REPEATS).alias("kind"), "doc", "place", "shift"))
-        .unionByName(edges.where(differs).select(F.lit(UNDECIDED).alias("kind"), "doc", "place", "shift"))
+        said.where(F.col("kind") != EDGE).select("kind", *ROW)
+        .unionByName(edges.where(repeats).select(F.lit(REPEATS).alias("kind"), *ROW))
+        .unionByName(edges.where(differs).select(F.lit(UNDECIDED).alias("kind"), *ROW))
     )
 
 
 def _at_places(docs: DataFrame, said: DataFrame, make) -> DataFrame:
-    """Tuples that `make` gets from the undecided places: it is given the fingerprints of a batch, and for each place
-    its text's first byte, its start there, its number of strings and its shift, and returns (a, r, place number,
+    """Tuples that `make` gets from the undecided places: it is given the names of a batch, and for each place
+    its text's first byte, its start there, its number of strings and its shift, and returns (a, r, s, place number,
     start, number of strings, shift)."""
 
     def run(batches):
@@ -273,14 +305,12 @@ def _at_places(docs: DataFrame, said: DataFrame, make) -> DataFrame:
                 text = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
                 place, shift = (listed.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("place", "shift"))
                 first, count = anchored.unpacked(place)
-                a, r, of, first, count, shift = make(anchored.Stretches(_BYTES[data]), offsets[:-1][text], first, count, shift.astype(np.int64))
+                a, r, s, of, first, count, shift = make(Names(data), offsets[:-1][text], first, count, shift.astype(np.int64))
                 doc, tags = (batch.column(c).to_numpy(zero_copy_only=False)[text[of]] for c in ("doc", "tag"))
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(doc), pa.array(anchored.packed(first, tags, count)), pa.array(shift.astype(np.int32))], TUPLE_COLUMNS)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (a, r, s, doc, tags, anchored.packed(first, count))), pa.array(shift.astype(np.int32))], TUPLE_COLUMNS)
 
-    undecided = said.where(F.col("kind") == UNDECIDED).select("doc", "place", "shift").distinct()
-    grouped = undecided.groupBy(F.col("doc").alias("__doc"), anchored.tag_of(F.col("place")).alias("__tag")).agg(F.collect_list(F.struct("place", "shift")).alias("places"))
-    joined = docs.join(grouped, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag"))).select("doc", "tag", "text", "places")
-    return joined.mapInArrow(run, TUPLE)
+    undecided = said.where(F.col("kind") == UNDECIDED).select(*ROW).distinct()
+    return anchored.with_places(docs, anchored.by_document(undecided, F.struct("place", "shift"))).mapInArrow(run, TUPLE)
 
 
 def _expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +321,7 @@ def _expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def blocks(docs: DataFrame, said: DataFrame, width: int = WIDTH) -> DataFrame:
     size = max(1, min(BLOCK, width // 4))
 
-    def make(stretch, base, first, count, shift):
+    def make(names, base, first, count, shift):
         # distances of strings from the sample run from shift down to shift - count + 1; a block has `size` of them
         low, high = (shift - count + 1) // size, shift // size
         of, i = _expanded(high - low + 1)
@@ -299,21 +329,21 @@ def blocks(docs: DataFrame, said: DataFrame, width: int = WIDTH) -> DataFrame:
         begin = np.maximum(first[of], sample - (block * size + size - 1))
         stop = np.minimum(first[of] + count[of] - 1, sample - block * size)
         core = base[of] + sample - block * size
-        a = stretch.hashes(core, core - size + 1 + width, 4) ^ mixed(block.astype(np.uint64))
-        r = stretch.hashes(base[of] + begin, base[of] + stop + width, 5)
-        return a, r, of, begin, stop - begin + 1, sample - begin
+        a = names.first(core, core - size + 1 + width, 4) ^ mixed(block.astype(np.uint64))
+        r, s = (x(base[of] + begin, base[of] + stop + width, 5) for x in (names.first, names.second))
+        return a, r, s, of, begin, stop - begin + 1, sample - begin
 
     return _at_places(docs, said, make)
 
 
 def single_strings(docs: DataFrame, said: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One tuple for each string, a and r being two names of it."""
+    """One tuple for each string, of which a is a name and s another one."""
 
-    def make(stretch, base, first, count, shift):
+    def make(names, base, first, count, shift):
         of, i = _expanded(count)
         at = first[of] + i
-        a, r = (stretch.hashes(base[of] + at, base[of] + at + width, seed) for seed in (2, 3))
-        return a, r, of, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+        a, s = (x(base[of] + at, base[of] + at + width, 2) for x in (names.first, names.second))
+        return a, np.zeros(len(at), np.int64), s, of, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
 
     return _at_places(docs, said, make)
 
@@ -325,7 +355,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     part = sorted_and_compared(blocks(docs, whole, width))
     single = sorted_and_compared(single_strings(docs, part, width))
     found = whole.unionByName(part).unionByName(single)
-    return anchored.by_document(found.where(F.col("kind") == REPEATS).select("doc", "place"))
+    return anchored.by_document(found.where(F.col("kind") == REPEATS).select("doc", "tag", "place"))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
@@ -333,7 +363,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFr
     stretches [start, end), kept the bytes left."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), anchored.doc_key().alias("doc"), anchored.tag().alias("tag"))
     found = repeats(docs, width)
-    joined = own.join(found, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag")), "left").select("doc_id", "text", "places")
+    joined = anchored.with_places(own, found, "left").select("doc_id", "text", "places")
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if with_text:
         span = T.StructType().add("start", "long").add("end", "long")

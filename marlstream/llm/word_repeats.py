@@ -7,7 +7,8 @@ ROUNDS rounds of recompression (see recompress.py) name runs and pairs of words.
 the highest round that its own words make be there, the one of least hash among several; windows near a text's
 ends may have none and take one of a lower round, in the end a word. Spark counts the anchors, keeps those that are
 shared, and within them compares the whole stretches around them, and where those differ each window (see
-anchored.py); an anchor's fingerprint is of all words that make it be there.
+anchored.py); an anchor's fingerprint is of all words that make it be there. Stretches and windows are equal if two
+independent 64-bit fingerprints of all their words are.
 
 Defined cases: a null or empty text has no words; texts of fewer than WIDTH words lose nothing; a null doc_id comes
 before all others; repeated rows (same id and text) are one document and get equal results; rows of one id with
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstream.llm import anchored
 from marlstream.llm.arrow_text import batches_of, utf8
-from marlstream.llm.common import table, written
+from marlstream.llm.common import dropped, table, written
 from marlstream.llm.hashing import word_hashes, words
 from marlstream.llm.recompress import anchors, levels
 
@@ -36,7 +37,7 @@ BATCH_BYTES = 1 << 20
 
 
 def anchor_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (a, r, doc, place) of docs (doc, tag, text)."""
+    """Rows (a, r, s, doc, tag, place) of docs (doc, tag, text)."""
 
     def run(batches):
         for whole in batches:
@@ -46,7 +47,7 @@ def anchor_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 names = word_hashes(data, start, end)
                 n = np.bincount(of, minlength=batch.num_rows)
                 starts = anchored.windows_of(n, width)
-                stretch = anchored.Stretches(names)
+                stretch, second = anchored.Stretches(names), anchored.Stretches(word_hashes(data, start, end, 1), 1)
                 base = np.cumsum(n) - n
                 left, out = starts, []
                 for number, level in reversed(list(enumerate(levels(names, of, ROUNDS)))):
@@ -56,29 +57,29 @@ def anchor_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     first, last = anchored.runs_of(own, at)
                     symbol = at[first]
                     a = stretch.hashes(level.low[symbol], level.high[symbol], number + 1)
-                    r = stretch.hashes(own[first], own[last] + width)
+                    r, s = (x.hashes(own[first], own[last] + width) for x in (stretch, second))
                     text = of[own[first]] if len(first) else np.zeros(0, np.int64)
-                    out.append((a, r, text, own[first], last - first + 1))
+                    out.append((a, r, s, text, own[first], last - first + 1))
                     left = left[~has]
                     if not len(left):
                         break
-                a, r, text, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
+                a, r, s, text, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
                 doc, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
-                place = anchored.packed(first - base[text], tags[text], count)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(doc[text]), pa.array(place)], ["a", "r", "doc", "place"])
+                place = anchored.packed(first - base[text], count)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (a, r, s)), pa.array(doc[text]), pa.array(tags[text]), pa.array(place)], ["a", "r", "s", "doc", "tag", "place"])
 
-    return docs.mapInArrow(run, "a long, r long, doc long, place long")
+    return docs.mapInArrow(run, "a long, r long, s long, doc long, tag long, place long")
 
 
 def _single_windows(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """(w, doc, place): a fingerprint of each window of the places."""
+    """(w, v, doc, tag, place): two fingerprints of each window of the places."""
 
     def run(batches):
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
                 data, offsets = utf8(batch.column("text"))
                 start, end, of = words(data, offsets)
-                stretch = anchored.Stretches(word_hashes(data, start, end))
+                stretches = [anchored.Stretches(word_hashes(data, start, end, i), i) for i in (0, 1)]
                 base = np.searchsorted(of, np.arange(batch.num_rows))
                 listed = batch.column("places")
                 text = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
@@ -86,13 +87,10 @@ def _single_windows(docs: DataFrame, places: DataFrame, width: int) -> DataFrame
                 at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 text = np.repeat(text, count)
                 doc, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
-                w = stretch.hashes(at + base[text], at + base[text] + width)
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(doc[text]), pa.array(anchored.packed(at, tags[text], np.ones(len(at), np.int64)))], ["w", "doc", "place"])
+                w, v = (x.hashes(at + base[text], at + base[text] + width).astype(np.int64) for x in stretches)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(v), pa.array(doc[text]), pa.array(tags[text]), pa.array(anchored.packed(at, np.ones(len(at), np.int64)))], ["w", "v", "doc", "tag", "place"])
 
-    grouped = anchored.by_document(places)
-    joined = docs.join(grouped, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag"))).select("doc", "tag", "text", "places")
-    # rows that repeat a document count once
-    return joined.mapInArrow(run, "w long, doc long, place long")
+    return anchored.with_places(docs, anchored.by_document(places)).mapInArrow(run, "w long, v long, doc long, tag long, place long")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -100,13 +98,15 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select(anchored.doc_key().alias("doc"), anchored.tag().alias("tag"), "text").where("text IS NOT NULL")
     shared = anchored.repeated(anchor_rows(docs, width))
     first = anchored.first_places(shared)
-    here = F.struct("doc", "place")
-    again = first.where("n > 1").select("a", "r", here.alias("f"))
-    later = shared.join(again, ["a", "r"]).where(here != F.col("f")).select("doc", "place")
-    single = written(_single_windows(docs, first.where("many").select("doc", "place"), width))
-    least = written(single.groupBy("w").agg(F.min(here).alias("f"), F.count("*").alias("n")).where("n > 1").select("w", "f"))
-    edges = single.join(least, "w").where(here != F.col("f")).select("doc", "place")
-    return anchored.by_document(later.unionByName(edges))
+    here = F.struct("doc", "place", "tag")
+    again = first.where("n > 1").select("a", "r", "s", here.alias("f"))
+    later = shared.join(again, ["a", "r", "s"]).where(here != F.col("f")).select("doc", "tag", "place")
+    single = written(_single_windows(docs, first.where("many").select("doc", "tag", "place"), width))
+    least = written(single.groupBy("w", "v").agg(F.min(here).alias("f"), F.count("*").alias("n")).where("n > 1").select("w", "v", "f"))
+    edges = single.join(least, ["w", "v"]).where(here != F.col("f")).select("doc", "tag", "place")
+    found = written(anchored.by_document(later.unionByName(edges)))
+    dropped(shared, first, single, least)
+    return found
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
@@ -114,7 +114,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFr
     single spaces."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), anchored.doc_key().alias("doc"), anchored.tag().alias("tag"))
     found = repeats(docs, width)
-    joined = own.join(found, (F.col("doc") == F.col("__doc")) & (F.col("tag") == F.col("__tag")), "left").select("doc_id", "text", "places")
+    joined = anchored.with_places(own, found, "left").select("doc_id", "text", "places")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept", "string")

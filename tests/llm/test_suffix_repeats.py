@@ -58,6 +58,21 @@ def test_spans_and_bytes(spark):
     assert [tuple(s) for s in found[1].spans] == [(5, 5 + len(same))] and found[3].spans == []
 
 
+def test_several_texts_of_one_id(spark):
+    a, b = ("".join(f"{c}{i}," for i in range(200)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (None, b + a[:90]), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(x) for x in suffix_repeats.dedup(docs, width=100, with_text=False).collect()), key=repr) == brute(rows, 100)
+
+
+def test_texts_that_one_polynomial_cannot_tell_apart(spark):
+    """A Thue-Morse sequence of 2 ** 11 symbols and its complement have equal sums modulo 2 ** 64 for any odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 11))
+    rows = [(1, one), (2, one.translate({97: "b", 98: "a"})), (3, "c" * 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in suffix_repeats.dedup(docs, width=2000, with_text=False).collect()) == brute(rows, 2000)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_repeats.dedup(docs, width=30).collect() == []

@@ -53,3 +53,10 @@ def test_odd_rows(spark):
     found = sorted((x.doc_id or -1, x.n_removed, x.kept) for x in word_repeats.dedup(docs).collect())
     assert found == [(-1, 0, same), (2, 25, ""), (3, 25, "x"), (3, 25, "x")]
     assert word_repeats.dedup(docs.where("doc_id > 9")).collect() == []
+
+
+def test_several_texts_of_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (None, b)], "doc_id long, text string").repartition(3)
+    found = sorted((x.doc_id or 0, x.n_removed, x.kept) for x in word_repeats.dedup(docs).collect())
+    assert found == [(0, 0, b), (1, 0, a), (1, 0, a), (1, 60, ""), (2, 60, "")]
