@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into three transducers. The normaliser maps spaces to U+2581 and may put one in front.
-The piece transducer has a state for each piece read last and an arc for each piece that may follow it, weighted
-with minus the piece's score. The fallback turns a character that is no piece into byte pieces. A text is composed
-with them and the path of least total weight (tropical semiring) is its encoding.
+A model file is compiled into three transducers. The normaliser rewrites the longest strings that its rules know, maps
+spaces to U+2581 and may put one in front or take out needless ones. The piece transducer has a state for each piece read
+last and an arc for each piece that may follow it, weighted with minus the piece's score. The fallback turns a character
+that is no piece into byte pieces, or the unknown piece. A text is composed with them and the path of least total weight
+(tropical semiring) is its encoding, found in one pass over the positions of the normalised text. Where all paths that
+are still open at the end of a block go through one state, the path up to there is done, so that memory stays small
+however long a text is.
 
-The supplied vocabulary is a BPE one: the right segmentation is the one that merging by score ends in, not the one
-of least summed score. A segmentation is that one exactly if merging leaves each two neighbouring pieces, taken
-alone, as they are; so the arcs are those pairs, found by merging the pair's text once, and kept. Then a prefix of
-the text has one state that can be reached, and the search carries one state for each position. Runs of spaces,
-whose pieces all have one score, are merged directly.
+In a Unigram model all arcs exist and the weights decide. In a BPE one the right segmentation is the one that merging by
+score ends in, not the one of least summed score. A segmentation is that one exactly if merging leaves each two
+neighbouring pieces, taken alone, as they are; so the arcs are those pairs, found by merging the pair's text once, and
+kept. Then a prefix of the text has one state that can be reached, and the search carries one state for each position.
 
-No piece has U+2581 inside or a line feed, so texts are composed part by part, and the parts seen most lately are
-kept, twice MAX_KEPT of them at most.
+A long run of spaces begins with its longest piece over and over; this is confirmed for the model when it is compiled, and
+then only the last few of a run are composed, with the word behind them.
+
+If no piece has U+2581 inside or a line feed, texts are composed part by part, and the parts seen most lately are
+kept, twice KEPT_BYTES of them at most. Of the arcs MAX_ARCS are kept.
 
 Defined cases: a null text stays null when decoded and has no ids, an empty text has no ids and decodes to itself;
 bytes that are no UTF-8 decode to U+FFFD each; a text's own U+2581 decodes to a space, as in the library itself;
@@ -37,7 +42,14 @@ from marlstream.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_KEPT = 250_000
+#: of parts and their ids; a part of more than LONG_PART characters isn't kept
+KEPT_BYTES, LONG_PART = 16 << 20, 200
+MAX_ARCS = 1_000_000
+#: positions that are searched at a time
+BLOCK = 1 << 16
+#: what an unknown character costs more than the worst piece of a Unigram model (fixed value of the library)
+UNKNOWN_PENALTY = 10.0
+UNIGRAM, BPE = 1, 2
 BATCH_BYTES = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -75,7 +87,8 @@ class Vocabulary:
 
     def __init__(self, model: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
-        self.dummy_prefix, self.byte_fallback, self.unknown = True, False, " ⁇ "
+        self.kind, self.byte_fallback, self.unknown = UNIGRAM, False, " ⁇ "
+        self.dummy_prefix, self.fewer_spaces, self.rules = True, True, b""
         for number, value in _fields(model):
             if number == 1:
                 piece, score, kind = "", 0.0, NORMAL
@@ -92,13 +105,68 @@ class Vocabulary:
             elif number == 2:
                 found = dict(_fields(value))
                 self.byte_fallback = bool(found.get(35, 0))
-                if found.get(3, 1) != 2:
-                    raise ValueError("only BPE models are supported")
+                self.kind = found.get(3, UNIGRAM)
+                if self.kind not in (UNIGRAM, BPE) or found.get(24):
+                    raise ValueError("only Unigram and BPE models with spaces in front of words are supported")
             elif number == 3:
                 found = dict(_fields(value))
-                self.dummy_prefix = bool(found.get(3, 1))
-                if found.get(2) or found.get(4, 1):
-                    raise ValueError("only the identity normaliser that keeps white space is supported")
+                self.dummy_prefix, self.fewer_spaces = bool(found.get(3, 1)), bool(found.get(4, 1))
+                self.rules = found.get(2, b"")
+                if not found.get(5, 1):
+                    raise ValueError("only models that turn spaces into U+2581 are supported")
+
+
+def rules_of(charsmap: bytes) -> dict[str, str]:
+    """The rewriting rules of a model file: a double-array trie of the strings to replace, then their replacements."""
+    if not charsmap:
+        return {}
+    size = struct.unpack("<I", charsmap[:4])[0]
+    units, texts = np.frombuffer(charsmap[4 : 4 + size], "<u4"), charsmap[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
+    labels = np.arange(1, 256)
+    found, open_ = {}, [(0, b"")]
+    while open_:
+        node, key = open_.pop()
+        base = node ^ offset(int(units[node]))
+        if key and units[node] >> 8 & 1:
+            at = int(units[base]) & 0x7FFFFFFF
+            found[key.decode()] = texts[at : texts.index(0, at)].decode()
+        next_ = base ^ labels
+        next_, label = next_[next_ < len(units)], labels[next_ < len(units)]
+        fits = (units[next_] & 0x800000FF) == label
+        open_ += [(int(n), key + bytes([x])) for n, x in zip(next_[fits], label[fits], strict=True)]
+    return found
+
+
+class Normaliser:
+    """The transducer from texts to normalised texts."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.rules = rules_of(vocabulary.rules)
+        self.longest: dict[str, int] = {}
+        for key in self.rules:
+            self.longest[key[0]] = max(len(key), self.longest.get(key[0], 0))
+
+    def rewritten(self, text: str) -> str:
+        """text with the longest string that a rule knows replaced, from left to right."""
+        out, at, longest, rules = [], 0, self.longest, self.rules
+        while at < len(text):
+            n = longest.get(text[at], 0)
+            while n and text[at : at + n] not in rules:
+                n -= 1
+            out.append(rules[text[at : at + n]] if n else text[at])
+            at += n or 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.rules:
+            text = self.rewritten(text)
+        if self.v.fewer_spaces:
+            text = re.sub(" +", " ", text.strip(" "))
+        if not text:
+            return ""
+        return (SPACE + text if self.v.dummy_prefix else text).replace(" ", SPACE)
 
 
 class Transducer:
@@ -108,15 +176,19 @@ class Transducer:
 
     def __init__(self, model: bytes):
         v = Vocabulary(model)
-        self.vocabulary = v
+        self.vocabulary, self.normalise = v, Normaliser(v)
         self.ids = {p: i for i, p in enumerate(v.pieces) if v.kinds[i] in (NORMAL, USER)}
         self.weights = [-s for s in v.scores]
+        normal = [s for s, k in zip(v.scores, v.kinds, strict=True) if k == NORMAL] or [0.0]
+        self.unknown_weight = 0.0 if v.kind == BPE else UNKNOWN_PENALTY - min(normal)
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(v.pieces) if v.kinds[i] == BYTE}
         self.unknown_id = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
         self.surface = [v.unknown.encode() if k == UNKNOWN else b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
         inside = any(SPACE in p.strip(SPACE) or p.rstrip(SPACE) not in ("", p) for p in self.ids)
         feed = any("\n" in p for p in self.ids)
-        self.part = re.compile(r"(?s).+" if inside else r"(?s)[ ▁]+[^ ▁]*|[^ ▁]+" if feed else r"\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
+        self.part = re.compile(r"(?s).+" if inside else r"(?s)▁+[^▁]*|[^▁]+" if feed else r"\n|▁+[^▁\n]*|[^▁\n]+")
+        self.longest = max(map(len, self.ids), default=1)
+        self.n_arcs = 0
         self.arcs: list[dict[int, bool]] = [{} for _ in v.pieces]
         self.trie: dict = {}
         for p, i in self.ids.items():
@@ -126,9 +198,15 @@ class Transducer:
             node[""] = i
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
+        # the longest piece of spaces, if runs of them begin with it
+        n = max((len(p) for p in self.ids if not p.strip(SPACE)), default=0)
+        whole = self.ids.get(SPACE * n)
+        self.spaces = n if n and not inside and all(self.shortest(SPACE * k) == [whole, *self.shortest(SPACE * (k - n))] for k in range(2 * n, 4 * n)) else 0
 
     def merged(self, text: str) -> list[str]:
-        """The pieces that are left when neighbours are merged by score, the leftmost first among equals."""
+        """The pieces that are left when neighbours are merged by score, the leftmost first among equals; for the short
+        texts of two pieces."""
         parts = list(text)
         while True:
             best, at = None, -1
@@ -143,25 +221,28 @@ class Transducer:
     def follows(self, a: int, b: int) -> bool:
         """If there is an arc from the state of piece a to that of piece b."""
         x, y = self.vocabulary.pieces[a], self.vocabulary.pieces[b]
+        if self.n_arcs >= MAX_ARCS:
+            for known in self.arcs:
+                known.clear()
+            self.n_arcs = 0
+        self.n_arcs += 1
         self.arcs[a][b] = known = self.merged(x + y) == [x, y]
         return known
 
     def fallback(self, char: str) -> list[int]:
-        return [self.byte_ids[b] for b in char.encode()] if self.vocabulary.byte_fallback else [self.unknown_id]
+        return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.vocabulary.byte_fallback else [self.unknown_id]
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids on the path of least weight through the normalised text."""
-        if SPACE + SPACE in text:
-            parts = self.merged(text)
-            return [i for p in parts for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-        weights, arcs, follows, n = self.weights, self.arcs, self.follows, len(text)
+    def _search(self, text: str, state: int) -> tuple[list, list]:
+        """For each position the piece that ends the best path to it, and where that piece starts."""
+        weights, arcs, follows, n, top = self.weights, self.arcs, self.follows, len(text), self.trie
+        unigram, unknown, ids = self.vocabulary.kind == UNIGRAM, self.unknown_weight, self.ids
         last, start, cost = [None] * (n + 1), [0] * (n + 1), [float("inf")] * (n + 1)
-        last[0], cost[0] = self.FALLBACK, 0.0
+        last[0], cost[0] = state, 0.0
         for begin in range(n):
-            before, so_far, node = last[begin], cost[begin], self.trie
+            before, so_far, node = last[begin], cost[begin], top
             if before is None:
                 continue
-            known = arcs[before] if before >= 0 else None
+            known = None if unigram or before < 0 else arcs[before]
             for end in range(begin, n):
                 node = node.get(text[end])
                 if node is None:
@@ -177,44 +258,84 @@ class Transducer:
                         continue
                 if so_far + weights[piece] < cost[end + 1]:
                     last[end + 1], start[end + 1], cost[end + 1] = piece, begin, so_far + weights[piece]
-            if text[begin] not in self.ids and so_far < cost[begin + 1]:
-                last[begin + 1], start[begin + 1], cost[begin + 1] = self.FALLBACK, begin, so_far
-        path, at = [], n
-        while at:
-            path.append([last[at]] if last[at] >= 0 else self.fallback(text[at - 1]))
-            at = start[at]
-        return [i for arc in reversed(path) for i in arc]
+            if text[begin] not in ids and so_far + unknown < cost[begin + 1]:
+                last[begin + 1], start[begin + 1], cost[begin + 1] = self.FALLBACK, begin, so_far + unknown
+        return last, start
+
+    def shortest(self, text: str) -> list[int]:
+        """Ids on the path of least weight through a normalised text."""
+        ids, at, state, size = [], 0, self.FALLBACK, BLOCK
+        while True:
+            part = text[at : at + size]
+            last, start = self._search(part, state)
+            end, over = len(part), at + len(part) == len(text)
+            if not over:
+                # what goes on starts at one of these positions; the paths to them meet at the last one they share
+                ends = {p for p in range(max(0, end - self.longest + 1), end + 1) if last[p] is not None}
+                while len(ends) > 1:
+                    p = max(ends)
+                    ends.remove(p)
+                    ends.add(start[p])
+                end = ends.pop()
+                if not end:
+                    size *= 2
+                    continue
+            path, p = [], end
+            while p:
+                path.append([last[p]] if last[p] >= 0 else self.fallback(part[p - 1]))
+                p = start[p]
+            ids += [i for arc in reversed(path) for i in arc]
+            if over:
+                return ids
+            at, state, size = at + end, last[end], BLOCK
+
+    def _packed(self, part: str) -> bytes:
+        n = len(part) - len(part.lstrip(SPACE)) if self.spaces and part[0] == SPACE else 0
+        more = (n - 2 * self.spaces) // self.spaces if n >= 4 * self.spaces > 0 else 0
+        if not more:
+            return np.array(self.shortest(part), "<u4").tobytes()
+        return np.full(more, self.ids[SPACE * self.spaces], "<u4").tobytes() + np.array(self.shortest(part[more * self.spaces :]), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        text = self.normalise(text)
         if not text:
             return b""
-        out = []
-        for part in self.part.findall(" " + text if self.vocabulary.dummy_prefix else text):
-            packed = self.kept.get(part)
+        out, kept = [], self.kept
+        for part in self.part.findall(text):
+            packed = kept.get(part)
             if packed is None:
                 packed = self.older.get(part)
                 if packed is None:
-                    packed = np.array(self.shortest(part.replace(" ", SPACE)), "<u4").tobytes()
-                if len(self.kept) >= MAX_KEPT:
-                    self.older, self.kept = self.kept, {}
-                self.kept[part] = packed
+                    packed = self._packed(part)
+                if len(part) <= LONG_PART:
+                    if self.kept_bytes >= KEPT_BYTES:
+                        self.older, self.kept, self.kept_bytes = kept, {}, 0
+                        kept = self.kept
+                    kept[part] = packed
+                    self.kept_bytes += 4 * len(part) + len(packed)
             out.append(packed)
-        return b"".join(out)
+        packed = b"".join(out)
+        if not self.vocabulary.byte_fallback:
+            # unknown characters in a row are one unknown piece
+            ids = np.frombuffer(packed, "<u4")
+            if (ids == self.unknown_id).any():
+                packed = ids[np.append(True, (ids[1:] != self.unknown_id) | (ids[:-1] != self.unknown_id))].tobytes()
+        return packed
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
         ids = ids.tolist()
         text = b"".join([surface[i] for i in ids]).decode("utf-8", "each_byte")
         first = next((self.vocabulary.pieces[i] for i in ids if self.vocabulary.kinds[i] != CONTROL), "")
-        return text[1:] if self.vocabulary.dummy_prefix and first.startswith(SPACE) else text
+        return text[1:] if (self.vocabulary.dummy_prefix or self.vocabulary.fewer_spaces) and first.startswith(SPACE) else text
 
 
-_compiled: dict[int, Transducer] = {}
+_compiled: dict[bytes, Transducer] = {}
 
 
 def _transducer(model) -> Transducer:
     """One for each worker process; what it has found out stays for the worker's next tasks."""
-    key = hash(model.value)
+    key = model.value
     if key not in _compiled:
         _compiled.clear()
         _compiled[key] = Transducer(model.value)

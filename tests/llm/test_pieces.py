@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+import struct
 
+import numpy as np
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ def test_round_trips(spark, sf_dir):
 def test_bytes_that_are_no_text(spark):
     t = pieces.Transducer(pieces.model_bytes())
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
-    import numpy as np
+
 
     for ids in ([], [3], [200, 201, 5], [0, 1, 2], [259, 1234, 230]):
         assert t.decode(np.array(ids, np.int64)) == library.decode(ids)
@@ -51,3 +54,66 @@ def test_odd_rows(spark):
     found = pieces.round_trips(docs).collect()
     assert len(found) == 5 and all(x.round_trip for x in found) and pieces.round_trips(docs.where("doc_id > 9")).collect() == []
     assert [x.decoded for x in pieces.decode(spark.createDataFrame([(None,)], "ids array<int>")).collect()] == [None]
+
+
+def ids_of(t, text):
+    return np.frombuffer(t.encode(text), "<u4").tolist()
+
+
+def test_long_runs_and_texts_without_spaces():
+    """Texts of megabytes that are one part end soon, with the library's ids."""
+    t = pieces.Transducer(pieces.model_bytes())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    r = random.Random(1)
+    for k in (*range(1, 70), 1000):
+        for text in (" " * k, " " * k + "the", "x" + " " * k + "日本" + " " * (k // 2)):
+            assert ids_of(t, text) == library.encode(text)
+    base64 = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2_000_000))
+    for text in (" " * 10_000_000, "".join(r.choices("日本語中文字漢天地人大小山川", k=3_400_000)), base64, "a" * 1_000_000):
+        assert ids_of(t, text) == library.encode(text)
+    assert t.kept_bytes <= 2 * pieces.KEPT_BYTES
+
+
+def message(*fields):
+    """A protocol-buffer message of (number, value)."""
+
+    def varint(x):
+        return bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def unigram_model(byte_fallback):
+    """Pieces with scores drawn at random, so that many segmentations compete."""
+    r = random.Random(5)
+    names = {c for c in "▁abcdeé日"} | {"".join(r.choice("▁abcdé") if i == 0 else r.choice("abcdé") for i in range(r.randint(2, 5))) for _ in range(150)} | {"▁▁"}
+    listed = [message((1, b"<unk>"), (2, 0.0), (3, 2)), message((1, b"<s>"), (2, 0.0), (3, 3)), message((1, b"</s>"), (2, 0.0), (3, 3))]
+    if byte_fallback:
+        listed += [message((1, f"<0x{b:02X}>".encode()), (2, 0.0), (3, 6)) for b in range(256)]
+    listed += [message((1, x.encode()), (2, -r.uniform(1, 12)), (3, 1)) for x in sorted(names)]
+    return listed, message((3, 1), (35, int(byte_fallback)))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("fewer_spaces", [False, True])
+def test_unigram_models_and_normalisers(byte_fallback, rule, fewer_spaces):
+    listed, trainer = unigram_model(byte_fallback)
+    charsmap = dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())).get(2, b"")
+    normaliser = message((1, rule.encode()), (2, charsmap), (3, 1), (4, int(fewer_spaces)), (5, 1))
+    model = message(*[(1, x) for x in listed], (2, trainer), (3, normaliser))
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    t = pieces.Transducer(model)
+    r = random.Random(2)
+    for text in [*["".join(r.choice("aabbccddeé日 zß①ﬁÅA\t~") for _ in range(r.randint(0, 60))) for _ in range(300)], "", " ", "  a  b  ", "abcde" * 30_000, " " * 300 + "ab"]:
+        want = library.encode(text)
+        assert ids_of(t, text) == want, repr(text[:80])
+        assert t.decode(np.array(want, np.int64)) == library.decode(want)
