@@ -216,9 +216,10 @@ def groups(docs: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("n", "bands", "signature"), "doc_id")
     classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), first.alias("x"), F.count("*").alias("size"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "fp1", "fp2", "rep", "size", "x.*"))
-    rows = classes.select(F.col("id").alias("rep"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = written(rows.join(shared.drop("size"), "key"))
+    rows = classes.select(F.col("id").alias("rep"), F.col("rep").alias("doc"), F.explode("bands").alias("key"))
+    # the first document is likely to be what the others were made from
+    shared = rows.groupBy("key").agg(F.min_by("rep", F.struct("doc", "rep")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    members = written(rows.drop("doc").join(shared.drop("size"), "key"))
     links = verified(members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct(), classes, docs)
     links = written(links.unionByName(_same_id(full, classes)))
     found = components(links)
