@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,34 @@ def test_item_without_its_middle_line_is_dropped(spark, tmp_path):
     assert sorted(x.doc_id for x in leaks.drop_leaks(spark, docs, str(tmp_path)).collect()) == [2, 3, 4]
     loose = leaks.find(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet")), share=0.25)
     assert sorted(x.doc_id for x in loose.where(F.size("quoted_ids") > 0).collect()) == [1, 4]
+
+
+def test_counting_goes_on_from_chunk_to_chunk(monkeypatch):
+    items, docs = corpus(4)
+    known = leaks.Items(items)
+    want = [known.leaks(text) for _, text in docs]
+    assert any(whole for whole, _ in want) and any(parts for _, parts in want)
+    for pairs in (1, 7, 60):
+        monkeypatch.setattr(leaks, "PAIRS", pairs)
+        assert [known.leaks(text) for _, text in docs] == want
+
+
+def test_long_texts_of_few_q_grams():
+    """Hits of a text and an item with the same few q-grams would be 10 ** 8 pairs at once."""
+    item = "ab" * 500
+    known = leaks.Items([(1, item), (2, "a" * 280 + "bcd" * 20), (3, "-" * 300), (4, "-" * 120 + "what is asked here is not in any text")])
+    tracemalloc.start()
+    assert known.leaks("ab" * 100_000) == ({0: 0}, {})
+    # 120 dashes and as many characters more as a stretch of 50 may have edits
+    assert known.leaks("-" * 100_000 + " x") == ({2: 0}, {3: 123 / 157})
+    # each stretch of the first item is quoted, though all of it isn't
+    assert known.leaks("ba" * 200 + "c" * 1000) == ({}, {0: 1.0})
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_short_items_by_parameter(spark):
+    benchmark = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here are two words"), (2, "here is one")], "doc_id long, text string")
+    assert {x.doc_id: x.item_ids for x in leaks.find(docs, benchmark, min_chars=8).collect()} == {1: [1], 2: []}
+    assert all(not x.item_ids for x in leaks.find(docs, benchmark).collect())
