@@ -9,9 +9,13 @@ shortest wins, and the score is its posterior under equal priors.
 A byte's cost in all languages follows from the longest known context, so it is worked out once for every counted
 gram; scoring is then a few NumPy look-ups a byte, over all texts of a batch at once.
 
-Training uses a bounded sample: about MAX_TRAINING_DOCS whole texts of each of the MAX_LANGUAGES most frequent
-languages, picked by a hash of the id. Grams seen once are left out at orders of 3 and more, which with the sample
-bounds the model; it is broadcast.
+Training uses a bounded sample: about MAX_TRAINING_DOCS whole texts of each language, picked by a hash of the id. Grams
+seen once are left out at orders of 3 and more, which with the sample bounds the statistics of a language. They are
+broadcast for LANGUAGES_AT_ONCE languages at a time, each with a pass over the texts that goes on from the last one's
+result; so all labelled languages can be told, however many.
+
+The pipeline's stage rejects texts that are `und`, that no language codes better than uniform bytes, and those whose
+language is in doubt (a score below LEAST_SCORE), and gives texts without a label the language found.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the first language by name;
 without training rows all is `und`; rows with a null id are never trained on and not held out; repeated rows get
@@ -27,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstream.llm.arrow_text import batches_of, utf8
-from marlstream.llm.common import table
+from marlstream.llm.common import dropped, table, written
 
 ORDER = 4
 MAX_TRAINING_DOCS = 400
-MAX_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 64
 BATCH_BYTES = 1 << 20
+#: posterior below which a text's language is in doubt
+LEAST_SCORE = 0.5
 #: bits a byte of a text that no model codes better than uniform bytes
 UNLIKE_ANY = 8.0
 
@@ -44,8 +50,8 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, most: int = MAX_TRAINING_DOCS) -> DataFrame:
     """About `most` labelled rows (text, lang) of each language, none of them held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und")).select("doc_id", "text", "lang")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(1_000_000.0) * most / F.col("n")).alias("share"))
-    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1_000_000.0) * most / F.col("n")).alias("share"))
+    return rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, order: int):
@@ -164,9 +170,10 @@ class Model:
         for k in range(self.order, -1, -1):
             gram = key if left is None else key[left]
             gram = gram & np.uint64((1 << 8 * (k + 1)) - 1)
-            row = self.found[k].find(gram)
+            row = self.found[k].find(gram) if len(self.cost[k]) else np.full(len(gram), -1)
             if left is None:
-                np.take(self.cost[k], row, axis=0, out=out, mode="clip")
+                if len(self.cost[k]):
+                    np.take(self.cost[k], row, axis=0, out=out, mode="clip")
                 left = np.flatnonzero(row < 0)
                 out[left] = 0
             else:
@@ -175,6 +182,8 @@ class Model:
                 left = left[~hit]
             if not len(left):
                 return out
+            if not len(self.escape[k]):
+                continue
             context = self.contexts[k].find((key[left] & np.uint64((1 << 8 * (k + 1)) - 1)) >> np.uint64(8))
             known = context >= 0
             out[left[known]] += self.escape[k][context[known]]
@@ -200,52 +209,71 @@ class Model:
         return bits
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = MAX_TRAINING_DOCS) -> Model:
-    return Model(count_grams(training_rows(docs, most), order), order)
+def train(docs: DataFrame, order: int = ORDER, most: int = MAX_TRAINING_DOCS) -> list[Model]:
+    """Models of LANGUAGES_AT_ONCE languages each."""
+    rows = written(training_rows(docs, most))
+    langs = sorted(x.lang for x in rows.select("lang").distinct().collect())
+    groups = [langs[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(langs), LANGUAGES_AT_ONCE)]
+    models = [Model(count_grams(rows.where(F.col("lang").isin(group)), order), order) for group in groups]
+    dropped(rows)
+    return [m for m in models if m.langs]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and bits (a byte, under the best language); the other columns stay."""
+#: a text's result after some models: the least code length, its language, and the sum of 2 ** (least - length) of all
+STATE = {"__least": "double", "__lang": "string", "__sum": "double"}
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (__text, STATE, ...) with STATE carried on by a model's languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    input_columns = docs.columns
+    names = docs.columns
 
-    def score(batches):
+    def run(batches):
         known = shared.value
         for whole in batches:
             for batch in batches_of(whole, "__text", BATCH_BYTES):
-                data, offsets = utf8(batch.column("__text"))
-                bits = known.code_lengths(data, offsets)
-                und = ~np.array(batch.column("__letter").to_pylist(), bool) if known.langs else np.ones(len(offsets) - 1, bool)
-                if known.langs:
-                    best, least = bits.argmin(axis=1), bits.min(axis=1)
-                    posterior = 1 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
-                    pred = np.where(und, "und", np.array(known.langs, object)[best])
-                else:
-                    least, posterior, pred = np.zeros(len(und)), np.zeros(len(und)), np.full(len(und), "und", object)
-                rest = [batch.column(c) for c in input_columns]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(pred.tolist(), pa.string()), pa.array(np.where(und, 0.0, posterior)), pa.array(least / np.maximum(1, np.diff(offsets)))],
-                    [*input_columns, "lang_pred", "score", "bits"],
-                )
-
-    ready = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__letter", F.col("__text").rlike(r"\p{L}"))
-    kinds = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "bits")]
-    input_columns = [f.name for f in kinds]
-    schema = docs.select(*input_columns).schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
-    return ready.mapInArrow(score, schema)
+                bits = known.code_lengths(*utf8(batch.column("__text")))
+                best, least = bits.argmin(axis=1), bits.min(axis=1)
+                total = np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
+                lang = np.array(known.langs, object)[best]
+                before, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__least", "__sum"))
+                old = ~np.isnan(before)
+                # of equal lengths the first language by name, which an earlier model has
+                stays = old & (before <= least)
+                both = np.where(old, np.minimum(np.where(old, before, 0), least), least)
+                with np.errstate(invalid="ignore"):
+                    total = total * np.exp2(both - least) + np.where(old, other * np.exp2(both - before), 0)
+                lang[stays] = np.array(batch.column("__lang").to_pylist(), object)[stays]
+                new = {"__least": pa.array(both), "__lang": pa.array(lang.tolist(), pa.string()), "__sum": pa.array(total)}
+                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """docs with lang_pred, score and bits (a byte, under the best language); the other columns stay."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits")]
+    state = docs.select(*rest, F.coalesce("text", F.lit("")).alias("__text"), *[F.lit(float("nan") if kind == "double" else None).cast(kind).alias(c) for c, kind in STATE.items()])
+    for model in models:
+        state = _scored(state, model)
+    told = F.col("__text").rlike(r"\p{L}") & F.col("__lang").isNotNull()
+    bits = F.col("__least") / F.greatest(F.lit(1), F.octet_length("__text"))
+    return state.select(*rest, F.when(told, F.col("__lang")).otherwise("und").alias("lang_pred"), F.when(told, 1 / F.col("__sum")).otherwise(0.0).alias("score"), F.when(F.col("__lang").isNotNull(), bits).otherwise(0.0).alias("bits"))
 
 
 def op3_language_ppm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = train(docs)
-    found = predict(docs.select("doc_id", "text"), model)
+    found = predict(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.round("bits", 4).alias("bits"))
 
 
 def keep_known_languages(spark, docs, sf_dir):
-    """Pipeline stage: drops texts that are null, have no letter, or that no language codes better than uniform bytes."""
-    found = predict(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("text", "__row"), train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("bits") < UNLIKE_ANY)).select("__row.*")
+    """Pipeline stage: drops texts that are null, have no letter, that no language codes better than uniform bytes, or whose
+    language is in doubt; a null `lang` becomes the language found."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = predict(docs.select("text", row.alias("__row")), train(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("bits") < UNLIKE_ANY) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.coalesce("__row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op3_language_ppm": op3_language_ppm}

@@ -53,9 +53,10 @@ def test_code_lengths_against_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("bits", F.lit("clash"))
     train = [(lang, text) for text, lang in language.training_rows(docs).collect()]
-    model = language.train(docs)
+    models = language.train(docs)
     odd = [(500, "über the ñu"), (501, "x"), (502, "the " * 3000)]
-    found = {x.doc_id: x for x in language.predict(spark.createDataFrame([(i, t) for i, t, _ in rows[:20]] + odd, "doc_id long, text string"), model).collect()}
+    found = {x.doc_id: x for x in language.predict(spark.createDataFrame([(i, t) for i, t, _ in rows[:20]] + odd, "doc_id long, text string"), models).collect()}
+    (model,) = models
     for i, t in [(i, t) for i, t, _ in rows[:20]] + odd:
         want = {lang: brute_bits(train, language.ORDER, lang, t) for lang in model.langs}
         best = min(sorted(want), key=lambda x: want[x])
@@ -72,7 +73,26 @@ def test_held_out_accuracy_and_no_peeking(spark):
     right = [found[i] == lang for i, _, lang in rows if i in held]
     assert sum(right) >= 0.95 * len(right)
     lied = docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
-    assert language.train(lied).langs == model.langs
+    assert [m.langs for m in language.train(lied)] == [m.langs for m in model]
+
+
+def test_more_languages_than_at_once(spark, monkeypatch):
+    """Passes of one language each give the result of one pass over all."""
+    rows = corpus()
+    docs = spark.createDataFrame([*rows, (600, "x y", None), (601, "", None)], "doc_id long, text string, lang string")
+    told = lambda: sorted((x.doc_id, x.lang_pred, round(x.score, 9), round(x.bits, 6)) for x in language.predict(docs.select("doc_id", "text"), language.train(docs)).collect())
+    want = told()
+    monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 1)
+    assert len(language.train(docs)) == 3 and told() == want
+
+
+def test_training_texts_without_repeats(spark):
+    """No gram of the highest orders is seen twice."""
+    docs = spark.createDataFrame([(1, "abcdefg", "aa"), (2, "hijk", "bb"), (4, "ab", "aa"), (5, "xyz", None)], "doc_id long, text string, lang string")
+    found = {x.doc_id: x.lang_pred for x in language.predict(docs, language.train(docs)).collect()}
+    assert found[4] == "aa" and set(found.values()) <= {"aa", "bb"}
+    stage = language.keep_known_languages(spark, docs, "")
+    assert stage.columns == ["doc_id", "text", "lang"] and all(x.lang for x in stage.collect())
 
 
 def test_odd_rows(spark):
@@ -83,4 +103,4 @@ def test_odd_rows(spark):
     empty = docs.where("doc_id > 99")
     assert language.predict(empty, language.train(empty)).collect() == []
     stage = language.keep_known_languages(spark, spark.createDataFrame(corpus() + [(900, "99", "aa"), (901, None, "aa")], "doc_id long, text string, lang string"), "")
-    assert stage.columns == ["doc_id", "text", "lang"] and stage.count() == 120
+    assert stage.columns == ["doc_id", "text", "lang"] and stage.count() == 120 and {x.lang for x in stage.collect()} == {"aa", "bb", "cc"}
