@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 COMPONENT_KINDS = (
     ("breadcrumb", ("/breadcrumb",)),
     ("title", ("/components/title", "/content/title")),
-    ("text_banner", ("/textbanner",)),
+    ("textbanner", ("/textbanner",)),
     ("text", ("/text", "/richText")),
-    ("language_navigation", ("/languagenavigation",)),
+    ("languagenavigation", ("/languagenavigation",)),
     ("navigation", ("/navigation",)),
     ("separator", ("/separator",)),
     ("search", ("/search",)),
     ("folder", ("nt:folder",)),
     ("teaser", ("/teaser", "/heroTeaser", "/overlayBannerTeaser")),
     ("spacer", ("/spacer",)),
-    ("custom_embed", ("/customembed",)),
-    ("product_listing", ("/productlisting", "/productlist")),
+    ("customembed", ("/customembed",)),
+    ("productlisting", ("/productlisting", "/productlist")),
     ("button", ("/button",)),
     ("image", ("/image",)),
     ("carousel", ("/carousel",)),
@@ -35,7 +35,7 @@ def component_kind(kind: Column, heading: Column) -> Column:
         holds = reduce(Column.__or__, [F.contains(kind, F.lit(p)) for p in parts])
         if name == "title":
             holds = holds & heading.rlike("^h[1-6]$")
-        found = F.when(holds, F.lit(name.replace("_", ""))).otherwise(found)
+        found = F.when(holds, F.lit(name)).otherwise(found)
     return found
 
 

@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from marlstream.plans import content, relational, scalars, search  # noqa: F401
+    from marlstream.plans import content, relational, scalars, schemas, search  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -283,9 +283,9 @@ def sample_per_group(spark, sf_dir):
     return windows.samples(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"], 2)
 
 
-@register("dup_title_suffix", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY t ORDER BY doc_id) > 1 THEN t || ' - ' || doc_id ELSE t END AS title FROM (SELECT doc_id, substr(text, 1, 12) AS t FROM documents)")
+@register("dup_title_suffix", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY t ORDER BY doc_id) > 1 THEN t || ' - ' || doc_id ELSE t END AS title FROM (SELECT doc_id, text AS t FROM documents)")
 def dup_title_suffix(spark, sf_dir):
-    return merge.unique_titles(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("title")), "title", "doc_id")
+    return merge.unique_titles(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title")), "title", "doc_id")
 
 
 @register("chunk_by_bytes", "SELECT doc_id, floor(coalesce(sum(b) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1048576)::BIGINT AS chunk FROM (SELECT doc_id, strlen(coalesce(text, '')) AS b FROM documents)")
@@ -340,6 +340,12 @@ def path_depth_deepest(spark, sf_dir):
     return paging.page(found, [F.desc("depth"), "page_id"], 0, 20)
 
 
+@register("path_depths", f"SELECT page_id, len(p)::INTEGER AS depth, p[-1] AS leaf, CASE WHEN len(p) > 1 THEN array_to_string(p[:len(p) - 1], '>') END AS parent FROM (SELECT page_id, list_filter(string_split({_DOTTED}, '>'), lambda x: x <> '') AS p FROM pages)")
+def path_depths(spark, sf_dir):
+    path = F.col("path")
+    return _paths(spark, sf_dir).select("page_id", trees.depth(path, ">").alias("depth"), trees.leaf(path, ">").alias("leaf"), trees.parent(path, ">").alias("parent"))
+
+
 @register("child_counts", f"SELECT array_to_string(p[:len(p) - 1], '>') AS path, count(*) AS n_children FROM (SELECT DISTINCT string_split(path, '>') AS p FROM ({_EACH})) WHERE len(p) > 1 GROUP BY 1")
 def child_counts(spark, sf_dir):
     return trees.child_counts(trees.closure(_paths(spark, sf_dir), "path", ">"), "path", ">")

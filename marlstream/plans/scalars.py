@@ -79,10 +79,10 @@ def human_title(spark, sf_dir):
     return part.select("p_partkey", X.human_title(F.concat("p_name", F.lit("__"), "p_brand", F.lit("-x"))).alias("title"), X.author_url(F.col("p_name")).alias("url"))
 
 
-@register("slug_title", f"SELECT doc_id, lower({rx('substr(text, 1, 200)', ('[^a-zA-Z0-9]+', '-'))}) AS slug, coalesce(CASE WHEN trim(lang) <> '' THEN lang END, nullif(source, '')) AS title FROM documents")
+@register("slug_title", f"SELECT doc_id, lower({rx('text', ('[^a-zA-Z0-9]+', '-'))}) AS slug, coalesce(CASE WHEN trim(lang) <> '' THEN lang END, nullif(source, '')) AS title FROM documents")
 def slug_title(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return docs.select("doc_id", X.title_slug(F.substring("text", 1, 200)).alias("slug"), X.title_or(F.col("lang"), F.col("source")).alias("title"))
+    return docs.select("doc_id", X.title_slug(F.col("text")).alias("slug"), X.title_or(F.col("lang"), F.col("source")).alias("title"))
 
 
 @register("slug_word", f"SELECT doc_id, {rx('lower(text)', ('[|]', ''), ('[^a-zA-Z0-9_' + chr(92) + 's-]', ''), (chr(92) + 's+', '-'), ('-+', '-'), ('^-+|-+$', ''))} AS slug FROM documents")
