@@ -4,8 +4,8 @@ A recording is cut into overlapping frames; the energy of a frame's spectrum is
 octave) and scaled to length one. Over the picture that the frames make, FILTERS compare areas of it (read off an
 integral image), and each is quantised to two bits in Gray code, so that a frame has one packed integer of 32 bits.
 
-Recordings with equal integer lists are one class. Query classes meet the others on equal integers in Spark; a pair's
-offsets make a histogram, whose fullest bin (the least absolute offset of equals, the negative one first) aligns
+Recordings with equal integer lists are one class. Query classes meet the others on equal integers in Spark, runs of one
+integer as a whole, so that held notes give a row for each offset and not for each two frames; a pair's offsets make a histogram, whose fullest bin (the least absolute offset of equals, the negative one first) aligns
 it. A pair counts with MIN_HITS integers in that bin, and a share of differing bits in the overlap of MAX_ERROR or less.
 
 Defined cases: a null, broken or too short recording has no integers and aligns with nothing; silence has integers,
@@ -147,12 +147,23 @@ def fingerprints(media: DataFrame, id_column: str, column: str, samples=wav_samp
     return own.mapInArrow(run, T.StructType().add("id", "long").add("ints", T.ArrayType(T.IntegerType())))
 
 
+def runs(prints: DataFrame) -> DataFrame:
+    """(id, key, at, n) of each run of one integer in prints (id, ints): a held note is one row, however long."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("ints") - 1), lambda i: (i == 0) | (F.get("ints", i) != F.get("ints", i - 1)))
+    each = prints.where(F.size("ints") > 0).select("id", "ints", starts.alias("starts")).select("id", "ints", "starts", F.posexplode("starts").alias("k", "at"))
+    return each.select("id", F.get("ints", F.col("at")).alias("key"), "at", (F.coalesce(F.get("starts", F.col("k") + 1), F.size("ints")) - F.col("at")).alias("n"))
+
+
 def align(prints: DataFrame, queries: DataFrame, min_hits: int = MIN_HITS, max_error: float = MAX_ERROR) -> DataFrame:
     """(id, partner, offset, hits, error) of class representatives: prints (id, ints) are unique, queries (id) some of
     their ids. A pair of two queries comes both ways."""
-    ints = prints.select("id", F.posexplode("ints").alias("at", "key")).where("key != 0")
-    asked = ints.join(queries, "id", "left_semi").select(F.col("id").alias("q"), F.col("at").alias("q_at"), "key")
-    hits = asked.join(ints, "key").where(F.col("q") != F.col("id")).groupBy("q", "id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("hits"))
+    found = runs(prints).where("key != 0")
+    asked = found.join(queries, "id", "left_semi").select(F.col("id").alias("q"), F.col("at").alias("q_at"), F.col("n").alias("q_n"), "key")
+    # two runs of one integer meet at each offset as often as they overlap when one is moved by it
+    first, last = F.col("q_at") - F.col("at") - F.col("n") + 1, F.col("q_at") + F.col("q_n") - 1 - F.col("at")
+    met = asked.join(found, "key").where(F.col("q") != F.col("id")).select("*", F.explode(F.sequence(first, last)).alias("offset"))
+    both = F.least(F.col("q_at") + F.col("q_n"), F.col("at") + F.col("n") + F.col("offset")) - F.greatest(F.col("q_at"), F.col("at") + F.col("offset"))
+    hits = met.groupBy("q", "id", "offset").agg(F.sum(both.cast("long")).alias("hits"))
     best = hits.groupBy("q", "id").agg(F.max(F.struct("hits", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("side"))).alias("b")).where(F.col("b.hits") >= min_hits).select("q", "id", (-F.col("b.side")).alias("offset"), "b.hits")
     pairs = best.join(prints.select("id", F.col("ints").alias("b")), "id").join(prints.select(F.col("id").alias("q"), F.col("ints").alias("a")), "q")
     begin, shift = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
@@ -209,7 +220,9 @@ def melody(vector: list[float] | None) -> np.ndarray:
 
 
 def op6_audio_fingerprints(spark, sf_dir):
-    prints = fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", melody)
+    # a vector of some hundred bytes becomes seconds of sound, so that tasks by bytes would be few and long
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(4 * spark.sparkContext.defaultParallelism)
+    prints = fingerprints(vectors, "vec_id", "embedding", melody)
     return search(prints, F.coalesce(F.col("id") % 100 == 0, F.lit(False))).withColumnRenamed("id", "vec_id")
 
 
