@@ -218,12 +218,21 @@ def json_unflattened(column: Column) -> Column:
     return _text_function(lambda x: _json(unflattened(json.loads(x))))(column)
 
 
+_TEXT_KEY = ["__text1", "__text2"]
+
+
+def _text_key(column: str) -> dict[str, Column]:
+    """Two independent hashes of a text, which tell texts apart in a join. Null texts get numbers of their own, so that they
+    don't meet in one task."""
+    return {"__text1": F.when(F.col(column).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(column)), "__text2": F.when(F.col(column).isNotNull(), F.xxhash64(F.lit(1), column)).otherwise(0)}
+
+
 def rich_text_to_tree(rows: DataFrame, column: str, index: DataFrame, name: str = "tree") -> DataFrame:
     """rows with the node tree of a source rich-text column. The ids that a row's tree names are looked up in index
     (kind, uid, target) by a join first, so that nothing is collected or broadcast to the parser."""
     named = r'"sys"\s*:\s*\{[^{}]*"id"\s*:\s*"([^"]*)"'
-    each = rows.withColumn("__row", F.xxhash64(column)).select("__row", F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(named), 1))).alias("uid")).distinct()
-    found = each.join(index, "uid").groupBy("__row").agg(F.to_json(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.concat_ws("/", "kind", "uid"), "target"))))).alias("__known"))
+    each = rows.withColumns(_text_key(column)).select(*_TEXT_KEY, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(named), 1))).alias("uid")).distinct()
+    found = each.join(index, "uid").groupBy(*_TEXT_KEY).agg(F.to_json(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.concat_ws("/", "kind", "uid"), "target"))))).alias("__known"))
 
     @F.pandas_udf("string")
     def run(trees: pd.Series, known: pd.Series) -> pd.Series:
@@ -235,7 +244,7 @@ def rich_text_to_tree(rows: DataFrame, column: str, index: DataFrame, name: str
 
         return pd.Series([one(t, k) for t, k in zip(trees, known, strict=True)], dtype=object)
 
-    return rows.withColumn("__row", F.xxhash64(column)).join(found, "__row", "left").withColumn(name, run(F.col(column), F.col("__known"))).drop("__row", "__known")
+    return rows.withColumns(_text_key(column)).join(found, _TEXT_KEY, "left").withColumn(name, run(F.col(column), F.col("__known"))).drop(*_TEXT_KEY, "__known")
 
 
 NODE_ROW = "pos int, depth int, parent int, type string, text string, href string"
@@ -351,8 +360,8 @@ def with_assets(rows: DataFrame, column: str, index: DataFrame, name: str = "tre
     """rows whose node trees have their images replaced by asset references where index (src, uid) knows the source. The
     sources that a row's tree names are looked up by a join first."""
     named = F.regexp_extract_all(column, F.lit(r'"src":"([^"]*)"'), 1)
-    each = rows.select(F.xxhash64(column).alias("__row"), F.explode(F.array_distinct(named)).alias("src")).distinct()
-    found = each.join(index.groupBy("src").agg(F.min("uid").alias("uid")), "src").groupBy("__row").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "uid")))).alias("__known"))
+    each = rows.select(*[v.alias(k) for k, v in _text_key(column).items()], F.explode(F.array_distinct(named)).alias("src")).distinct()
+    found = each.join(index.groupBy("src").agg(F.min("uid").alias("uid")), "src").groupBy(*_TEXT_KEY).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "uid")))).alias("__known"))
 
     def rewritten(node, known):
         uid = known.get((node.get("attrs") or {}).get("src")) if node.get("type") == "img" else None
@@ -364,4 +373,4 @@ def with_assets(rows: DataFrame, column: str, index: DataFrame, name: str = "tre
     def run(trees: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _json(rewritten(json.loads(t), json.loads(k) if k else {})) for t, k in zip(trees, known, strict=True)], dtype=object)
 
-    return rows.withColumn("__row", F.xxhash64(column)).join(found, "__row", "left").withColumn(name, run(F.col(column), F.col("__known"))).drop("__row", "__known")
+    return rows.withColumns(_text_key(column)).join(found, _TEXT_KEY, "left").withColumn(name, run(F.col(column), F.col("__known"))).drop(*_TEXT_KEY, "__known")

@@ -1,10 +1,10 @@
-"""Field schemas and coerced values over the tables, with their SQL twins."""
+"""Field schemas, coerced values and nested content over the tables, with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstream.operators import schemas
+from marlstream.operators import nested, schemas
 from marlstream.plans.catalog import register, table
 
 #: every kind, one that isn't known, and none
@@ -149,3 +149,77 @@ def entries_of_values(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry"), F.concat(F.lit("f"), "l_linenumber").alias("field"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("value"))
     pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
     return schemas.entries(lines).select("entry", F.nullif(F.array_join(pairs, ";"), F.lit("")).alias("entry_text"))
+
+
+# --- nested content ---------------------------------------------------------------------------------------------
+
+
+def _nested(spark, sf_dir):
+    """Orders as JSON: their lines, each with its flags, and what is known of the customer."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    item = F.struct(F.col("l_linenumber").alias("no"), "part", F.array("flag", "status").alias("flags"), F.struct(F.when(F.col("part") % 2 == 0, F.col("part")).alias("even")).alias("more"))
+    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select("o_orderkey", F.to_json(F.struct(F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("rank")).alias("customer"), "items", F.array().cast("array<string>").alias("none"))).alias("content"))
+
+
+_LINES = """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1 AS i, l_linenumber AS no, part, flag, status, o_custkey, o_orderpriority
+    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY ALL) JOIN orders ON o_orderkey = l_orderkey"""
+
+
+@register(
+    "nested_leaves",
+    f"""WITH l AS ({_LINES}) SELECT o_orderkey, 'items[' || i || '].' || x.p AS path, x.v AS value
+    FROM (SELECT *, unnest([{{'p': 'no', 'v': no::VARCHAR}}, {{'p': 'part', 'v': part::VARCHAR}}, {{'p': 'flags[0]', 'v': flag}}, {{'p': 'flags[1]', 'v': status}}, {{'p': 'more.even', 'v': CASE WHEN part % 2 = 0 THEN part::VARCHAR END}}]) AS x FROM l) WHERE x.v IS NOT NULL
+    UNION ALL SELECT DISTINCT o_orderkey, 'customer.id', o_custkey::VARCHAR FROM l UNION ALL SELECT DISTINCT o_orderkey, 'customer.rank', o_orderpriority FROM l""",
+)
+def nested_leaves(spark, sf_dir):
+    return nested.leaves(_nested(spark, sf_dir), "o_orderkey", "content")
+
+
+#: a block's field, an array of an array, a place that the target lacks, a field with two targets
+_PATHS = [("customer.rank", "header.priority"), ("items[].part", "blocks[].product.uid"), ("items[].flags[]", "blocks[].marks[].text"), ("items[].no", "first_line"), ("customer.id", "header.id"), ("customer.id", "owner")]
+
+
+@register(
+    "project_nested",
+    f"""WITH l AS ({_LINES}) SELECT o_orderkey, x.p AS path, x.v AS value
+    FROM (SELECT *, unnest([{{'p': 'blocks[' || i || '].product.uid', 'v': part::VARCHAR}}, {{'p': 'blocks[' || i || '].marks[0].text', 'v': flag}}, {{'p': 'blocks[' || i || '].marks[1].text', 'v': status}}]) AS x FROM l)
+    UNION ALL SELECT o_orderkey, 'first_line', no::VARCHAR FROM l WHERE i = 0
+    UNION ALL SELECT DISTINCT o_orderkey, u, o_custkey::VARCHAR FROM l, (SELECT unnest(['header.id', 'owner']) AS u) UNION ALL SELECT DISTINCT o_orderkey, 'header.priority', o_orderpriority FROM l""",
+)
+def project_nested(spark, sf_dir):
+    found = nested.leaves(_nested(spark, sf_dir), "o_orderkey", "content")
+    return nested.projected(found, "o_orderkey", spark.createDataFrame(_PATHS, "source string, target string"))
+
+
+_BLOCKS_SQL = """SELECT page_id, s[1] AS model, s[2:n] AS path, n FROM (SELECT page_id, s, unnest(range(2, len(s) + 1)) AS n
+    FROM (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', ''), '/'), lambda x: x <> '') AS s FROM pages) WHERE len(s) > 1)"""
+
+
+def _blocks(spark, sf_dir):
+    """A block for each segment of a URL, below those before it, in the model of its host."""
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.filter(F.split(bare, "/"), lambda x: x != "").alias("s")).where(F.size("s") > 1)
+    each = pages.select("page_id", "s", F.explode(F.sequence(F.lit(2), F.size("s"))).alias("n"))
+    return each.select("page_id", F.col("s")[0].alias("model"), F.slice("s", F.lit(2), F.col("n") - 1).alias("path"), "n")
+
+
+@register("merge_blocks_deep", f"SELECT model, array_to_string(path, '/') AS path, count(*) AS n, min(page_id) AS first, arg_min('page ' || page_id, page_id) AS payload FROM ({_BLOCKS_SQL}) GROUP BY model, path")
+def merge_blocks_deep(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).withColumn("payload", F.concat(F.lit("page "), "page_id"))
+    return nested.merged_blocks(blocks, "model", "path", "page_id", "payload").withColumn("path", F.array_join("path", "/"))
+
+
+@register(
+    "merge_settings_deep",
+    f"""SELECT model, array_to_string(path, '/') AS path, string_agg(k || '=' || v, ';' ORDER BY k) FILTER (WHERE v IS NOT NULL) AS settings
+    FROM (SELECT model, path, k, arg_min(v, page_id) FILTER (WHERE v IS NOT NULL) AS v FROM (SELECT model, path, page_id, u.k AS k, u.v AS v FROM (SELECT *, unnest([{{'k': 'even', 'v': CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR END}}, {{'k': 'k' || page_id % 3, 'v': page_id::VARCHAR}}]) AS u FROM ({_BLOCKS_SQL})))
+          GROUP BY model, path, k) GROUP BY model, path""",
+)
+def merge_settings_deep(spark, sf_dir):
+    text = F.col("page_id").cast("string")
+    blocks = _blocks(spark, sf_dir).withColumn("settings", F.create_map(F.lit("even"), F.when(F.col("page_id") % 2 == 0, text), F.concat(F.lit("k"), F.col("page_id") % 3), text))
+    found = nested.merged_settings(blocks, "model", "path", "page_id", "settings")
+    pairs = F.transform(F.array_sort(F.map_entries("settings")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return found.select("model", F.array_join("path", "/").alias("path"), F.array_join(pairs, ";").alias("settings"))

@@ -73,7 +73,7 @@ def shared_folder(spark: SparkSession) -> str:
 _stored_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def _file_system(spark: SparkSession, folder: str):
+def file_system(spark: SparkSession, folder: str):
     """Hadoop's file system of a folder and its path; PySpark has no call of its own that deletes files."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -86,7 +86,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marlstream-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, own = _file_system(spark, path)
+    fs, own = file_system(spark, path)
     fs.deleteOnExit(own)
     found = spark.read.schema(df.schema).parquet(path)
     _stored_at[found] = path
@@ -98,6 +98,6 @@ def dropped(*frames: DataFrame) -> None:
     been stored itself."""
     for df in frames:
         if (path := _stored_at.pop(df, None)) is not None:
-            fs, own = _file_system(df.sparkSession, path)
+            fs, own = file_system(df.sparkSession, path)
             fs.delete(own, True)
             fs.cancelDeleteOnExit(own)

@@ -6,7 +6,10 @@ Paths may be anything that Spark's readers open (local, s3a://, ...). Nothing is
 from __future__ import annotations
 
 import io
+import shutil
+import tempfile
 import zipfile
+import zlib
 from functools import reduce
 
 import pandas as pd
@@ -14,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: an archive inside archives deeper than this is left unopened
-MAX_NESTING = 4
+#: bytes of an archive inside an archive that stay in memory; beyond them it goes through a task's temporary file
+NESTED_BYTES = 32 << 20
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.StructType | str | None = None, mode: str = "DROPMALFORMED") -> DataFrame:
@@ -100,39 +103,54 @@ def item_tree(spark: SparkSession, path: str, skip: tuple[str, ...] = ("__Standa
     return files
 
 
-def _unpacked(data: bytes, prefix: str, depth: int):
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
-        return
-    for entry in archive.infolist():
-        if entry.is_dir() or entry.filename.startswith("__MACOSX"):
+def _unpacked(data: bytes):
+    """(entry, content, error) of an archive and those inside it, to any depth."""
+    unread = (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError, OSError)
+    open_ = [("", io.BytesIO(data))]
+    while open_:
+        prefix, source = open_.pop()
+        try:
+            archive = zipfile.ZipFile(source)
+        except unread as e:
+            yield prefix.rstrip("/") or None, None, str(e)
             continue
-        content = archive.read(entry)
-        if entry.filename.lower().endswith(".zip") and depth < MAX_NESTING:
-            yield from _unpacked(content, f"{prefix}{entry.filename}/", depth + 1)
-        else:
-            yield f"{prefix}{entry.filename}", content
+        for entry in archive.infolist():
+            name = f"{prefix}{entry.filename}"
+            if entry.is_dir() or entry.filename.startswith("__MACOSX"):
+                continue
+            try:
+                if entry.filename.lower().endswith(".zip"):
+                    inner = tempfile.SpooledTemporaryFile(NESTED_BYTES)  # noqa: SIM115
+                    with archive.open(entry) as packed:
+                        shutil.copyfileobj(packed, inner)
+                    open_.append((f"{name}/", inner))
+                else:
+                    yield name, archive.read(entry), None
+            except unread as e:
+                yield name, None, str(e)
+        source.close()
 
 
 def archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, entry, content) of ZIP files, those inside ZIP files too. An archive is a task's unit of work."""
+    """(archive, entry, content, error) of ZIP files, those inside ZIP files too, to any depth. What can't be read, as it is
+    broken or encrypted, is a row with an error and no content; with a null entry it is the archive itself. An archive is a
+    task's unit of work, and an entry is in memory at a time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for archive, data in zip(batch["path"], batch["content"], strict=True):
-                for entry, content in _unpacked(data, "", 1):
-                    yield pd.DataFrame({"archive": [archive], "entry": [entry], "content": [content]})
+                for entry, content, error in _unpacked(data):
+                    yield pd.DataFrame({"archive": [archive], "entry": [entry], "content": [content], "error": [error]}, dtype=object)
 
-    return files.mapInPandas(run, "archive string, entry string, content binary")
+    return files.mapInPandas(run, "archive string, entry string, content binary, error string")
 
 
 def has_folders(entries: DataFrame, folders: tuple[str, ...] = ("items", "metadata")) -> DataFrame:
     """(archive, valid): if an archive has every required folder somewhere on its paths."""
     parts = F.split("entry", "/")
     above = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    found = entries.groupBy("archive").agg(*[F.bool_or(F.array_contains(above, f)).alias(f"__{i}") for i, f in enumerate(folders)])
+    found = entries.groupBy("archive").agg(*[F.bool_or(F.coalesce(F.array_contains(above, f), F.lit(False))).alias(f"__{i}") for i, f in enumerate(folders)])
     return found.select("archive", reduce(Column.__and__, [F.col(f"__{i}") for i in range(len(folders))]).alias("valid"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstream.operators import lookup, merge, windows
-from marlstream.session import stored
+from marlstream.session import file_system
 
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 100
 
@@ -33,11 +33,26 @@ def chunked(df: DataFrame, path: str, order: list[str], by_bytes: bool = True) -
 
 
 def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Puts rows into a Parquet table: those of known keys replace the old ones. The merged table is stored first, as
-    a table can't be read while it is overwritten."""
+    """Puts rows into a Parquet table, which may not be there yet: those of known keys replace the old ones. The merged table
+    is written beside the old one, which is replaced by renaming when all is written and deleted last; so at any moment one
+    whole table is there, at `path` or, if the driver is lost between the two renames, at `path.old`, from which the next
+    upsert goes on."""
     spark = df.sparkSession
-    old = spark.read.parquet(path)
-    stored(merge.upsert(old, df, keys)).write.mode("overwrite").parquet(path)
+    fs, own = file_system(spark, path)
+    _, new = file_system(spark, f"{path}.new")
+    _, old = file_system(spark, f"{path}.old")
+    if fs.exists(old):
+        if fs.exists(own):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, own)
+    known = fs.exists(own)
+    rows = merge.upsert(spark.read.parquet(path), df, keys) if known else df
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    if known:
+        fs.rename(own, old)
+    fs.rename(new, own)
+    fs.delete(old, True)
 
 
 def replicated(df: DataFrame, path: str, locales: list[str]) -> None:

@@ -39,12 +39,7 @@ def merged_into(rows: DataFrame, path: str, checkpoint: str, keys: list[str], av
     from marlstream.sources import sinks
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        latest = last_wins(batch, keys, "timestamp")
-        if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            sinks.upsert(latest, path, keys)
-        else:
-            latest.write.parquet(path)
+        sinks.upsert(last_wins(batch, keys, "timestamp"), path, keys)
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

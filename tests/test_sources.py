@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from marlstream.operators import metadata
+from marlstream.operators import feed, metadata
 from marlstream.sources import files, sinks
 from marlstream.sources.paged import PagedSource
 from marlstream.streaming import logs
@@ -28,6 +28,35 @@ def test_feed(spark, tmp_path):
     assert [(c.text, c._nicename) for c in items.where("title = 'A'").first().category] == [("X", "x"), ("Y", "y")]
 
 
+EXPORT = """<?xml version="1.0"?><rss xmlns:wp="w" xmlns:dc="d" xmlns:content="c" xmlns:excerpt="e"><channel>
+<item><title>First</title><dc:creator>Ann, Lee</dc:creator><content:encoded><![CDATA[<p>One <b>bold</b></p>]]></content:encoded><wp:post_id>1</wp:post_id><wp:post_name>first-post</wp:post_name><wp:post_date_gmt>2024-01-02 03:04:05</wp:post_date_gmt><wp:post_type>post</wp:post_type><wp:status>publish</wp:status>
+<category domain="category" nicename="big-news">Big News</category><category domain="post_tag" nicename="x">X</category><wp:postmeta><wp:meta_key>_thumbnail_id</wp:meta_key><wp:meta_value>9</wp:meta_value></wp:postmeta></item>
+<item><title></title><dc:creator>Nobody</dc:creator><wp:post_id>2</wp:post_id><wp:post_date_gmt>0000-00-00 00:00:00</wp:post_date_gmt><wp:post_type>page</wp:post_type><wp:status>draft</wp:status></item>
+<item><title>Pic</title><wp:post_id>9</wp:post_id><wp:post_type>attachment</wp:post_type><wp:status>inherit</wp:status><wp:attachment_url>https://x.io/p/pic.png</wp:attachment_url></item>
+<item><title>Gone</title><wp:post_id>7</wp:post_id><wp:post_type>post</wp:post_type><wp:status>trash</wp:status></item></channel></rss>"""
+
+
+def test_feed_from_package_to_entries(spark, tmp_path):
+    (tmp_path / "f.xml").write_text(EXPORT)
+    found = feed.entries(spark, str(tmp_path / "f.xml"), ["en-us", "de-de"])
+    by_locale = {locale: {r.uid: (r.content_type, json.loads(r.entry)) for r in found.collect() if r.locale == locale} for locale in ("en-us", "de-de")}
+    assert by_locale["en-us"] == by_locale["de-de"] and {k: v[0] for k, v in by_locale["en-us"].items()} == {
+        "posts_1": "posts", "pages_2": "pages", "authors_ann_lee": "authors", "authors_nobody": "authors", "categories_big_news": "categories", "tag_x": "tag", "assets_9": "assets",
+    }
+    post = by_locale["en-us"]["posts_1"][1]
+    body = post.pop("full_description")
+    assert post == {
+        "title": "First", "uid": "posts_1", "url": "/first-post", "date": "2024-01-02T03:04:05.000Z", "excerpt": "One bold", "featured_image": "assets_9", "author": [{"uid": "authors_ann_lee", "_content_type_uid": "authors"}],
+        "terms": [{"uid": "categories_big_news", "_content_type_uid": "categories"}, {"uid": "tag_x", "_content_type_uid": "tag"}],
+    }
+    assert "bold" in json.dumps(body) and body["type"] == "doc"
+    page = by_locale["en-us"]["pages_2"][1]
+    assert (page["title"], page["url"], page["terms"]) == ("Untitled - 2", "/pages_2", []) and "date" not in page and "featured_image" not in page
+    assert by_locale["en-us"]["assets_9"][1] == {"uid": "assets_9", "title": "Pic", "url": "https://x.io/p/pic.png", "name": "pic.png", "urlPath": "/assets/assets_9"}
+    sinks.entries(found, str(tmp_path / "out"))
+    assert sorted(r.n_rows for r in sinks.manifest(found).collect()) == [1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2] and spark.read.json(str(tmp_path / "out")).count() == 14
+
+
 def test_sections(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"locales": [{"code": "en"}, {"code": "de"}], "entries": []}))
     found = files.sections(spark, str(tmp_path / "e.json"), ["locales", "webhooks"], "locales array<struct<code:string>>, entries array<string>")
@@ -54,8 +83,27 @@ def test_archives(spark, tmp_path):
         z.writestr("items/a.txt", "a"), z.writestr("__MACOSX/b", "b"), z.writestr("in.zip", inner.getvalue())
     (tmp_path / "bad.zip").write_bytes(b"no")
     entries = files.archive_entries(spark, str(tmp_path))
-    assert sorted(r.entry for r in entries.collect()) == ["in.zip/metadata/m.txt", "items/a.txt"]
-    assert [r.valid for r in files.has_folders(entries).collect()] == [True]
+    assert sorted(r.entry for r in entries.where("error IS NULL").collect()) == ["in.zip/metadata/m.txt", "items/a.txt"]
+    (broken,) = entries.where("error IS NOT NULL").collect()
+    assert broken.archive.endswith("bad.zip") and broken.entry is None and broken.content is None
+    assert sorted(r.valid for r in files.has_folders(entries).collect()) == [False, True]
+
+
+def test_archives_of_any_depth_and_broken_entries(spark, tmp_path):
+    data = b"deep"
+    for i in range(9):
+        outer = io.BytesIO()
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr(f"{i}.zip" if i else "d.txt", data)
+        data = outer.getvalue()
+    (tmp_path / "o.zip").write_bytes(data)
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w") as z:
+        z.writestr("good.txt", "good"), z.writestr("torn.txt", "torn")
+    (tmp_path / "torn.zip").write_bytes(whole.getvalue().replace(b"torn", b"TORN", 2).replace(b"TORN.txt", b"torn.txt"))
+    found = {(r.entry, bytes(r.content) if r.content else None, r.error is None) for r in files.archive_entries(spark, str(tmp_path)).collect()}
+    assert ("8.zip/7.zip/6.zip/5.zip/4.zip/3.zip/2.zip/1.zip/d.txt", b"deep", True) in found
+    assert ("good.txt", b"good", True) in found and len(found) == 3
 
 
 def test_logs_and_audits(spark):
@@ -94,6 +142,7 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.json(str(tmp_path / "c")).groupBy("chunk").count().collect()) == [50, 100, 100]
     df.select("uid", "body").write.parquet(str(tmp_path / "t"))
     sinks.upsert(spark.createDataFrame([(1, "new"), (999, "new")], "uid int, body string"), str(tmp_path / "t"), ["uid"])
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("t.")] == []
     table = spark.read.parquet(str(tmp_path / "t"))
     assert table.count() == 251 and table.where("body = 'new'").count() == 2
     sinks.replicated(df, str(tmp_path / "r"), ["de", "fr"])
