@@ -3,7 +3,7 @@ the content, so no side is forced to be broadcast; skewed keys are split by adap
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,6 @@ def repaired(entries: DataFrame, key: str, ref_type: str, ref_uid: str, index: D
 
 
 def first_match(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the first in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """One row for each key: the first in the given order. A pre-aggregated minimum, so that no key is gathered in one task."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x")).select(*keys, "__x.*").select(*rows.columns)
