@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +67,29 @@ def replicated(df: DataFrame, path: str, locales: list[str]) -> None:
 def log(df: DataFrame, path: str) -> None:
     """Appends (level, message, timestamp) as JSON lines, in new files that a tail picks up whole."""
     df.select("level", "message", "timestamp").write.mode("append").json(path)
+
+
+def pushed(df: DataFrame, send: Callable[[list[str]], None], rows: int = 100, attempts: int = 3, wait: float = 2.0) -> DataFrame:
+    """Hands the rows as JSON texts to `send`, `rows` at a time, in the tasks that hold them. A batch that raises is tried
+    again after `wait` seconds, then twice as many, up to `attempts` times. Returns (row, attempts, error) of every row; what
+    was never taken has an error and is for a dead-letter sink. A task that is run again sends its rows again, so the other
+    side must take a row twice without harm."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch["row"].tolist()
+            for at in range(0, len(texts), rows):
+                part, error = texts[at : at + rows], None
+                for n in range(1, attempts + 1):
+                    try:
+                        send(part)
+                        error = None
+                        break
+                    except Exception as e:  # noqa: BLE001  whatever the other side's client raises
+                        error = f"{type(e).__name__}: {e}"
+                        if n < attempts:
+                            time.sleep(wait * 2 ** (n - 1))
+                yield pd.DataFrame({"row": part, "attempts": n, "error": [error] * len(part)})
+
+    return df.select(F.to_json(F.struct(*names)).alias("row")).mapInPandas(run, "row string, attempts int, error string")

@@ -175,3 +175,22 @@ def test_tail(spark, tmp_path):
     query = logs.level_counts(logs.tail(spark, str(source)), delay="0 seconds").writeStream.format("memory").queryName("levels").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.level, r.n) for r in spark.table("levels").collect()} == {("info", 1), ("error", 1)}
+
+
+def test_pushed_with_retries(spark, tmp_path):
+    """A batch that is refused once is taken the second time; one that is always refused is told."""
+    folder = str(tmp_path)
+
+    def send(texts):
+        import pathlib
+
+        if '{"k":13}' in texts:
+            raise ValueError("refused")
+        seen = pathlib.Path(folder, "seen-" + texts[0].replace('"', ""))
+        if not seen.exists():
+            seen.touch()
+            raise ConnectionError("not yet")
+
+    found = sinks.pushed(spark.range(20).coalesce(1).select(F.col("id").alias("k")), send, rows=5, attempts=3, wait=0.01).collect()
+    assert len(found) == 20 and {json.loads(r.row)["k"] for r in found if r.error} == {10, 11, 12, 13, 14}
+    assert {r.attempts for r in found if r.error} == {3} and {r.attempts for r in found if not r.error} == {2} and "ValueError: refused" in found[10].error
