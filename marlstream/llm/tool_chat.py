@@ -3,7 +3,8 @@
 Calls and results are hash-joined by identifier. A call may name one earlier call that it comes `after`; its depth
 in that forest is its topological rank, found by pointer doubling: each round every call jumps twice as far, so a
 chain of n calls takes log2(n) joins and no conversation is ever gathered into one task. Arguments are parsed as
-VARIANT, checked against the tool's schema, and written with sorted keys and without white space.
+VARIANT, checked against the tool's schema, objects and arrays inside them too, and written with sorted keys and without
+white space; numbers as VARIANT holds them, decimals without trailing zeros and those with an exponent as doubles.
 
 Defined cases: of calls (or results) that repeat an identifier the earliest (conv_id, turn, payload) counts and
 `n_repeats` says how many followed; a null identifier links with nothing (status no_id); a result without a call
@@ -15,6 +16,7 @@ tool without schema is an unknown_tool. Only the named columns are used, so furt
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,30 +29,46 @@ ASK = {"question": {"type": "string", "required": True, "min_length": 1}, "words
 SCHEMAS = {"ask": ASK}
 
 
-def argument_errors(parsed: Column, schema: dict) -> Column:
-    """Array of messages, one for each way in which a VARIANT object breaks the schema; empty if none."""
-    errors = []
+def _is_a(value: Column, kind: str) -> Column:
+    """If a VARIANT is of a JSON type."""
+    found = F.schema_of_variant(value)
+    return F.coalesce(reduce(Column.__or__, [F.startswith(found, F.lit(start)) for start in JSON_TYPES[kind]]), F.lit(False))
+
+
+def argument_errors(parsed: Column, schema: dict, above: str = "") -> Column:
+    """Array of messages, one for each way in which a VARIANT object breaks the schema; empty if none. A rule has a type and
+    may have: required, min_length, max_length, pattern and enum (texts), minimum and maximum (numbers), items (a rule of
+    type, pattern and enum for each element) and properties (a schema of the object's own fields)."""
+    errors, inner = [], []
     for field, rule in sorted(schema.items()):
-        value = F.try_variant_get(parsed, f"$.{field}", "variant")
-        kind = F.schema_of_variant(value)
-        missing = value.isNull() | (kind == "VOID")
-        fits = F.lit(False)
-        for start in JSON_TYPES[rule["type"]]:
-            fits = fits | F.startswith(kind, F.lit(start))
+        name, value = f"{above}{field}", F.try_variant_get(parsed, f"$['{field}']", "variant")
+        text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+        missing = value.isNull() | (F.schema_of_variant(value) == "VOID")
+        fits = _is_a(value, rule["type"])
+        says = lambda breaks, what, n=name: F.when(breaks, F.lit(f"{n}: {what}"))
         if rule.get("required"):
-            errors.append(F.when(missing, F.lit(f"{field}: missing")))
-        errors.append(F.when(~missing & ~fits, F.lit(f"{field}: not {rule['type']}")))
-        if "min_length" in rule:
-            errors.append(F.when(fits & (F.length(F.try_variant_get(parsed, f"$.{field}", "string")) < rule["min_length"]), F.lit(f"{field}: too short")))
-        if "max_length" in rule:
-            errors.append(F.when(fits & (F.length(F.try_variant_get(parsed, f"$.{field}", "string")) > rule["max_length"]), F.lit(f"{field}: too long")))
-        if "minimum" in rule:
-            errors.append(F.when(fits & (F.try_variant_get(parsed, f"$.{field}", "double") < rule["minimum"]), F.lit(f"{field}: too small")))
-        if "maximum" in rule:
-            errors.append(F.when(fits & (F.try_variant_get(parsed, f"$.{field}", "double") > rule["maximum"]), F.lit(f"{field}: too large")))
+            errors.append(says(missing, "missing"))
+        errors.append(says(~missing & ~fits, f"not {rule['type']}"))
+        for key, breaks, what in (
+            ("min_length", lambda x, t=text: F.length(t) < x, "too short"), ("max_length", lambda x, t=text: F.length(t) > x, "too long"), ("pattern", lambda x, t=text: ~t.rlike(x), "doesn't match"),
+            ("enum", lambda x, t=text: ~t.isin(*x), "not a choice"), ("minimum", lambda x, n=number: n < x, "too small"), ("maximum", lambda x, n=number: n > x, "too large"),
+        ):
+            if key in rule:
+                errors.append(says(fits & breaks(rule[key]), what))
+        if "items" in rule:
+            each, item = F.try_variant_get(value, "$", "array<variant>"), rule["items"]
+            errors.append(says(fits & F.exists(each, lambda x: ~_is_a(x, item["type"])), f"an element is not {item['type']}"))
+            texts = F.transform(each, lambda x: F.try_variant_get(x, "$", "string"))
+            if "pattern" in item:
+                errors.append(says(fits & F.exists(texts, lambda x: ~x.rlike(item["pattern"])), "an element doesn't match"))
+            if "enum" in item:
+                errors.append(says(fits & F.exists(texts, lambda x: ~x.isin(*item["enum"])), "an element is not a choice"))
+        if "properties" in rule:
+            inner.append(F.when(fits, argument_errors(value, rule["properties"], f"{name}.")))
+    none = F.array().cast("array<string>")
     known = F.array(*[F.lit(x) for x in sorted(schema)])
-    extra = F.transform(F.array_sort(F.array_except(F.json_object_keys(F.to_json(parsed)), known)), lambda x: F.concat(x, F.lit(": unexpected")))
-    return F.concat(F.filter(F.array(*errors), lambda x: x.isNotNull()), extra)
+    extra = F.transform(F.array_sort(F.array_except(F.json_object_keys(F.to_json(parsed)), known)), lambda x: F.concat(F.lit(above), x, F.lit(": unexpected")))
+    return F.concat(F.filter(F.array(*errors), lambda x: x.isNotNull()), *[F.coalesce(x, none) for x in [*inner, extra]])
 
 
 def _earliest(rows: DataFrame, keep: list[str]) -> DataFrame:

@@ -124,6 +124,35 @@ def test_tool_chat(spark):
     assert json.loads(found["c"][0].json)["arguments"] is None
 
 
+BOOK = {
+    "when": {"type": "object", "required": True, "properties": {"day": {"type": "string", "required": True, "pattern": "^[0-9]{4}-[0-9]{2}$"}, "hour": {"type": "integer", "minimum": 0, "maximum": 23}}},
+    "tags": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}},
+    "size": {"type": "string", "enum": ["s", "m"]},
+}
+
+
+def test_nested_schemas(spark):
+    rows = [
+        ('{"when":{"day":"2024-01","hour":5},"tags":["a","b"],"size":"m"}', []),
+        ('{"when":{"day":"2024","hour":24,"more":1}}', ["when.day: doesn't match", "when.hour: too large", "when.more: unexpected"]),
+        ('{"when":[],"tags":["a",1],"size":"l"}', ["size: not a choice", "tags: an element is not string", "tags: an element is not a choice", "when: not object"]),
+        ('{"when":{},"tags":"a","size":null,"other":{}}', ["tags: not array", "when.day: missing", "other: unexpected"]),
+        ("{}", ["when: missing"]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, t string").select("i", tool_chat.argument_errors(F.try_parse_json("t"), BOOK).alias("e"))
+    assert [x.e for x in frame.orderBy("i").collect()] == [want for _, want in rows]
+
+
+def test_canonical_numbers_and_clashing_columns(spark):
+    """Numbers are written as VARIANT holds them: decimals without trailing zeros, those with an exponent as doubles."""
+    calls = spark.createDataFrame([(1, i, f"c{i}", "ask", f'{{"words":{x},"question":"q"}}', None) for i, x in enumerate(["1.0", "1e3", "-0", "12345678901234567890", "0.10"])], "conv_id long, turn long, call_id string, tool string, payload string, after string")
+    calls = calls.withColumn("depth", F.lit("clash")).withColumn("status", F.lit("clash")).withColumn("errors", F.lit("clash"))
+    results = spark.createDataFrame([(1, 1, "c0", "r" * 2_000_000)], "conv_id long, turn long, call_id string, payload string").withColumn("json", F.lit("clash"))
+    found = {x.call_id: x for x in tool_chat.link(calls, results).collect()}
+    assert {k: re.search(r'"words":([^}]*)', v.json)[1] for k, v in found.items()} == {"c0": "1", "c1": "1000.0", "c2": "0", "c3": "12345678901234567890", "c4": "0.1"}
+    assert len(found["c0"].json) > 2_000_000 and found["c0"].depth == 0
+
+
 def test_tool_chat_long_chain_and_empty(spark):
     links = spark.range(300).select(F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     assert {(int(x.call_id), x.depth) for x in tool_chat.depths(links).collect()} == {(i, i) for i in range(300)}
