@@ -210,6 +210,11 @@ def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id long, text)."""
+    return _groups(docs)[0]
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups(), and the stored frame that it still reads."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(signatures(docs))
     full = seen.where("n > 0 AND doc_id IS NOT NULL")
@@ -239,12 +244,13 @@ def groups(docs: DataFrame) -> DataFrame:
     least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("component_id"))
     told = written(placed.where("component IS NOT NULL OR size > 1").join(least, "component", "left").select("fp1", "fp2", F.coalesce("component_id", "rep").alias("component_id")))
     dropped(classes, links, more, few, apart, open_docs, placed)
-    return (
+    found = (
         seen.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp1")).alias("fp1"), "fp2")
         .join(told, ["fp1", "fp2"], "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    return found, seen
 
 
 def op8_minhash(spark, sf_dir):
@@ -254,8 +260,9 @@ def op8_minhash(spark, sf_dir):
 def keep_one_of_each(spark, docs, sf_dir):
     """Pipeline stage: one document of each group stays, that of the smallest id; of rows with one id that of the least
     hash of its text stays, or any of equal texts. Texts are moved only for ids that have several rows."""
-    gone = groups(docs).where("NOT kept").select("doc_id").distinct()
-    left = of_ids(docs, gone, "left_anti")
+    found, seen = _groups(docs)
+    left = of_ids(docs, found.where("NOT kept").select("doc_id").distinct(), "left_anti")
+    dropped(seen)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():
         return left
