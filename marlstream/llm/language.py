@@ -51,7 +51,8 @@ def training_rows(docs: DataFrame, most: int = MAX_TRAINING_DOCS) -> DataFrame:
     """About `most` labelled rows (text, lang) of each language, none of them held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und")).select("doc_id", "text", "lang")
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1_000_000.0) * most / F.col("n")).alias("share"))
-    return rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
+    # a row for each language
+    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, order: int):
@@ -252,13 +253,14 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """docs with lang_pred, score and bits (a byte, under the best language); the other columns stay."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits")]
-    state = docs.select(*rest, F.coalesce("text", F.lit("")).alias("__text"), *[F.lit(float("nan") if kind == "double" else None).cast(kind).alias(c) for c, kind in STATE.items()])
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits", "text")]
+    state = docs.select(*rest, F.coalesce("text", F.lit("")).alias("__text"), F.col("text").isNull().alias("__null"), *[F.lit(float("nan") if kind == "double" else None).cast(kind).alias(c) for c, kind in STATE.items()])
     for model in models:
         state = _scored(state, model)
     told = F.col("__text").rlike(r"\p{L}") & F.col("__lang").isNotNull()
     bits = F.col("__least") / F.greatest(F.lit(1), F.octet_length("__text"))
-    return state.select(*rest, F.when(told, F.col("__lang")).otherwise("und").alias("lang_pred"), F.when(told, 1 / F.col("__sum")).otherwise(0.0).alias("score"), F.when(F.col("__lang").isNotNull(), bits).otherwise(0.0).alias("bits"))
+    text = F.when(~F.col("__null"), F.col("__text")).alias("text")
+    return state.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits")], F.when(told, F.col("__lang")).otherwise("und").alias("lang_pred"), F.when(told, 1 / F.col("__sum")).otherwise(0.0).alias("score"), F.when(F.col("__lang").isNotNull(), bits).otherwise(0.0).alias("bits"))
 
 
 def op3_language_ppm(spark, sf_dir):
@@ -270,10 +272,12 @@ def op3_language_ppm(spark, sf_dir):
 def keep_known_languages(spark, docs, sf_dir):
     """Pipeline stage: drops texts that are null, have no letter, that no language codes better than uniform bytes, or whose
     language is in doubt; a null `lang` becomes the language found."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = predict(docs.select("text", row.alias("__row")), train(docs))
+    # columns whose names may clash go into a struct; the text isn't in it, so that it goes to Python once
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    found = predict(docs.select("text", rest.alias("__rest")), train(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("bits") < UNLIKE_ANY) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.coalesce("__row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"__row.`{c}`") for c in docs.columns])
+    own = {"text": F.col("text"), "lang": F.coalesce("__rest.lang", "lang_pred").alias("lang")}
+    return kept.select(*[own.get(c, F.col(f"__rest.`{c}`")) for c in docs.columns])
 
 
 QUERIES = {"op3_language_ppm": op3_language_ppm}

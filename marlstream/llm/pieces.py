@@ -42,9 +42,9 @@ from marlstream.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: of parts and their ids; a part of more than LONG_PART characters isn't kept
-KEPT_BYTES, LONG_PART = 16 << 20, 200
-MAX_ARCS = 1_000_000
+#: of parts and their ids, ENTRY_BYTES of each being Python's own; a part of more than LONG_PART characters isn't kept
+KEPT_BYTES, ENTRY_BYTES, LONG_PART = 32 << 20, 200, 200
+MAX_ARCS = 400_000
 #: positions that are searched at a time
 BLOCK = 1 << 16
 #: what an unknown character costs more than the worst piece of a Unigram model (fixed value of the library)
@@ -312,7 +312,7 @@ class Transducer:
                         self.older, self.kept, self.kept_bytes = kept, {}, 0
                         kept = self.kept
                     kept[part] = packed
-                    self.kept_bytes += 4 * len(part) + len(packed)
+                    self.kept_bytes += ENTRY_BYTES + 4 * len(part) + len(packed)
             out.append(packed)
         packed = b"".join(out)
         if not self.vocabulary.byte_fallback:
