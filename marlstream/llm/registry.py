@@ -7,7 +7,7 @@ import importlib
 
 from marlstream.session import ship
 
-MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies", "line_copies", "leaks", "word_repeats", "suffix_repeats", "media")
+MODULES = ("url_rules", "tool_chat", "language", "pieces", "near_copies", "line_copies", "leaks", "word_repeats", "suffix_repeats", "media", "resampling", "spelling", "quality")
 
 
 def _modules():

@@ -7,7 +7,7 @@ import pytest
 
 from marlstream.llm import registry
 
-TABLES = ("documents", "pages", "labels", "conversations")
+TABLES = ("documents", "pages", "labels", "conversations", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
