@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marlstream.operators import blocks
 from marlstream.plans.catalog import register, table
-from marlstream.session import stored
+from marlstream.session import file_system, shared_folder, stored
+from marlstream.sources import large_json
 
 
 def _lines(spark, sf_dir):
@@ -102,3 +105,25 @@ _MIXED = "SELECT o_custkey, o_orderkey, i, value FROM m, (SELECT unnest([0, 1])
 )
 def merge_arrays_deep(spark, sf_dir):
     return blocks.deep_merged(_settings(spark, sf_dir), "o_custkey", "o_orderkey", "settings")
+
+
+@register(
+    "large_json_elements",
+    """SELECT 'orders' AS section, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS pos, o_orderkey, o_orderpriority, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey
+       UNION ALL SELECT DISTINCT 'nation', 0, NULL, NULL, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def large_json_elements(spark, sf_dir):
+    """A document for each nation, written line by line, with all its orders behind a null; each is read by ranges."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nation = F.col("c_nationkey")
+    order = F.to_json(F.struct("o_orderkey", "o_orderpriority", "c_nationkey", F.struct(F.lit('}],"\\').alias("odd")).alias("more")))
+    lines = orders.select(nation.alias("nation"), F.lit(1).alias("part"), "o_orderkey", F.concat(F.lit(","), order).alias("value"))
+    ends = orders.select(nation.alias("nation")).distinct()
+    head = ends.select("nation", F.lit(0), F.lit(0).cast("long"), F.concat(F.lit('{"nation":{"c_nationkey":'), "nation", F.lit('},"orders":[null')))
+    tail = ends.select("nation", F.lit(2), F.lit(0).cast("long"), F.lit("]}"))
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    lines.union(head).union(tail).repartition("nation").sortWithinPartitions("nation", "part", "o_orderkey").select("nation", "value").write.partitionBy("nation").text(path)
+    fs, own = file_system(spark, path)
+    fs.deleteOnExit(own)
+    found = large_json.elements(spark, path).where("json <> 'null'").select("section", "pos", F.from_json("json", "o_orderkey long, o_orderpriority string, c_nationkey int").alias("x"))
+    return found.select("section", F.col("pos").cast("long"), "x.*")

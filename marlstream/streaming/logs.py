@@ -33,13 +33,49 @@ def append_to(rows: DataFrame, path: str, checkpoint: str, available_now: bool =
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def tail_bytes(spark: SparkSession, path: str | None = None, control: str | None = None) -> DataFrame:
+    """Log rows (level, message, timestamp) of a file that grows, as lines are appended; `control` names a file that holds
+    the path of the log, which may change while the stream runs. Lines that aren't JSON are left out."""
+    from marlstream.streaming.tailed import TailSource
+
+    spark.dataSource.register(TailSource)
+    reader = spark.readStream.format("marlstream_tail")
+    lines = (reader.option("path", path) if path is not None else reader.option("control", control)).load()
+    return log_rows(lines.select(F.col("line").alias("value")))
+
+
 def merged_into(rows: DataFrame, path: str, checkpoint: str, keys: list[str], available_now: bool = False) -> StreamingQuery:
-    """Keeps a table of the latest row of each key, by upserts of each batch."""
-    from marlstream.operators.merge import last_wins
-    from marlstream.sources import sinks
+    """Keeps a keyed table of the latest row of each key (`sources.keyed`). A batch writes only the buckets it touches, and
+    one that is repeated after a failure is known to be in."""
+    from marlstream.sources.keyed import KeyedTable
 
-    def put(batch: DataFrame, _: int) -> None:
-        sinks.upsert(last_wins(batch, keys, "timestamp"), path, keys)
+    def put(batch: DataFrame, number: int) -> None:
+        table = KeyedTable(batch.sparkSession, path, keys, latest="timestamp")
+        table.upsert(batch, writer=checkpoint, batch=number)
+        table.compact()
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def once_into(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Merges logs into one that has each line (level, message, timestamp) once, however many logs bring it, however late and
+    after however many restarts: a line's hash is its key in a keyed table (`sources.keyed`), which isn't read for it. A double
+    costs a row of a delta until the next compaction. `read_once` gives the lines."""
+    from marlstream.sources.keyed import KeyedTable
+
+    line = ["level", "message", "timestamp"]
+
+    def put(batch: DataFrame, number: int) -> None:
+        table = KeyedTable(batch.sparkSession, path, ["k1", "k2"])
+        table.upsert(batch.select(*line, F.xxhash64(*line).alias("k1"), F.xxhash64(F.lit(7), *line).alias("k2")), writer=checkpoint, batch=number)
+        table.compact()
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    from marlstream.sources.keyed import KeyedTable
+
+    return KeyedTable(spark, path, ["k1", "k2"]).read().drop("k1", "k2")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstream.operators import feed, metadata
+from marlstream.sources.keyed import KeyedTable
 from marlstream.sources import files, sinks
 from marlstream.sources.paged import PagedSource
 from marlstream.streaming import logs
@@ -171,7 +172,7 @@ def test_tail(spark, tmp_path):
     assert sorted(r.message for r in spark.read.json(str(out)).collect()) == ["a", "b", "c"]
     rows = logs.tail(spark, str(source)).select("timestamp", F.lit("k").alias("level"), "message")
     logs.merged_into(rows, str(tmp_path / "latest"), str(tmp_path / "cp2"), ["level"], available_now=True).awaitTermination()
-    assert [r.message for r in spark.read.parquet(str(tmp_path / "latest")).collect()] == ["c"]
+    assert [r.message for r in KeyedTable(spark, str(tmp_path / "latest"), ["level"], latest="timestamp").read().collect()] == ["c"]
     query = logs.level_counts(logs.tail(spark, str(source)), delay="0 seconds").writeStream.format("memory").queryName("levels").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.level, r.n) for r in spark.table("levels").collect()} == {("info", 1), ("error", 1)}
