@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstream.functions import markup
+
 #: bytes of an archive inside an archive that stay in memory; beyond them it goes through a task's temporary file
 NESTED_BYTES = 32 << 20
 
@@ -29,14 +31,26 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.St
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def repaired_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.StructType | str | None = None) -> DataFrame:
+    """One row for each `row_tag` element of broken XML: each is cut out, repaired and then parsed by the schema. The file is split at
+    the ends of its rows, so one of any size is read by many tasks; a row that isn't closed ends where the next begins or the
+    file does. What is between rows is left out. Rows must not hold rows, nor their end tags in CDATA."""
+    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path).select("value")
+    # what begins with a row's start tag; before the first of a piece is what was between rows
+    begins = F.split("value", rf"(?=<{row_tag}[\s/>])")
+    rows = pieces.select(F.explode(begins).alias("broken")).where(F.col("broken").rlike(rf"^<{row_tag}[\s/>]"))
+    # an unclosed last row also holds the ends of what is around it, which close nothing in it
+    return rows.select(F.from_xml(markup.repaired_xml(F.col("broken")), schema, {"attributePrefix": "_", "valueTag": "text", "rowTag": row_tag}).alias("x")).select("x.*")
+
+
 #: a feed export's rows; every leaf is a text
 FEED_ITEM = """title string, link string, `dc:creator` string, description string, `content:encoded` string, `excerpt:encoded` string, `wp:post_id` string, `wp:post_name` string,
     `wp:post_date_gmt` string, `wp:post_type` string, `wp:status` string, `wp:post_parent` string, `wp:attachment_url` string,
     category array<struct<text: string, _domain: string, _nicename: string>>, `wp:postmeta` array<struct<`wp:meta_key`: string, `wp:meta_value`: string>>"""
 
 
-def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    return xml_rows(spark, path, "item", FEED_ITEM)
+def feed_items(spark: SparkSession, path: str, repair: bool = False) -> DataFrame:
+    return repaired_rows(spark, path, "item", FEED_ITEM) if repair else xml_rows(spark, path, "item", FEED_ITEM)
 
 
 def posts(items: DataFrame) -> DataFrame:
