@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from marlstream.plans import content, inventory, relational, scalars, schemas, search, trees  # noqa: F401
+    from marlstream.plans import content, inventory, page_models, relational, scalars, schemas, search, trees  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
