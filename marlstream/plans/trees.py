@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from marlstream.operators import blocks
+from marlstream.operators import blocks, rematch
 from marlstream.plans.catalog import register, table
 from marlstream.session import file_system, shared_folder, stored
 from marlstream.sources import large_json
@@ -127,3 +127,37 @@ def large_json_elements(spark, sf_dir):
     fs.deleteOnExit(own)
     found = large_json.elements(spark, path).where("json <> 'null'").select("section", "pos", F.from_json("json", "o_orderkey long, o_orderpriority string, c_nationkey int").alias("x"))
     return found.select("section", F.col("pos").cast("long"), "x.*")
+
+
+_OLD = ("'u' || part % 3 AS uid", "CASE WHEN part % 11 <> 0 THEN flag || ' > ' || status END AS path")
+_NEW = ("CASE WHEN part % 5 = 0 THEN 'renamed' ELSE 'u' || part % 3 END AS uid", "CASE WHEN part % 4 = 0 THEN 'moved > ' || status ELSE flag || ' > ' || status END AS path")
+
+
+def _rounds_sql() -> str:
+    """Each round: pairs of equal rank among equal keys, and what is left on both sides."""
+    parts, left, free = [], "m", "d"
+    for number, keys in enumerate(rematch.ROUNDS):
+        group = ", ".join(("type", *keys))
+        parts.append(f"""h{number} AS (SELECT a.type, a.field, {number} AS round, b.place, b.uid, b.path, b.field_type
+            FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY field) AS r FROM {left}) a JOIN (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY place) AS r FROM {free}) b
+            ON a.r = b.r AND {" AND ".join(f"a.{k} = b.{k}" for k in ("type", *keys))})""")
+        parts.append(f"m{number} AS (SELECT * FROM {left} ANTI JOIN h{number} USING (type, field)), d{number} AS (SELECT * FROM {free} ANTI JOIN h{number} USING (type, place))")
+        left, free = f"m{number}", f"d{number}"
+    return ", ".join(parts)
+
+
+@register(
+    "rematch_fields",
+    f"""WITH l AS ({_LINES}), m AS (SELECT o_orderkey AS type, 'f' || no AS field, {', '.join(_OLD)} FROM l),
+    d AS (SELECT o_orderkey AS type, no * 2 + k AS place, {', '.join(_NEW)}, 'text' || k AS field_type FROM l, (SELECT unnest([0, 1]) AS k) WHERE part % 7 <> 0 AND (k = 0 OR part % 6 = 0)),
+    {_rounds_sql()}
+    SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT type, field, NULL, NULL, NULL, NULL, NULL FROM m2""",
+)
+def rematch_fields(spark, sf_dir):
+    """The lines of an order as fields of a type, of which some were since renamed, moved, taken away or doubled."""
+    lines = _lines(spark, sf_dir).withColumnsRenamed({"l_orderkey": "type", "l_linenumber": "no"})
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("type"))
+    lines = lines.join(orders, "type", "left_semi")
+    mapped = lines.selectExpr("type", "concat('f', no) AS field", *_OLD)
+    changed = lines.where("part % 7 <> 0").withColumn("k", F.explode(F.when(F.col("part") % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rematch.rematched(mapped, changed.selectExpr("type", "no * 2 + k AS place", *_NEW, "concat('text', k) AS field_type"))
