@@ -7,11 +7,15 @@ resolved by equi-joins of their own and the rest by expressions; `entries` puts
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstream.functions import documents as D
 from marlstream.functions import text as X
 from marlstream.functions import values as V
+from marlstream.session import dropped, stored
 
 #: fixed values: kind of a field -> data type
 KINDS = {
@@ -111,7 +115,8 @@ def coerced_values(cells: DataFrame, fields: DataFrame, assets: DataFrame, entri
 
     cells: (entry, locale, field, content); fields: (field, kind, references, multiple, default_value, options), unique by
     field; assets: (asset, record), record being JSON; entries: (entry, template, locale), those that references may name.
-    Ids are compared without braces and hyphens."""
+    Ids are compared without braces and hyphens. Texts, apps, extensions and kinds that aren't known keep their content; a
+    cell of a field that isn't in fields has no row. Rich text and what holds other fields: `coerced_content`."""
     rows = cells.join(fields, "field")
     kind, content, option = F.col("kind"), F.col("content"), F.col("__option")
     fits = lambda value: F.get(F.filter("options", lambda o: (o["key"] == value) | (o["value"] == value)), F.lit(0))
@@ -142,6 +147,56 @@ def coerced_values(cells: DataFrame, fields: DataFrame, assets: DataFrame, entri
     return scalars.unionByName(held).unionByName(refs)
 
 
+def _rich_text(cells: DataFrame, assets: DataFrame) -> DataFrame:
+    """(entry, field, value): the node trees of HTML cells, with images that are known assets as references to them."""
+    index = assets.select(F.col("asset").alias("src"), F.get_json_object("record", "$.uid").alias("uid")).where("uid IS NOT NULL")
+    trees = cells.select("entry", "field", D.html_to_tree(F.col("content")).alias("__tree"))
+    return D.with_assets(trees, "__tree", index, "value").select("entry", "field", "value")
+
+
+def coerced_content(cells: DataFrame, fields: DataFrame, assets: DataFrame, entries: DataFrame, members: DataFrame) -> DataFrame:
+    """(entry, field, value) as `coerced_values` has it, and for fields of rich text (kind json) their trees, for fields that hold
+    others (groups and global fields) objects of what these make of the same content, at any depth.
+
+    members: (owner, uid, field), what a field holds under which key, unique in an owner; a key with null has one all the same. A field that
+    would hold itself, however far down, is left out there. cells are unique by entry and field. One level of all cells is opened by a join at a time, and
+    objects are put together by one group-by a level from the inside. A field that holds others by its kind and has none is
+    an empty object. Stored.
+    """
+    holds = F.col("kind").isin("group", "global_field")
+    kinds = fields.select("field", "kind")
+    # an id for each cell, and the owners above it
+    top = cells.join(kinds, "field").select(F.to_json(F.struct(F.col("entry").cast("string").alias("e"), F.col("field").alias("f"))).alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("uid"), "entry", "locale", "field", "kind", "content", F.array("field").alias("above"))
+    now, levels = stored(top), []
+    while not now.isEmpty():
+        levels.append(now)
+        held = now.where(holds).select("id", "entry", "locale", "content", F.col("field").alias("owner"), "above").join(members.withColumnsRenamed({"field": "__member"}), "owner")
+        held = held.where(~F.array_contains("above", F.col("__member"))).join(kinds.withColumnRenamed("field", "__member"), "__member")
+        below = held.select(F.concat("id", F.lit("/"), "uid").alias("__id"), F.col("id").alias("parent"), "uid", "entry", "locale", F.col("__member").alias("field"), "kind", "content", F.array_append("above", F.col("__member")).alias("above"))
+        now = stored(below.withColumnRenamed("__id", "id").select(now.columns))
+    if not levels:
+        return top.select("entry", "field", F.col("content").alias("value"))
+    every = reduce(DataFrame.unionByName, levels)
+    leaf = every.where(~F.coalesce(holds, F.lit(False))).withColumn("__entry", F.col("entry")).withColumn("entry", F.col("id"))
+    plain = coerced_values(leaf.where("kind IS NULL OR kind <> 'json'").select("entry", "locale", "field", "content"), fields, assets, entries)
+    values = stored(plain.unionByName(_rich_text(leaf.where("kind = 'json'"), assets)).select(F.col("entry").alias("id"), "value"))
+    done = None
+    for level in reversed(levels):
+        own = level.select("id", "parent", "uid", "entry", "field", holds.alias("holds")).join(values, "id", "left")
+        if done is not None:
+            pairs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uid", F.coalesce("value", F.lit("null")).alias("v")))), lambda x: F.concat(F.to_json(x["uid"].cast("variant")), F.lit(":"), x["v"])), ",")
+            objects = done.groupBy(F.col("parent").alias("id")).agg(pairs.alias("inner"))
+            own = own.join(objects, "id", "left")
+        else:
+            own = own.withColumn("inner", F.lit(None).cast("string"))
+        whole = F.when(F.col("holds"), F.concat(F.lit("{"), F.coalesce("inner", F.lit("")), F.lit("}"))).otherwise(F.col("value"))
+        below, done = done, stored(own.select("id", "parent", "uid", "entry", "field", whole.alias("value")))
+        if below is not None:
+            dropped(below)
+    dropped(values, *levels)
+    return done.select("entry", "field", "value")
+
+
 def entries(values: DataFrame) -> DataFrame:
     """(entry, fields) from rows (entry, field, value): each entry's values by field, without those that are null. Of
     several values of one field the least counts."""

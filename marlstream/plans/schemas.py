@@ -141,6 +141,30 @@ def coerced_values(spark, sf_dir):
     return schemas.coerced_values(cells, fields, assets, entries)
 
 
+_RICH = """CASE o_orderkey % 3 WHEN 2 THEN 'plain' ELSE (o_custkey % 50) || '<p><a id="t" href="/x/' || o_custkey || '">x</a></p>' || CASE WHEN o_orderkey % 3 = 1 THEN '<img src="A-' || (o_custkey % 150) || '"/>' ELSE '' END END"""
+_TREE = """'{{"attrs":{{}},"children":[{{"text":"' || (o_custkey % 50) || '"}},{{"attrs":{{}},"children":[{{"attrs":{{"href":"/x/' || o_custkey || '","id":"t"}},"children":[{{"text":"x"}}],"type":"a"}}],"type":"p"}}' || {more} || '],"type":"doc"}}'"""
+
+
+@register(
+    "coerced_content",
+    f"""SELECT o_orderkey AS entry, CASE o_orderkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'J' ELSE 'T' END AS field, CASE o_orderkey % 3
+        WHEN 0 THEN '{{"flag":false,"inner":{{"html":' || {_TREE.format(more="''")} || ',"link":{{"title":"t","href":"/x/' || o_custkey || '"}},"up":{{}}}},"none":{{}},"size":' || (o_custkey % 50) || '}}'
+        WHEN 1 THEN {_TREE.format(more="""CASE WHEN o_custkey % 150 BETWEEN 1 AND 99 THEN ',{"attrs":{"display-type":"display","href":"A-' || (o_custkey % 150) || '","type":"asset","uid":"a' || (o_custkey % 150) || '"},"children":[{"text":""}],"type":"reference"}' ELSE ',{"attrs":{"src":"A-' || (o_custkey % 150) || '"},"children":[],"type":"img"}' END""")}
+        ELSE '"plain"' END AS value FROM orders""",
+)
+def coerced_content(spark, sf_dir):
+    """A global field that holds a number, a flag, nothing, and a group of rich text, a link and another global field that
+    holds the first again."""
+    cells = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS entry", "'en' AS locale", "CASE o_orderkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'J' ELSE 'T' END AS field", f"{_RICH} AS content")
+    rows = [("G", "global_field"), ("H", "group"), ("E", "group"), ("U", "global_field"), ("J", "json"), ("T", "app"), ("N", "number"), ("B", "boolean"), ("L", "link")]
+    fields = spark.createDataFrame([(*r, None, None, None) for r in rows], "field string, kind string, references array<string>, multiple boolean, default_value string")
+    fields = fields.withColumn("options", F.array().cast("array<struct<key:string,value:string>>"))
+    held = [("G", "size", "N"), ("G", "flag", "B"), ("G", "none", "E"), ("G", "inner", "H"), ("H", "html", "J"), ("H", "link", "L"), ("H", "up", "U"), ("U", "again", "G"), ("U", "self", "H")]
+    assets = spark.range(1, 100).select(F.concat(F.lit("A-"), "id").alias("asset"), F.to_json(F.struct(F.concat(F.lit("a"), "id").alias("uid"))).alias("record"))
+    none = spark.createDataFrame([], "entry string, template string, locale string")
+    return schemas.coerced_content(cells, fields, assets, none, spark.createDataFrame(held, "owner string, uid string, field string"))
+
+
 @register(
     "entries_of_values",
     """SELECT entry, string_agg(field || '=' || value, ';' ORDER BY field) AS entry_text FROM (SELECT l_orderkey AS entry, 'f' || l_linenumber AS field, min(CASE WHEN l_returnflag <> 'A' THEN l_returnflag END) AS value FROM lineitem GROUP BY ALL) GROUP BY 1""",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from marlstream.operators import blocks, rematch
 from marlstream.plans.catalog import register, table
 from marlstream.session import file_system, shared_folder, stored
-from marlstream.sources import large_json
+from marlstream.sources import files, large_json
+from marlstream.sources.keyed import KeyedTable
 
 
 def _lines(spark, sf_dir):
@@ -107,6 +108,14 @@ def merge_arrays_deep(spark, sf_dir):
     return blocks.deep_merged(_settings(spark, sf_dir), "o_custkey", "o_orderkey", "settings")
 
 
+def _folder(spark) -> str:
+    """A folder of the shared one that goes when the application ends."""
+    path = f"{shared_folder(spark)}/made-{uuid.uuid4().hex}"
+    fs, own = file_system(spark, path)
+    fs.deleteOnExit(own)
+    return path
+
+
 @register(
     "large_json_elements",
     """SELECT 'orders' AS section, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS pos, o_orderkey, o_orderpriority, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey
@@ -121,10 +130,8 @@ def large_json_elements(spark, sf_dir):
     ends = orders.select(nation.alias("nation")).distinct()
     head = ends.select("nation", F.lit(0), F.lit(0).cast("long"), F.concat(F.lit('{"nation":{"c_nationkey":'), "nation", F.lit('},"orders":[null')))
     tail = ends.select("nation", F.lit(2), F.lit(0).cast("long"), F.lit("]}"))
-    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    path = _folder(spark)
     lines.union(head).union(tail).repartition("nation").sortWithinPartitions("nation", "part", "o_orderkey").select("nation", "value").write.partitionBy("nation").text(path)
-    fs, own = file_system(spark, path)
-    fs.deleteOnExit(own)
     found = large_json.elements(spark, path).where("json <> 'null'").select("section", "pos", F.from_json("json", "o_orderkey long, o_orderpriority string, c_nationkey int").alias("x"))
     return found.select("section", F.col("pos").cast("long"), "x.*")
 
@@ -161,3 +168,42 @@ def rematch_fields(spark, sf_dir):
     mapped = lines.selectExpr("type", "concat('f', no) AS field", *_OLD)
     changed = lines.where("part % 7 <> 0").withColumn("k", F.explode(F.when(F.col("part") % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return rematch.rematched(mapped, changed.selectExpr("type", "no * 2 + k AS place", *_NEW, "concat('text', k) AS field_type"))
+
+
+@register(
+    "repaired_feed",
+    """SELECT o_orderkey::VARCHAR AS post, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || ' & co < all' WHEN 1 THEN o_orderpriority ELSE 'a <b> & c' END AS title,
+              CASE WHEN o_orderkey % 3 = 1 THEN 'tag' END AS domain, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS category FROM orders""",
+)
+def repaired_feed(spark, sf_dir):
+    """A feed of orders with bare ampersands, unclosed and crossed elements, bare attributes and missing ends of items."""
+    post = F.concat(F.lit("<wp:post_id>"), "o_orderkey", F.lit("</wp:post_id>"))
+    kind = F.col("o_orderkey") % 3
+    item = (
+        F.when(kind == 0, F.concat(F.lit("<item><title>"), "o_orderpriority", F.lit(" & co < all</title>"), post, F.lit("</b></item></x>")))
+        .when(kind == 1, F.concat(F.lit("<item at>"), post, F.lit("<category domain=tag>"), "o_orderstatus", F.lit("</category><title>"), "o_orderpriority", F.lit("</item>")))
+        .otherwise(F.concat(F.lit("<item>"), post, F.lit("<title><![CDATA[a <b> & c]]></title><!-- <item> -->")))
+    )
+    path = _folder(spark)
+    table(spark, sf_dir, "orders").select(item.alias("value")).write.text(path)
+    found = files.feed_items(spark, path, repair=True)
+    return found.select(F.col("`wp:post_id`").alias("post"), "title", F.col("category")[0]["_domain"].alias("domain"), F.col("category")[0]["text"].alias("category"))
+
+
+@register(
+    "keyed_upserts",
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 20 = 0 THEN o_orderstatus WHEN o_orderkey % 10 = 0 THEN 'changed' ELSE o_orderstatus END AS v, 0 AS gone_in FROM orders WHERE o_orderkey % 77 <> 0 OR o_orderkey % 20 = 0
+       UNION ALL SELECT -o_orderkey - 1, 'new', 0 FROM orders WHERE o_orderkey % 50 = 1
+       UNION ALL SELECT o_orderkey, o_orderstatus, 3 FROM orders WHERE o_orderkey % 77 = 0 AND o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 'changed', 3 FROM orders WHERE o_orderkey % 77 = 0 AND o_orderkey % 10 = 0""",
+)
+def keyed_upserts(spark, sf_dir):
+    """Orders as a keyed table: some are changed and added, some deleted, some put back to what they were at first; and what
+    was deleted, from the history."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    kept = KeyedTable(spark, _folder(spark), ["k"], buckets=8)
+    kept.upsert(orders)
+    kept.upsert(orders.where("k % 10 = 0").withColumn("v", F.lit("changed")).unionByName(orders.where("k % 50 = 1").select((-F.col("k") - 1).alias("k"), F.lit("new").alias("v"))))
+    kept.delete(orders.where("k % 77 = 0"))
+    kept.reset(orders.where("k % 20 = 0"), 1)
+    gone = kept.history().where("gone").select("k", "v", F.col("version").cast("int").alias("gone_in"))
+    return kept.read().select("k", "v", F.lit(0).alias("gone_in")).unionByName(gone)

@@ -34,8 +34,9 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.St
 def repaired_rows(spark: SparkSession, path: str, row_tag: str = "item", schema: T.StructType | str | None = None) -> DataFrame:
     """One row for each `row_tag` element of broken XML: each is cut out, repaired and then parsed by the schema. The file is split at
     the ends of its rows, so one of any size is read by many tasks; a row that isn't closed ends where the next begins or the
-    file does. What is between rows is left out. Rows must not hold rows, nor their end tags in CDATA."""
-    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path).select("value")
+    file does. What is between rows is left out. Rows must not hold rows, nor
+    their tags in CDATA, nor end tags in comments."""
+    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path).select(F.regexp_replace("value", r"(?s)<!--.*?-->", "").alias("value"))
     # what begins with a row's start tag; before the first of a piece is what was between rows
     begins = F.split("value", rf"(?=<{row_tag}[\s/>])")
     rows = pieces.select(F.explode(begins).alias("broken")).where(F.col("broken").rlike(rf"^<{row_tag}[\s/>]"))

@@ -185,13 +185,13 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file", "section").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     places = first.select("file", "section", "start", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = found.where("NOT head").join(F.broadcast(places), ["file", "section", "start"]).select("file", "start", "seq", "section", "text", "ended", (F.col("before") + F.col("seq") - F.col("least")).alias("pos"))
-    whole = placed.where("ended").select("section", "pos", F.trim("text").alias("json"))
+    whole = placed.where("ended").select("section", "pos", F.trim("text", F.lit(" \t\r\n")).alias("json"))
     parts = found.where("head OR NOT ended").select("file", "start", "seq", "head", "text")
     upto = Window.partitionBy("file").orderBy("start", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.withColumn("of", F.last(F.when(~F.col("head"), F.col("start")), ignorenulls=True).over(upto))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "seq", "text"))), lambda x: x["text"])
     joined = parts.groupBy("file", F.col("of").alias("start")).agg(F.array_join(texts, "").alias("whole"))
-    crossing = placed.where("NOT ended").join(joined, ["file", "start"]).select("section", "pos", F.trim("whole").alias("json"))
+    crossing = placed.where("NOT ended").join(joined, ["file", "start"]).select("section", "pos", F.trim("whole", F.lit(" \t\r\n")).alias("json"))
     return whole.unionByName(crossing)
 
 
