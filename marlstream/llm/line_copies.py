@@ -82,7 +82,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, no, k1, k2, n_words, half0, half1, half2) of every line that has words; k1 and k2 are hashes of the
     line."""
     # the filter is on the line, not on its words, as Spark would then find the words twice
-    exploded = docs.select("doc_id", _row_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # and the hash of the whole text is made before the text is split, not for each line
+    exploded = docs.select("doc_id", "text", _row_id().alias("row")).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     words = F.col("words")
     return exploded.withColumn("words", words_of(F.col("line"))).select(
         "doc_id", "row", "no", F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(7), words).alias("k2"), F.size(words).alias("n_words"), *_halves(words)
@@ -126,9 +127,10 @@ def _words(lines: DataFrame, docs: DataFrame) -> DataFrame:
     places = lines.groupBy("first.doc_id", "first.row").agg(F.collect_list(F.struct("k1", "k2", "first")).alias("lines"))
     own = of_ids(docs, places.select("doc_id").distinct()).select(F.col("doc_id").alias("__id"), _row_id().alias("__row"), "text")
     texts = own.join(places, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__row") == F.col("row")))
-    # an inner explode after the join: only the lines asked for leave the document
-    line = F.get(F.split("text", "\n"), F.col("x.first.no"))
-    return texts.select("text", F.explode("lines").alias("x")).select("x.k1", "x.k2", "x.first", words_of(line).alias("words")).dropDuplicates(["k1", "k2"])
+    # an explode after the join: only the lines asked for leave the document. The text is split once, as the one element
+    # of another: of a mere column Spark would make it a part of the expression for each line
+    split = texts.select("lines", F.explode(F.array(F.split("text", "\n"))).alias("split"))
+    return split.select("split", F.explode("lines").alias("x")).select("x.k1", "x.k2", "x.first", words_of(F.get("split", F.col("x.first.no"))).alias("words")).dropDuplicates(["k1", "k2"])
 
 
 def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:

@@ -88,3 +88,10 @@ def test_empty_table_and_stage(spark):
     assert line_copies.dedup(docs.where("doc_id > 9")).collect() == []
     kept = line_copies.drop_repeated_lines(spark, docs, "")
     assert kept.columns == docs.columns and sorted((x.doc_id, x.text) for x in kept.collect() if x.doc_id != 3) == [(1, "a b c\nx")]
+
+
+def test_one_text_of_100000_lines(spark):
+    """Each line but the first of its kind goes; in a text of many lines none is found by splitting the text again."""
+    text = "\n".join(f"at step {i // 2} the run of number {i // 2 % 977} went on with {'x' if i % 2 else 'y'} and no end" for i in range(100_000))
+    found = line_copies.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (found.n_lines, found.n_removed) == (100_000, 99_023) and found.text.split("\n")[-1] == "at step 976 the run of number 976 went on with y and no end"
