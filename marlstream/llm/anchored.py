@@ -17,11 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstream.llm.common import dropped, written
+from marlstream.llm.common import BROADCAST_IDS, dropped, written
 from marlstream.llm.hashing import BASES, mixed, powers
 
 COUNT_BITS = 12
 MOST_WINDOWS = (1 << COUNT_BITS) - 1
+#: the place of a text that is covered as a whole
+WHOLE = -1
 
 
 class Stretches:
@@ -70,6 +72,18 @@ def tag() -> Column:
     return F.xxhash64("text")
 
 
+def once(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc, tag, text) with one row for all that are equal, and the keys (doc, tag) that had several. Of texts, only
+    those of such keys are shuffled, one from each task at most."""
+    again = written(docs.groupBy("doc", "tag").agg(F.count("*").alias("n")).where("n > 1").select("doc", "tag"))
+    n = again.count()
+    if not n:
+        return docs, again
+    keys = F.broadcast(again) if n <= BROADCAST_IDS else again
+    one = written(docs.join(keys, ["doc", "tag"], "left_semi").groupBy("doc", "tag").agg(F.min("text").alias("text")))
+    return docs.join(keys, ["doc", "tag"], "left_anti").unionByName(one), again
+
+
 def packed(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << COUNT_BITS) | count.astype(np.int64)
 
@@ -109,7 +123,10 @@ def covered(n: int, places, width: int) -> np.ndarray:
     """Which of a document's n symbols its places cover."""
     mask = np.zeros(n + 1, np.int64)
     if places is not None and len(places):
-        start, count = unpacked(np.asarray(places, np.int64))
+        places = np.asarray(places, np.int64)
+        if places.min() == WHOLE:
+            return np.ones(n, bool)
+        start, count = unpacked(places)
         np.add.at(mask, start, 1)
         np.add.at(mask, np.minimum(n, start + count - 1 + width), -1)
     return np.cumsum(mask[:-1]) > 0

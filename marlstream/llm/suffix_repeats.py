@@ -24,7 +24,8 @@ the corpus; the sampled ones are about a fifth of a byte.
 
 Defined cases: a null or empty text has no bytes; texts of fewer than WIDTH bytes lose nothing; rows that repeat an id,
 and rows without one, are documents of their own, so that texts of WIDTH bytes or more in repeated rows are removed
-whole; only the named columns are used, so further columns can't clash.
+whole (equal rows are sorted as one, and their number changes nothing); only the named columns are used, so further
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -271,8 +272,8 @@ def _compare(batches):
         yield out(EDGE, row, [[x] for x in key], [n], [before is not None and bool(before == key[0])])
 
 
-def sorted_and_compared(rows: DataFrame) -> DataFrame:
-    """(kind, *ROW): the tuples that repeat as a whole, and those that may in part."""
+def sorted_and_compared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, *ROW): the tuples that repeat as a whole, and those that may in part; and the stored frame they are read from."""
     unsorted = written(rows)
     said = written(unsorted.orderBy(*NAMES, "doc", "place", "tag").mapInArrow(_compare, SAID))
     dropped(unsorted)
@@ -285,11 +286,12 @@ def sorted_and_compared(rows: DataFrame) -> DataFrame:
     same = lambda side: across(side) & (F.col(f"r_{side}") == F.col("r")) & (F.col(f"s_{side}") == F.col("s"))
     repeats = (F.col("n") > 1) | same("before") | same("after")
     differs = F.col("differs") | (across("before") & ~same("before")) | (across("after") & ~same("after"))
-    return (
+    found = (
         said.where(F.col("kind") != EDGE).select("kind", *ROW)
         .unionByName(edges.where(repeats).select(F.lit(REPEATS).alias("kind"), *ROW))
         .unionByName(edges.where(differs).select(F.lit(UNDECIDED).alias("kind"), *ROW))
     )
+    return found, said
 
 
 def _at_places(docs: DataFrame, said: DataFrame, make) -> DataFrame:
@@ -350,12 +352,14 @@ def single_strings(docs: DataFrame, said: DataFrame, width: int = WIDTH) -> Data
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__doc, __tag, places): the strings of each document that also start elsewhere."""
-    docs = docs.select(anchored.doc_key().alias("doc"), anchored.tag().alias("tag"), "text").where(F.octet_length("text") >= width)
-    whole = sorted_and_compared(tuples(docs, width))
-    part = sorted_and_compared(blocks(docs, whole, width))
-    single = sorted_and_compared(single_strings(docs, part, width))
-    found = whole.unionByName(part).unionByName(single)
-    return anchored.by_document(found.where(F.col("kind") == REPEATS).select("doc", "tag", "place"))
+    docs, again = anchored.once(docs.select(anchored.doc_key().alias("doc"), anchored.tag().alias("tag"), "text").where(F.octet_length("text") >= width))
+    whole, said = sorted_and_compared(tuples(docs, width))
+    part, said_of_blocks = sorted_and_compared(blocks(docs, whole, width))
+    single, said_of_strings = sorted_and_compared(single_strings(docs, part, width))
+    found = whole.unionByName(part).unionByName(single).where(F.col("kind") == REPEATS).select("doc", "tag", "place")
+    found = written(anchored.by_document(found.unionByName(again.withColumn("place", F.lit(anchored.WHOLE).cast("long")))))
+    dropped(said, said_of_blocks, said_of_strings, again)
+    return found
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:

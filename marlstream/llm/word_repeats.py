@@ -95,7 +95,7 @@ def _single_windows(docs: DataFrame, places: DataFrame, width: int) -> DataFrame
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__doc, __tag, places): the windows of each document that also start earlier."""
-    docs = docs.select(anchored.doc_key().alias("doc"), anchored.tag().alias("tag"), "text").where("text IS NOT NULL")
+    docs, _ = anchored.once(docs.select(anchored.doc_key().alias("doc"), anchored.tag().alias("tag"), "text").where("text IS NOT NULL"))
     shared = anchored.repeated(anchor_rows(docs, width))
     first = anchored.first_places(shared)
     here = F.struct("doc", "place", "tag")

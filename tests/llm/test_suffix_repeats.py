@@ -76,3 +76,13 @@ def test_texts_that_one_polynomial_cannot_tell_apart(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_repeats.dedup(docs, width=30).collect() == []
+
+
+def test_a_hundred_thousand_equal_rows(spark):
+    """Equal rows are sorted as one, so their number costs no more than to read and to answer them."""
+    same = "".join(f"w{i}," for i in range(400))
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(same).alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(5, "left " + same), (6, "short"), (6, "short")], "doc_id long, text string"))
+    found = suffix_repeats.dedup(docs, with_text=False).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(same)
+    assert sorted(map(tuple, found), key=repr) == [(5, n + 5, n, 1, 1), (6, 5, 0, 0, 2), (None, n, n, 1, 100_000)]

@@ -60,3 +60,12 @@ def test_several_texts_of_one_id(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (None, b)], "doc_id long, text string").repartition(3)
     found = sorted((x.doc_id or 0, x.n_removed, x.kept) for x in word_repeats.dedup(docs).collect())
     assert found == [(0, 0, b), (1, 0, a), (1, 0, a), (1, 60, ""), (2, 60, "")]
+
+
+def test_a_hundred_thousand_equal_rows(spark):
+    """Equal rows are one document, so their number costs no more than to read and to answer them."""
+    same = " ".join(f"w{i}" for i in range(300))
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(same).alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(5, "x " + same), (5, "x " + same)], "doc_id long, text string"))
+    found = word_repeats.dedup(docs, with_text=False).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found), key=repr) == [(5, 301, 300, 2), (None, 300, 0, 100_000)]
