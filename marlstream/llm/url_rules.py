@@ -120,15 +120,18 @@ def _by_growth(labelled: DataFrame, least: int):
         nonlocal last
         grown = last if before is None else last.join(before.select("set"), "set", "left_semi")
         later = F.filter("classes", lambda x: x > F.coalesce(F.get("set", F.size("set") - 1), F.lit("")))
-        last = written(grown.select("classes", "n", "n_block", "set", F.explode(later).alias("c")).withColumn("set", F.concat("set", F.array("c"))).drop("c"))
+        wider = written(grown.select("classes", "n", "n_block", "set", F.explode(later).alias("c")).withColumn("set", F.concat("set", F.array("c"))).drop("c"))
+        dropped(last)
+        last = wider
         return last.groupBy("set").agg(F.sum("n").alias("n_all"), F.sum("n_block").alias("n_block")).where(F.col("n_block") >= least)
 
     return level
 
 
-def _minimal(level_of, min_confidence: float) -> DataFrame | None:
-    """(set, n_all, confidence) of the rules that no rule inside them equals in confidence."""
-    found, before, k = [], None, 0
+def _minimal(level_of, min_confidence: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(set, n_all, confidence) of the rules that no rule inside them equals in confidence; and the stored levels that they
+    are read from."""
+    levels, before, k = [], None, 0
     confidence = F.col("n_block") / F.col("n_all")
     rule = confidence >= min_confidence
     while before is None or not before.isEmpty():
@@ -143,12 +146,12 @@ def _minimal(level_of, min_confidence: float) -> DataFrame | None:
             )
         stays = rule & (F.col("inside").isNull() | (F.col("inside") < confidence))
         level = written(sets.select("set", "n_all", "n_block", confidence.alias("confidence"), stays.alias("stays"), F.greatest("inside", F.when(rule, confidence)).alias("best")))
-        found.append(level.where("stays").select("set", "n_all", "confidence"))
+        levels.append(level)
         before = level.where("n_block < n_all")
-    rules = found[0]
-    for more in found[1:]:
+    rules = levels[0]
+    for more in levels[1:]:
         rules = rules.unionByName(more)
-    return rules
+    return rules.where("stays").select("set", "n_all", "confidence"), levels
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -164,11 +167,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     longest = mapped.agg(F.max(F.size("classes"))).first()[0]
     if longest is None:
         return classes.select(F.col("class").alias("listed"), F.array("class").alias("set"), F.lit(0.0).alias("confidence")).where("false"), classes
-    rules = _minimal((_by_fp_growth if longest <= FP_CLASSES else _by_growth)(mapped, least), min_confidence)
+    rules, levels = _minimal((_by_fp_growth if longest <= FP_CLASSES else _by_growth)(mapped, least), min_confidence)
     frequency = mapped.select(F.explode("classes").alias("c"), "n").groupBy("c").agg(F.sum("n").alias("often"))
     each = rules.select("set", "confidence", F.explode("set").alias("c")).join(F.broadcast(frequency), "c")
     rules = written(each.groupBy("set", "confidence").agg(F.min_by("c", F.struct("often", "c")).alias("listed")))
-    dropped(sets, mapped)
+    dropped(sets, mapped, *levels)
     return rules, classes
 
 
