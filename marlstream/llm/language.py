@@ -9,10 +9,14 @@ shortest wins, and the score is its posterior under equal priors.
 A byte's cost in all languages follows from the longest known context, so it is worked out once for every counted
 gram; scoring is then a few NumPy look-ups a byte, over all texts of a batch at once.
 
-Training uses a bounded sample: about MAX_TRAINING_DOCS whole texts of each language, picked by a hash of the id. Grams
-seen once are left out at orders of 3 and more, which with the sample bounds the statistics of a language. They are
-broadcast for LANGUAGES_AT_ONCE languages at a time, each with a pass over the texts that goes on from the last one's
-result; so all labelled languages can be told, however many.
+Training uses a bounded sample: about MAX_TRAINING_DOCS whole texts of each language, picked by a hash of the id, and of
+these, in the order of a hash, as many as have MAX_TRAINING_BYTES together (one text at least; longer ones last). Grams
+seen once are left out at orders of 3 and more, which with the sample bounds the statistics of a language.
+
+A model's tables are dense in the languages that it holds, so it holds as many as keep grams * languages within
+MODEL_CELLS (and LANGUAGES_AT_ONCE at most): all models together grow with the number of languages and not with its
+square. Models of PASS_CELLS together score the texts in one pass, in one Python worker; the next pass goes on from the
+last one's stored result. So all labelled languages can be told, however many, in bounded memory.
 
 The pipeline's stage rejects texts that are `und`, that no language codes better than uniform bytes, and those whose
 language is in doubt (a score below LEAST_SCORE), and gives texts without a label the language found.
@@ -27,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstream.llm.arrow_text import batches_of, utf8
@@ -35,7 +39,11 @@ from marlstream.llm.common import dropped, table, written
 
 ORDER = 4
 MAX_TRAINING_DOCS = 400
+MAX_TRAINING_BYTES = 4 << 20
 LANGUAGES_AT_ONCE = 64
+#: costs in the tables of a model, and of the models of a pass: 16 MB and 256 MB of them
+MODEL_CELLS = 4 << 20
+PASS_CELLS = 64 << 20
 BATCH_BYTES = 1 << 20
 #: posterior below which a text's language is in doubt
 LEAST_SCORE = 0.5
@@ -47,12 +55,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, most: int = MAX_TRAINING_DOCS) -> DataFrame:
-    """About `most` labelled rows (text, lang) of each language, none of them held out."""
+def training_rows(docs: DataFrame, most: int = MAX_TRAINING_DOCS, most_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
+    """About `most` labelled rows (text, lang) of each language with `most_bytes` or fewer together, none of them held
+    out. The first text stays whatever its length; rows equal in id and text stay or go together."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und")).select("doc_id", "text", "lang")
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1_000_000.0) * most / F.col("n")).alias("share"))
     # a row for each language
-    return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
+    some = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
+    size = F.octet_length("text").cast("long")
+    place = F.struct((size > most_bytes).alias("long"), F.xxhash64("doc_id", "text").alias("h"))
+    # some `most` rows of each language, without their texts
+    by_place = Window.partitionBy("lang").orderBy("place")
+    placed = some.select("lang", place.alias("place"), size.alias("size")).select("lang", "place", F.sum("size").over(by_place).alias("bytes"), F.rank().over(by_place).alias("rank"))
+    last = placed.where((F.col("bytes") <= most_bytes) | (F.col("rank") == 1)).groupBy("lang").agg(F.max("place").alias("last"))
+    return some.join(F.broadcast(last), "lang").where(place <= F.col("last")).select("text", "lang")
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, order: int):
@@ -92,10 +108,10 @@ def _count(order: int):
     return count
 
 
-def count_grams(rows: DataFrame, order: int = ORDER) -> pd.DataFrame:
+def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, k, gram, n), k being the length of the context; bounded as the module says."""
     counted = rows.mapInArrow(_count(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    return counted.where((F.col("k") < 3) | (F.col("n") > 1)).toPandas()
+    return counted.where((F.col("k") < 3) | (F.col("n") > 1))
 
 
 class _Table:
@@ -141,6 +157,7 @@ class Model:
         number = {lang: i for i, lang in enumerate(self.langs)}
         shorter_keys, shorter_cost = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))
         self.found, self.cost, self.contexts, self.escape = [], [], [], []
+        self.cells = len(counts) * len(self.langs)
         for k in range(order + 1):
             rows = counts[counts["k"] == k]
             gram = rows["gram"].to_numpy().astype(np.uint64)
@@ -198,8 +215,9 @@ class Model:
             return bits
         buffer, own, start = _windows(data, offsets, self.order)
         first = start - self.order
-        for at in range(0, len(buffer), BATCH_BYTES):
-            to = min(len(buffer), at + BATCH_BYTES)
+        step = BATCH_BYTES * 8 // max(8, len(self.langs))
+        for at in range(0, len(buffer), step):
+            to = min(len(buffer), at + step)
             back = min(at, self.order)
             cost = self._costs(_grams(buffer[at - back : to], self.order)[back:])
             cost[~own[at:to]] = 0
@@ -210,42 +228,63 @@ class Model:
         return bits
 
 
+def _runs(items: list, fits) -> list[list]:
+    """The items in order, a new run begun where fits(run) would fail; one item at least in each."""
+    found: list[list] = []
+    for item in items:
+        if found and fits([*found[-1], item]):
+            found[-1].append(item)
+        else:
+            found.append([item])
+    return found
+
+
 def train(docs: DataFrame, order: int = ORDER, most: int = MAX_TRAINING_DOCS) -> list[Model]:
-    """Models of LANGUAGES_AT_ONCE languages each."""
+    """Models of all languages in their order, each of LANGUAGES_AT_ONCE languages and MODEL_CELLS costs at most."""
     rows = written(training_rows(docs, most))
-    langs = sorted(x.lang for x in rows.select("lang").distinct().collect())
-    groups = [langs[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(langs), LANGUAGES_AT_ONCE)]
-    models = [Model(count_grams(rows.where(F.col("lang").isin(group)), order), order) for group in groups]
-    dropped(rows)
-    return [m for m in models if m.langs]
+    counted = written(count_grams(rows, order))
+    # a row for each language
+    sizes = {x.lang: x["count"] for x in counted.groupBy("lang").count().collect()}
+    groups = _runs(sorted(sizes), lambda g: len(g) <= LANGUAGES_AT_ONCE and len(g) * sum(sizes[x] for x in g) <= MODEL_CELLS)
+    models = [Model(counted.where(F.col("lang").isin(group)).toPandas(), order) for group in groups]
+    dropped(rows, counted)
+    return models
 
 
 #: a text's result after some models: the least code length, its language, and the sum of 2 ** (least - length) of all
 STATE = {"__least": "double", "__lang": "string", "__sum": "double"}
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (__text, STATE, ...) with STATE carried on by a model's languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _carried(known: Model, texts: pa.Array, least_before: np.ndarray, lang_before: np.ndarray, sum_before: np.ndarray):
+    """STATE of texts carried on by a model's languages."""
+    bits = known.code_lengths(*utf8(texts))
+    best, least = bits.argmin(axis=1), bits.min(axis=1)
+    total = np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
+    lang = np.array(known.langs, object)[best]
+    old = ~np.isnan(least_before)
+    # of equal lengths the first language by name, which an earlier model has
+    stays = old & (least_before <= least)
+    both = np.where(old, np.minimum(np.where(old, least_before, 0), least), least)
+    with np.errstate(invalid="ignore"):
+        total = total * np.exp2(both - least) + np.where(old, sum_before * np.exp2(both - least_before), 0)
+    lang[stays] = lang_before[stays]
+    return both, lang, total
+
+
+def _scored(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """docs (__text, STATE, ...) with STATE carried on by the languages of some models."""
+    shared = [docs.sparkSession.sparkContext.broadcast(model) for model in models]
     names = docs.columns
 
     def run(batches):
-        known = shared.value
         for whole in batches:
             for batch in batches_of(whole, "__text", BATCH_BYTES):
-                bits = known.code_lengths(*utf8(batch.column("__text")))
-                best, least = bits.argmin(axis=1), bits.min(axis=1)
-                total = np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
-                lang = np.array(known.langs, object)[best]
-                before, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__least", "__sum"))
-                old = ~np.isnan(before)
-                # of equal lengths the first language by name, which an earlier model has
-                stays = old & (before <= least)
-                both = np.where(old, np.minimum(np.where(old, before, 0), least), least)
-                with np.errstate(invalid="ignore"):
-                    total = total * np.exp2(both - least) + np.where(old, other * np.exp2(both - before), 0)
-                lang[stays] = np.array(batch.column("__lang").to_pylist(), object)[stays]
-                new = {"__least": pa.array(both), "__lang": pa.array(lang.tolist(), pa.string()), "__sum": pa.array(total)}
+                texts = batch.column("__text")
+                least, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__least", "__sum"))
+                lang = np.array(batch.column("__lang").to_pylist(), object)
+                for known in shared:
+                    least, lang, total = _carried(known.value, texts, least, lang, total)
+                new = {"__least": pa.array(least), "__lang": pa.array(lang.tolist(), pa.string()), "__sum": pa.array(total)}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)
@@ -255,8 +294,9 @@ def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """docs with lang_pred, score and bits (a byte, under the best language); the other columns stay."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits", "text")]
     state = docs.select(*rest, F.coalesce("text", F.lit("")).alias("__text"), F.col("text").isNull().alias("__null"), *[F.lit(float("nan") if kind == "double" else None).cast(kind).alias(c) for c, kind in STATE.items()])
-    for model in models:
-        state = _scored(state, model)
+    for number, some in enumerate(_runs(models, lambda run: sum(m.cells for m in run) <= PASS_CELLS)):
+        # two passes in one stage would have two workers a task, each with its tables
+        state = _scored(written(state) if number else state, some)
     told = F.col("__text").rlike(r"\p{L}") & F.col("__lang").isNotNull()
     bits = F.col("__least") / F.greatest(F.lit(1), F.octet_length("__text"))
     text = F.when(~F.col("__null"), F.col("__text")).alias("text")

@@ -86,6 +86,39 @@ def test_more_languages_than_at_once(spark, monkeypatch):
     assert len(language.train(docs)) == 3 and told() == want
 
 
+def test_many_languages_in_bounded_models(spark, monkeypatch):
+    """Models and passes cut by their cells give the result of one pass; their cells grow with the languages."""
+    rows = corpus()
+    docs = spark.createDataFrame([*rows, (600, "x y", None), (601, None, None)], "doc_id long, text string, lang string")
+    told = lambda: sorted((x.doc_id, x.lang_pred, round(x.score, 9), round(x.bits, 6)) for x in language.predict(docs.select("doc_id", "text"), language.train(docs)).collect())
+    want = told()
+    monkeypatch.setattr(language, "MODEL_CELLS", 1)
+    monkeypatch.setattr(language, "PASS_CELLS", 1)
+    assert [m.langs for m in language.train(docs)] == [["aa"], ["bb"], ["cc"]] and told() == want
+    monkeypatch.setattr(language, "PASS_CELLS", 1 << 20)
+    assert told() == want
+    # 64 languages with words of their own
+    r = random.Random(4)
+    own = {f"l{i:02}": ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40)] for i in range(64)}
+    many = [(i, " ".join(r.choice(own[f"l{i % 64:02}"]) for _ in range(30)), f"l{i % 64:02}") for i in range(640)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MODEL_CELLS", 40_000)
+    models = language.train(docs)
+    assert sum((m.langs for m in models), []) == sorted(own) and max(m.cells for m in models) <= 40_000 and len(models) > 4
+    assert all(x.lang_pred == x.lang for x in language.predict(docs, models).collect())
+
+
+def test_training_bytes_are_bounded(spark):
+    """The byte bound holds for each language; a first text longer than it stays, equal rows aren't told apart."""
+    rows = [(i, "x" * 100, "aa") for i in range(50)] + [(60, "y" * 5000, "aa"), (61, "z" * 5000, "bb"), (62, "w" * 6000, "bb")] + [(70, "v" * 90, "cc")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~language.held_out(F.col("doc_id")))
+    had, found = docs.groupBy("lang").count().collect(), defaultdict(list)
+    for text, lang in language.training_rows(docs, most_bytes=1000).collect():
+        found[lang].append(text)
+    assert {x.lang for x in had} == set(found)
+    assert found["aa"] == ["x" * 100] * 10 and ("bb" not in found or len(found["bb"]) == 1) and found.get("cc") in (None, ["v" * 90] * 3)
+
+
 def test_training_texts_without_repeats(spark):
     """No gram of the highest orders is seen twice."""
     docs = spark.createDataFrame([(1, "abcdefg", "aa"), (2, "hijk", "bb"), (4, "ab", "aa"), (5, "xyz", None)], "doc_id long, text string, lang string")
