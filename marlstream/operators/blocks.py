@@ -7,11 +7,12 @@ what a node's children add up to is a sum of hashes, which Spark combines before
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstream.functions import json_trees
 from marlstream.operators.windows import numbered
 from marlstream.session import dropped, stored
 
@@ -26,30 +27,10 @@ UIDS = ("fieldUid", "uid")
 def nodes(rows: DataFrame, keys: list[str], column: str, arrays: bool = True) -> DataFrame:
     """(keys, path, parent, name, at, depth, kind, json) of all nodes of a JSON column. kind is object, array, value or
     null; name is the key in an object, at the place in an array. With arrays=False arrays are leaves. Text that isn't JSON
-    has no nodes. A level of all documents is opened at a time and stored."""
-    start = rows.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("name"), F.lit(0).alias("at"), F.to_json(F.try_parse_json(column)).alias("json"))
-    level = start.where("json IS NOT NULL")
-    done, depth = [], 0
-    while True:
-        shape = F.schema_of_variant("v")
-        kind = F.when(F.startswith(shape, F.lit("OBJECT")), "object").when(F.startswith(shape, F.lit("ARRAY")), "array").when(shape == "VOID", "null").otherwise("value")
-        columns = [*keys, "path", "parent", "name", "at"]
-        now = stored(level.withColumn("v", F.parse_json("json")).select(*columns, F.lit(depth).alias("depth"), kind.alias("kind"), "json"))
-        if now.isEmpty():
-            if not done:
-                return now
-            dropped(now)
-            return reduce(DataFrame.unionByName, done)
-        done.append(now)
-        own = [*keys, F.col("path").alias("parent")]
-        v = F.parse_json("json")
-        inner = now.where("kind = 'object'").select(*own, F.explode(F.variant_get(v, "$", "map<string,variant>")).alias("name", "v")).withColumn("at", F.lit(0))
-        level = inner.withColumn("path", F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name")))
-        if arrays:
-            items = now.where("kind = 'array'").select(*own, F.posexplode(F.variant_get(v, "$", "array<variant>")).alias("at", "v")).withColumn("name", F.lit(""))
-            level = level.unionByName(items.withColumn("path", F.concat("parent", F.lit("["), "at", F.lit("]"))))
-        level = level.select(*columns, F.to_json("v").alias("json"))
-        depth += 1
+    has no nodes. A document is opened in one go, in the task that
+    holds it. Stored."""
+    opened = partial(json_trees.nodes, arrays=arrays)
+    return stored(json_trees.rows(rows, keys, column, opened, "path string, parent string, name string, at int, depth int, kind string, json string"))
 
 
 def _key(column: str) -> Column:
@@ -89,16 +70,12 @@ def signatures(tree: DataFrame, keys: list[str], ignored: tuple[str, ...] = PLAC
     return reduce(DataFrame.unionByName, done)
 
 
-def _of_blocks(tree: DataFrame, keys: list[str], uids: tuple[str, ...], lists: tuple[str, ...]) -> DataFrame:
-    """(keys, block, parent, list, at, depth, uid, sig1, sig2) of the objects in the lists of blocks, and of the roots."""
-    names = tree.where(F.col("name").isin(*uids) & (F.col("kind") == "value")).select(*keys, F.col("parent").alias("block"), "name", F.variant_get(F.parse_json("json"), "$", "string").alias("value"))
-    rank = F.array_position(F.array(*[F.lit(u) for u in uids]), F.col("name"))
-    uid = names.where("value <> ''").groupBy(*keys, "block").agg(F.min_by("value", rank).alias("uid"))
-    held = tree.where((F.col("kind") == "array") & F.col("name").isin(*lists)).select(*keys, F.col("path").alias("__list"), F.col("parent").alias("__block"), F.col("name").alias("list"))
-    objects = tree.where("kind = 'object'")
-    inner = objects.join(held, [*[objects[k] == held[k] for k in keys], objects["parent"] == held["__list"]]).select(*[objects[k] for k in keys], F.col("path").alias("block"), F.col("__block").alias("parent"), "list", "at", "depth", "sig1", "sig2")
-    roots = objects.where("depth = 0").select(*keys, F.col("path").alias("block"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("list"), F.lit(0).alias("at"), "depth", "sig1", "sig2")
-    return inner.unionByName(roots).join(uid, [*keys, "block"], "left").withColumn("uid", F.coalesce("uid", F.lit("unknown")))
+def document_signatures(docs: DataFrame, keys: list[str], column: str, ignored: tuple[str, ...] = PLACES, orders: dict[str, bool] | None = None) -> DataFrame:
+    """(keys, a column for each of orders): what whole documents hold, as `signatures` compares it, with arrays in order or in
+    any; each document is read once. The hashes have 128 bits."""
+    orders = orders or {"sig": True}
+    made = partial(json_trees.marks, ignored=ignored, orders=tuple(orders.values()))
+    return json_trees.rows(docs, keys, column, made, ", ".join(f"{name} binary" for name in orders))
 
 
 def merged_by_signature(docs: DataFrame, model: str, order: str, column: str, uids: tuple[str, ...] = UIDS, lists: tuple[str, ...] = LISTS, ordered: bool = True) -> DataFrame:
@@ -113,33 +90,31 @@ def merged_by_signature(docs: DataFrame, model: str, order: str, column: str, ui
     """
     keys = ["__model", "__order"]
     rows = docs.select(_key(model).alias("__model"), F.col(order).alias("__order"), F.col(column).alias("__text"))
-    tree = stored(nodes(rows, keys, "__text"))
-    signed = stored(signatures(tree, keys, ordered=ordered))
-    every = stored(_of_blocks(signed, keys, uids, lists))
+    made = partial(json_trees.blocks, uids=uids, lists=lists, ignored=PLACES, ordered=ordered)
+    found = json_trees.rows(rows, keys, "__text", made, "block string, parent string, list string, at int, depth int, uid string, sig binary, own string")
+    every = stored(found.withColumn("uid", F.coalesce(json_trees.plain(F.col("uid")), F.lit("unknown"))))
     last = every.agg(F.max("depth")).first()[0]
     # a block's place among all that it meets: the document's order and the places from the root
-    level = every.where("depth = 0").select(*keys, "block", "uid", F.lit("").alias("group"), F.array().cast("array<int>").alias("places"), "sig1", "sig2", F.lit(True).alias("kept"))
+    level = every.where("depth = 0").select(*keys, "block", "uid", F.lit("").alias("group"), F.array().cast("array<int>").alias("places"), "sig", F.lit(True).alias("kept"))
     done = []
     for depth in range(0, (last or 0) + 2, 2):
         here = F.struct("__order", "places", "block")
         # of the blocks that meet, those with one signature go on once
-        firsts = level.groupBy("__model", "group", "sig1", "sig2").agg(F.min(here).alias("least"))
-        now = stored(level.join(firsts, ["__model", "group", "sig1", "sig2"]).select(*keys, "block", "group", "places", (here == F.col("least")).alias("kept")))
+        firsts = level.groupBy("__model", "group", "sig").agg(F.min(here).alias("least"))
+        now = stored(level.join(firsts, ["__model", "group", "sig"]).select(*keys, "block", "group", "places", (here == F.col("least")).alias("kept")))
         done.append(now)
         if depth >= (last or 0):
             break
         up = now.where("kept").select(*keys, F.col("block").alias("parent"), F.col("group").alias("__above"), F.col("places").alias("__places"))
         below = every.where(F.col("depth") == depth + 2).join(up, [*keys, "parent"])
-        level = below.select(*keys, "block", "uid", F.concat_ws("/", F.nullif("__above", F.lit("")), F.concat("list", F.lit(":"), "uid")).alias("group"), F.array_append("__places", F.col("at")).alias("places"), "sig1", "sig2")
+        level = below.select(*keys, "block", "uid", F.concat_ws("/", F.nullif("__above", F.lit("")), F.concat("list", F.lit(":"), "uid")).alias("group"), F.array_append("__places", F.col("at")).alias("places"), "sig")
     met = reduce(DataFrame.unionByName, done)
     first = F.min(F.struct("__order", "places", "block"))
     groups = met.groupBy("__model", "group").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), first.alias("first"))
-    objects = tree.where("kind = 'object'").select(*keys, F.col("path").alias("block"), "json")
-    own = F.map_filter(F.variant_get(F.parse_json("json"), "$", "map<string,variant>"), lambda k, _: ~k.isin(*lists))
-    base = groups.select("__model", "group", "n", "kept", F.col("first.__order").alias("__order"), F.col("first.block").alias("block")).join(objects, [*keys, "block"])
-    found = base.select(_value("__model", docs, model).alias(model), F.col("group").alias("path"), "n", "kept", F.col("__order").alias("first"), F.to_json(own).alias("attributes"))
+    base = groups.select("__model", "group", "n", "kept", F.col("first.__order").alias("__order"), F.col("first.block").alias("block")).join(every.select(*keys, "block", "own"), [*keys, "block"])
+    found = base.select(_value("__model", docs, model).alias(model), F.col("group").alias("path"), "n", "kept", F.col("__order").alias("first"), F.col("own").alias("attributes"))
     result = stored(found)
-    dropped(tree, signed, every, *done)
+    dropped(every, *done)
     return result
 
 
