@@ -8,29 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstream.session import stored
+from marlstream.functions import json_trees
 
 INDEX = r"\[(\d+)\]"
 
 
 def leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, path, value) of each leaf of a JSON column: a.b[0].c, and its value as text; empty objects and arrays and nulls
-    have none. A level of all documents is opened at a time, as long as there is one, and stored."""
-    now = rows.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
-    done = None
-    while True:
-        now = stored(now.select(key, "path", F.to_json("v").alias("json"))).select(key, "path", F.parse_json("json").alias("v"))
-        now = now.select("*", F.schema_of_variant("v").alias("shape"))
-        inner = F.startswith("shape", F.lit("OBJECT")) | F.startswith("shape", F.lit("ARRAY"))
-        own = now.where(~inner & (F.col("shape") != "VOID")).select(key, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        done = own if done is None else done.unionByName(own)
-        objects = now.where(F.startswith("shape", F.lit("OBJECT"))).select(key, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("name", "v"))
-        objects = objects.select(key, F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name")).alias("path"), "v")
-        arrays = now.where(F.startswith("shape", F.lit("ARRAY"))).select(key, "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "v"))
-        arrays = arrays.select(key, F.concat("path", F.lit("["), "at", F.lit("]")).alias("path"), "v")
-        now = objects.unionByName(arrays)
-        if objects.isEmpty() and arrays.isEmpty():
-            return done
+    have none. A document is opened in one go, in the task that holds it."""
+    found = json_trees.rows(rows, [key], column, json_trees.leaves, "path string, value string")
+    return found.withColumn("value", json_trees.plain(F.col("value")))
 
 
 def general(path: Column) -> Column:
