@@ -223,11 +223,12 @@ def short_name(column: Column) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    """Bytes, KB or MB with one decimal."""
+    """Bytes, KB or MB with one decimal; what lies in the middle goes to the even one, as with 249.25 KB."""
+    one = lambda x: F.format_string("%.1f", F.bround(x, 1))
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit("bytes")))
-        .when(n < 1048576, F.concat(F.format_string("%.1f", n / 1024), F.lit("KB")))
-        .otherwise(F.concat(F.format_string("%.1f", n / 1048576), F.lit("MB")))
+        .when(n < 1048576, F.concat(one(n / 1024), F.lit("KB")))
+        .otherwise(F.concat(one(n / 1048576), F.lit("MB")))
     )
 
 

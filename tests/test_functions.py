@@ -202,3 +202,9 @@ def test_small_structures(spark):
     df = spark.createDataFrame([([("p", 1, None), (None, 2, True)], ["0", "7", None], "x/container")], "o array<struct<public_id:string,w:int,admin:boolean>>, u array<string>, path string")
     row = df.select(V.projected_objects(F.col("o"), "public_id", ["w"]).alias("a"), V.any_true(F.col("o"), "admin").alias("b"), V.references(F.col("u"), "page").alias("c"), classify.path_kind(F.col("path")).alias("d"), M.advanced(F.array(F.lit(None), F.lit("^x$")), F.lit(None).cast("boolean"), F.lit(True), F.lit("d"), F.lit("v")).alias("e")).first()
     assert [x.w for x in row.a] == [1] and row.b and [x.uid for x in row.c] == ["7"] and row.d == "container" and (row.e.validation_regex, row.e.mandatory, row.e.non_localizable) == ("^x$", False, False)
+
+
+def test_file_sizes_in_the_middle_go_to_the_even_decimal(spark):
+    sizes = {997 * 256: "249.2KB", 997 * 768: "747.8KB", 1024: "1.0KB", 1023: "1023bytes", 997 * 262144: "249.2MB", 1048576 * 3 // 4 * 5: "3.8MB", 1048575: "1024.0KB"}
+    found = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", X.file_size(F.col("n")).alias("size"))
+    assert {x.n: x["size"] for x in found.collect()} == sizes
