@@ -149,10 +149,11 @@ def blocks(value, uids: tuple[str, ...], lists: tuple[str, ...], ignored: tuple[
 
 
 def rows(frame: DataFrame, keys: list[str], column: str, make: Callable, columns: str) -> DataFrame:
-    """(keys, columns): the rows that make(document) gives of each JSON document. Text that isn't JSON gives none."""
+    """(keys, columns): the rows that make(document) gives of each JSON document. Text that isn't JSON gives none. Documents are
+    dealt out by their keys first: those of a small table come from one file and would all be opened by one task."""
     names = [c.split()[0] for c in columns.split(", ")]
     types = [TYPES[c.split()[1]] for c in columns.split(", ")]
-    read = frame.select(*keys, F.to_json(F.try_parse_json(column)).alias("__json")).where("__json IS NOT NULL")
+    read = frame.repartition(*keys).select(*keys, F.to_json(F.try_parse_json(column)).alias("__json")).where("__json IS NOT NULL")
 
     def run(batches):
         sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))

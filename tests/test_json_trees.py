@@ -71,3 +71,8 @@ def test_texts_are_those_of_spark(spark, document):
 def test_large_documents_come_in_several_batches(spark):
     docs = spark.createDataFrame([(1, json.dumps(list(range(json_trees.MOST + 5)))), (2, "[1]")], "k int, t string").coalesce(1)
     assert {x.k: x["count"] for x in nested.leaves(docs, "k", "t").groupBy("k").count().collect()} == {1: json_trees.MOST + 5, 2: 1}
+
+
+def test_documents_of_one_file_are_dealt_out_before_they_are_opened(spark):
+    docs = spark.createDataFrame([(1, "[1]")], "k int, t string").coalesce(1)
+    assert "REPARTITION_BY_COL" in nested.leaves(docs, "k", "t")._jdf.queryExecution().toString()
