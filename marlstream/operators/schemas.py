@@ -165,8 +165,8 @@ def coerced_content(cells: DataFrame, fields: DataFrame, assets: DataFrame, entr
     """
     holds = F.col("kind").isin("group", "global_field")
     kinds = fields.select("field", "kind")
-    # an id for each cell, and the owners above it
-    top = cells.join(kinds, "field").select(F.to_json(F.struct(F.col("entry").cast("string").alias("e"), F.col("field").alias("f"))).alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("uid"), "entry", "locale", "field", "kind", "content", F.array("field").alias("above"))
+    # cells are dealt out first, as those of a small file would all be parsed by one task; an id for each, and the owners above it
+    top = cells.repartition("entry", "field").join(kinds, "field").select(F.to_json(F.struct(F.col("entry").cast("string").alias("e"), F.col("field").alias("f"))).alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("uid"), "entry", "locale", "field", "kind", "content", F.array("field").alias("above"))
     now, levels = stored(top), []
     while not now.isEmpty():
         levels.append(now)
