@@ -129,12 +129,12 @@ def deep_merged(docs: DataFrame, group: str, order: str, column: str, concatenat
     range sort of all elements, so an array of any length is ranked by many tasks. `order` is unique in a group.
     """
     keys = ["__group", "__order"]
-    rows = docs.select(_key(group).alias("__group"), F.col(order).alias("__order"), F.to_json(F.try_parse_json(column)).alias("json")).where("json IS NOT NULL")
+    rows = docs.select(_key(group).alias("__group"), F.col(order).alias("__order"), F.col(column).alias("__text")).repartition(*keys)
+    rows = rows.select(*keys, F.to_json(F.try_parse_json("__text")).alias("json")).where("json IS NOT NULL")
     level = rows.select(*keys, F.lit("").alias("path"), "json")
     values, elements, kept = [], [], []
     while True:
-        shape = F.schema_of_variant(F.parse_json("json"))
-        kind = F.when(F.startswith(shape, F.lit("OBJECT")), "object").when(F.startswith(shape, F.lit("ARRAY")), "array").when(shape == "VOID", "null").otherwise("value")
+        kind = F.when(F.startswith("json", F.lit("{")), "object").when(F.startswith("json", F.lit("[")), "array").when(F.col("json") == "null", "null").otherwise("value")
         now = stored(level.withColumn("kind", kind).where("kind <> 'null'"))
         kept.append(now)
         if now.isEmpty():
