@@ -77,18 +77,18 @@ def merged_blocks(blocks: DataFrame, model: str, uid: str, pos: str, signature:
 
 
 def ancestors(nodes: DataFrame, uid: str, parent: str) -> DataFrame:
-    """(uid, ancestor, distance) of a parent table, by doubling: each round joins paths of up to d steps with paths of d
-    steps, so a tree of depth d takes log2(d) rounds. A cycle ends when no new pair is found."""
+    """(uid, ancestor, distance) of a parent table, by doubling: a round joins the shortest paths of exactly d steps with those
+    of up to d, which gives those of up to 2 d, so a tree of depth d takes log2(d) rounds. Of a tree each pair is made once: were paths
+    of up to d joined with each other, a pair would be made for each of its steps, and all that is below a root would meet in
+    one task. A cycle ends when no shortest path is as long as d."""
     known = stored(nodes.where(F.col(parent).isNotNull()).select(F.col(uid).alias("uid"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("distance")).distinct())
-    size = known.count()
-    while size:
+    steps = 1
+    while not (longest := known.where(F.col("distance") == steps)).isEmpty():
         further = known.select(F.col("uid").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
-        longer = known.join(further, "ancestor").select("uid", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        longer = longest.join(further, "ancestor").select("uid", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
         last, known = known, stored(known.unionByName(longer).groupBy("uid", "ancestor").agg(F.min("distance").alias("distance")))
         dropped(last)
-        before, size = size, known.count()
-        if size == before:
-            break
+        steps *= 2
     return known
 
 

@@ -174,6 +174,19 @@ def test_ancestors_with_a_cycle(spark):
     assert content.ancestors(nodes.where("id = 4"), "id", "parent").collect() == []
 
 
+def test_ancestors_join_only_the_longest_paths(spark, monkeypatch):
+    """A round joined all paths with all, so all that was below a root met in one task. Of a diamond the shortest path counts."""
+    from marlstream.operators import content
+
+    joined, join = [], type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda a, *rest: joined.append(a.count()) or join(a, *rest))
+    chain = [(i, i - 1) for i in range(1, 41)] + [(102, 101), (101, 100), (102, 100)]
+    found = {(r.uid, r.ancestor): r.distance for r in content.ancestors(spark.createDataFrame(chain, "id int, parent int"), "id", "parent").collect()}
+    assert found == {(i, j): i - j for i in range(1, 41) for j in range(i)} | {(102, 101): 1, (101, 100): 1, (102, 100): 1}
+    # paths of 1, 2, 4, ... steps exactly
+    assert joined == [43, 39, 37, 33, 25, 9]
+
+
 def test_components_and_schemas(spark):
     model = {":type": "page", ":itemsOrder": ["b", "a", "gone"], ":items": {"a": {":type": "text", "t": 1}, "b": {":type": "grid", ":items": {"c": {":type": "text"}}}}, "title": "T"}
     df = spark.createDataFrame([(1, json.dumps(model)), (2, None)], "id int, m string")
