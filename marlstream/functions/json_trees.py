@@ -14,7 +14,7 @@ from hashlib import blake2b
 from json.encoder import encode_basestring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +23,7 @@ TYPES = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
 MOST = 20_000
 #: Spark reads JSON of up to 1,000 levels
 DEEPEST = 10_000
+INDEX = re.compile(r"\[([0-9]+)\]")
 
 
 class Number(str):
@@ -73,6 +74,64 @@ def leaves(value) -> list[tuple]:
     return out
 
 
+def plain_leaves(value) -> list[tuple]:
+    """(path, value) of the leaves that aren't null, as text: of a string what it holds."""
+    out = []
+    add = out.append
+
+    def visit(value, path):
+        kind = type(value)
+        if kind is str or kind is Number:
+            add((path, value))
+        elif kind is dict:
+            for k, v in value.items():
+                visit(v, f"{path}.{k}" if path else k)
+        elif kind is list:
+            for i, v in enumerate(value):
+                visit(v, f"{path}[{i}]")
+        elif value is not None:
+            add((path, text(value)))
+
+    visit(value, "")
+    return out
+
+
+def project(value, mapping: dict[str, list], found: dict[str | None, tuple]) -> None:
+    """Puts (places, value) of the leaves under the paths of mapping (general source: the parts of its targets between their
+    places) into found; of several under one path the least stays."""
+
+    def visit(value, path, places):
+        kind = type(value)
+        if kind is dict:
+            for k, v in value.items():
+                if "[" in k:
+                    own = INDEX.findall(k)
+                    if own:
+                        k, below = INDEX.sub("[]", k), (*places, *map(int, own))
+                        visit(v, f"{path}.{k}" if path else k, below)
+                        continue
+                visit(v, f"{path}.{k}" if path else k, places)
+        elif kind is list:
+            path += "[]"
+            for i, v in enumerate(value):
+                visit(v, path, (*places, i))
+        elif value is not None and path in mapping:
+            held = (places, value if kind is str or kind is Number else text(value))
+            for parts in mapping[path]:
+                if parts is None:
+                    to = None
+                elif len(parts) == 1:
+                    to = parts[0]
+                else:
+                    to = parts[0]
+                    for i, part in enumerate(parts[1:]):
+                        to += f"[{places[i] if i < len(places) else 0}]{part}"
+                if to not in found or held < found[to]:
+                    found[to] = held
+
+    visit(value, "", ())
+
+
 def nodes(value, arrays: bool) -> list[tuple]:
     """(path, parent, name, at, depth, kind, json) of all nodes; with arrays=False arrays are leaves."""
     out = []
@@ -181,6 +240,47 @@ def rows(frame: DataFrame, keys: list[str], column: str, make: Callable, columns
     return read.mapInArrow(run, schema)
 
 
+def projected(frame: DataFrame, key: str, column: str, pairs: dict[str, list]) -> DataFrame:
+    """(key, path, value) of the leaves of JSON documents under the paths that pairs gives them, as `project` does, one for each
+    key and path. All documents of a key are in one task, which waits for as many as there are."""
+    same = Window.partitionBy(key)
+    read = frame.select(key, F.to_json(F.try_parse_json(column)).alias("__json")).where("__json IS NOT NULL").select(key, "__json", F.count("*").over(same).alias("__n"))
+    shared = frame.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+        decode = json.JSONDecoder(parse_int=Number, parse_float=_fraction).decode
+        mapping, open_keys = shared.value, {}
+
+        def batch_of(batch, at, paths, values):
+            own = batch.column(key).take(pa.array(at, pa.int64()))
+            return pa.RecordBatch.from_arrays([own, pa.array(paths, pa.string()), pa.array(values, pa.string())], [key, "path", "value"])
+
+        for batch in batches:
+            at, paths, values = [], [], []
+            for i, (document, n) in enumerate(zip(batch.column("__json").to_pylist(), batch.column("__n").to_pylist(), strict=True)):
+                found = {}
+                if n > 1:
+                    own = batch.column(key)[i].as_py()
+                    left, found = open_keys.pop(own, (n, found))
+                    if left > 1:
+                        open_keys[own] = (left - 1, found)
+                project(decode(document), mapping, found)
+                if n > 1 and left > 1:
+                    continue
+                paths += found
+                values += [v for _, v in found.values()]
+                at += [i] * len(found)
+                if len(at) >= MOST:
+                    yield batch_of(batch, at, paths, values)
+                    at, paths, values = [], [], []
+            if at:
+                yield batch_of(batch, at, paths, values)
+
+    schema = StructType([frame.schema[key], *StructType.fromDDL("path string, value string")])
+    return read.mapInArrow(run, schema)
+
+
 def plain(value: Column) -> Column:
     """The text of a JSON value: of a string what it holds. Only strings with escapes, and numbers, are parsed."""
     bare = F.startswith(value, F.lit('"')) & ~F.contains(value, F.lit("\\"))

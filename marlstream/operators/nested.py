@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from marlstream.functions import json_trees
 
 INDEX = r"\[(\d+)\]"
+#: pairs of paths of a mapping that every task may hold
+PAIRS = 10_000
 
 
 def leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, path, value) of each leaf of a JSON column: a.b[0].c, and its value as text; empty objects and arrays and nulls
     have none. A document is opened in one go, in the task that holds it."""
-    found = json_trees.rows(rows, [key], column, json_trees.leaves, "path string, value string")
-    return found.withColumn("value", json_trees.plain(F.col("value")))
+    return json_trees.rows(rows, [key], column, json_trees.plain_leaves, "path string, value string")
 
 
 def general(path: Column) -> Column:
@@ -37,6 +38,19 @@ def projected(found: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
     return made.groupBy(key, "path").agg(F.min_by("value", F.struct("places", "value")).alias("value"))
 
 
+def projected_documents(docs: DataFrame, key: str, column: str, mapping: DataFrame, most: int = PAIRS) -> DataFrame:
+    """`projected` of the leaves of a JSON column. What meets under one path comes from documents of one key, so with a mapping
+    of up to `most` pairs it is settled where they are opened; leaves are neither joined nor grouped. A longer mapping is
+    joined."""
+    pairs = mapping.select("source", "target").where("source IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(pairs) > most:
+        return projected(leaves(docs, key, column), key, mapping)
+    to: dict[str, list] = {}
+    for source, target in pairs:
+        to.setdefault(source, []).append(None if target is None else target.split("[]"))
+    return json_trees.projected(docs, key, column, to)
+
+
 def merged_blocks(blocks: DataFrame, model: str, path: str, order: str, payload: str | None = None) -> DataFrame:
     """(model, path, n, first, payload) of blocks whose path is the array of identifiers from the root: at each level blocks of
     one identifier are one, so blocks with equal paths are, and what is below them meets again. `n` is how many they were,

@@ -213,8 +213,7 @@ _PATHS = [("customer.rank", "header.priority"), ("items[].part", "blocks[].produ
     UNION ALL SELECT DISTINCT o_orderkey, u, o_custkey::VARCHAR FROM l, (SELECT unnest(['header.id', 'owner']) AS u) UNION ALL SELECT DISTINCT o_orderkey, 'header.priority', o_orderpriority FROM l""",
 )
 def project_nested(spark, sf_dir):
-    found = nested.leaves(_nested(spark, sf_dir), "o_orderkey", "content")
-    return nested.projected(found, "o_orderkey", spark.createDataFrame(_PATHS, "source string, target string"))
+    return nested.projected_documents(_nested(spark, sf_dir), "o_orderkey", "content", spark.createDataFrame(_PATHS, "source string, target string"))
 
 
 _BLOCKS_SQL = """SELECT page_id, s[1] AS model, s[2:n] AS path, n FROM (SELECT page_id, s, unnest(range(2, len(s) + 1)) AS n

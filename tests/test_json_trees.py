@@ -76,3 +76,26 @@ def test_large_documents_come_in_several_batches(spark):
 def test_documents_of_one_file_are_dealt_out_before_they_are_opened(spark):
     docs = spark.createDataFrame([(1, "[1]")], "k int, t string").coalesce(1)
     assert "REPARTITION_BY_COL" in nested.leaves(docs, "k", "t")._jdf.queryExecution().toString()
+
+
+def test_projected_documents_do_not_shuffle_leaves(spark):
+    """The same as by join and grouping, for documents that share a key, odd keys and numbers, paths that meet, and no JSON."""
+    docs = [
+        (1, '{"a":[{"b":[1,2.50,1e3],"c":"x\\n\\"y"},{"b":[-0.0,12345678901234567890123,1e40],"c":true}],"d":{"e":null,"f":"z"}}'),
+        (1, '{"a":[{"b":[0]}],"d":{"f":"a"}}'), (2, '{"a[3]":{"b":[7]},"x.y":"dotted","x":{"y":"nested"}}'), (3, "no JSON"), (None, '{"d":{"f":"null"}}'), (None, '{"d":{"f":"key"}}'), (4, '{"a[":[{"q":1}]}'),
+    ]
+    frame = spark.createDataFrame(docs, "k int, j string")
+    mapping = spark.createDataFrame([("a[].b[]", "n[].m[]"), ("a[].b[]", "flat[]"), ("a[].b[]", "one"), ("a[].c", "n[].deep[].t[]"), ("d.f", "one"), ("x.y", "two"), ("a[[].q", "odd[]"), ("d.f", "one"), (None, "never")], "source string, target string")
+    joined = nested.projected_documents(frame, "k", "j", mapping, most=1)
+    opened = nested.projected_documents(frame, "k", "j", mapping)
+    assert sorted(map(str, opened.collect())) == sorted(map(str, joined.collect()))
+    assert opened.where("k = 1").count() == 11
+    plan = opened._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_plain_leaves_are_as_spark_reads_them(spark):
+    each = ["1", "-0", "-0.0", "1.0", "1.50", "0.10", "1e3", "1E-7", "1.5e300", "123456789012345678901234567890", "9" * 40, "1.00000000000000000000000000000000000000000001", "true", "false", '"a\\u0001\\/\\\\b\\u00e9"', '""', "12345.678900", "100", "1e2", "0e0"]
+    docs = spark.createDataFrame([(i, '{"v":' + x + "}") for i, x in enumerate(each)], "k int, j string")
+    raw = json_trees.rows(docs, ["k"], "j", json_trees.leaves, "path string, value string").withColumn("value", json_trees.plain(F.col("value")))
+    assert sorted(map(tuple, nested.leaves(docs, "k", "j").collect())) == sorted(map(tuple, raw.collect()))
