@@ -140,3 +140,17 @@ def test_a_long_union_is_ranked(spark):
     order = list(dict.fromkeys(x for _, _, t in rows for x in json.loads(t)["l"]))
     assert {x.path: int(x.value) for x in found} == {f"l[{i}]": v for i, v in enumerate(order)}
     assert blocks.deep_merged(spark.createDataFrame([], "g int, no int, s string"), "g", "no", "s").collect() == []
+
+
+def test_rematched_types_are_settled_without_a_sort_of_all(spark, monkeypatch):
+    """By ranges and within types the same, for equal keys, null keys and types, and types of both sizes at once."""
+    from marlstream.operators import rematch
+
+    own = [(t, f"f{i:02}", None if i % 7 == 0 else f"u{i % 3}", None if i % 5 == 0 else f"p{i % 4}") for t, n in ((1, 40), (2, 9), (3, 1), (None, 2)) for i in range(n)]
+    other = [(t, i, None if i % 6 == 0 else f"u{i % 4}", None if i % 11 == 0 else f"p{i % 5}", f"k{i}") for t, n in ((1, 30), (2, 12), (4, 2), (None, 3)) for i in range(n)]
+    mapped = spark.createDataFrame(own, "type int, field string, uid string, path string")
+    changed = spark.createDataFrame(other, "type int, place int, uid string, path string, field_type string")
+    found = {most: sorted(map(str, rematch.rematched(mapped, changed, most=most).collect())) for most in (0, 30, 1000)}
+    assert found[0] == found[30] == found[1000] and len(found[0]) == len(own)
+    monkeypatch.setattr(rematch, "numbered", None)
+    assert sorted(map(str, rematch.rematched(mapped, changed).collect())) == found[0]
