@@ -21,6 +21,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +29,43 @@ from marlstream.session import stored
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
-
-
-def _structure(data: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Of bytes that start inside a string or not: which belong to strings, which are brackets that open or close, and
-    whether the end is inside."""
+    """(file, start, value): a file is known by a hash, as its path would go with each of its pieces."""
+    return spark.read.option("lineSep", "}").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+#: what says where a document's parts begin and end, and by how much it changes the depth
+_TOLD = np.zeros(256, bool)
+_TOLD[list(b'"{}[]:,')] = True
+_CHANGE = np.zeros(256, np.int8)
+_CHANGE[list(b"{[")], _CHANGE[list(b"}]")] = 1, -1
+QUOTE, COLON, COMMA, SQUARE = b'":,['
+
+
+def _escaped(data: np.ndarray, quotes: np.ndarray, most: int = 32) -> np.ndarray:
+    """Which quotes stand behind an odd number of backslashes. Few stand behind one, of which those behind many are looked up
+    in a pass over all bytes."""
+    escaped = np.zeros(len(quotes), bool)
+    behind = np.flatnonzero((quotes > 0) & (data[quotes - 1] == 92))
+    for n in range(1, most):
+        escaped[behind] = n % 2 == 1
+        before = quotes[behind] - n - 1
+        behind = behind[(before >= 0) & (data[before] == 92)]
+        if not len(behind):
+            return escaped
     at = np.arange(len(data))
     last = np.maximum.accumulate(np.where(data != 92, at, -1))
-    backslashes = at - 1 - np.concatenate([[-1], last[:-1]])
-    quote = (data == 34) & (backslashes % 2 == 0)
-    state = (np.cumsum(quote) + inside) % 2
-    string = (state == 1) | quote
-    return string, ((data == 123) | (data == 91)) & ~string, ((data == 125) | (data == 93)) & ~string, int(state[-1]) if len(data) else inside
+    escaped[behind] = (quotes[behind] - 1 - last[quotes[behind] - 1]) % 2 == 1
+    return escaped
+
+
+def _structure(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the bytes that tell: their places, which are quotes that aren't escaped, and how many such there are up to each,
+    modulo two. Bytes of strings are among them."""
+    at = np.flatnonzero(_TOLD[data])
+    quote = data[at] == QUOTE
+    places = np.flatnonzero(quote)
+    quote[places] = ~_escaped(data, at[places])
+    return at, quote, np.bitwise_xor.accumulate(quote.view(np.uint8)) if len(at) else np.zeros(0, np.uint8)
 
 
 def _by_range(batches, begin, step, end):
@@ -48,27 +73,30 @@ def _by_range(batches, begin, step, end):
     end(range, state); what step(...) and end(...) yield is passed on as (range, item)."""
     now, state = None, None
     for batch in batches:
-        files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
-        edges = [i for i in range(len(files)) if i == 0 or (files[i], starts[i]) != (files[i - 1], starts[i - 1])]
+        files, starts = batch.column("file").to_numpy(), batch.column("start").to_numpy()
+        edges = [0, *(np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist()] if len(files) else []
         for a, b in zip(edges, [*edges[1:], len(files)], strict=True):
-            if (files[a], starts[a]) != now:
+            if (int(files[a]), int(starts[a])) != now:
                 if now is not None:
                     yield from ((now, x) for x in end(state))
-                now = (files[a], starts[a])
+                now = (int(files[a]), int(starts[a]))
                 state = begin({c: batch.column(c)[a].as_py() for c in batch.schema.names if c != "value"})
-            text = "}".join([*batch.column("value").slice(a, b - a).to_pylist(), ""])
-            yield from ((now, x) for x in step(state, np.frombuffer(text.encode(), np.uint8)))
+            values = batch.column("value").slice(a, b - a)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), values), "}")[0].as_buffer()
+            yield from ((now, x) for x in step(state, np.append(np.frombuffer(text, np.uint8), np.uint8(125))))
     if now is not None:
         yield from ((now, x) for x in end(state))
 
 
 def _sums(batches):
     def step(total, data):
-        string = _structure(data, 0)
+        at, quote, odd = _structure(data)
+        change = np.where(quote, 0, _CHANGE[data[at]]).astype(np.int64)
+        within = int(change[odd == 1].sum())
+        net = (int(change.sum()) - within, within)
         for case in (0, 1):
-            _, opened, closed, _ = _structure(data, case ^ total[0])
-            total[1 + case] += int(opened.sum()) - int(closed.sum())
-        total[0] ^= string[3]
+            total[1 + case] += net[case ^ total[0]]
+        total[0] ^= int(odd[-1]) if len(odd) else 0
         return ()
 
     for (file, start), (quotes, outside, inside) in _by_range(batches, lambda _: [0, 0, 0], step, lambda total: [total]):
@@ -79,7 +107,8 @@ class _Reader:
     """Walks through a range. kind: None between sections, value from a name's colon on, array or object within a section,
     unknown where that isn't told yet, ended behind a section."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, outline: bool = False):
+        self.outline = outline
         self.inside, self.depth = row["in_string"], row["depth"]
         self.section = row.get("section")
         self.kind = None if self.depth == 0 else row.get("kind") or "unknown" if self.depth > 1 else "value" if self.inside else "ended"
@@ -93,29 +122,33 @@ class _Reader:
             yield self.section, text, head, True
 
     def read(self, data: np.ndarray):
-        """(section, text, whether it goes on from an earlier range, whether it ends) of elements that end here."""
-        string, opened, closed, inside = _structure(data, self.inside)
-        depth = self.depth + np.cumsum(opened.astype(np.int64) - closed)
-        free = ~string
-        colon, comma = (data == 58) & free & (depth == 1), (data == 44) & free & (depth <= 2)
+        """(section, text, whether it goes on from an earlier range, whether it ends) of elements that end here. An outline has
+        no elements of arrays."""
+        at_all, quote, odd = _structure(data)
+        free = ~quote & (odd == self.inside)
+        places = at_all[free]
+        signs = data[places]
+        change = _CHANGE[signs]
+        depth = self.depth + np.cumsum(change, dtype=np.int64)
+        colon, comma = (signs == COLON) & (depth == 1), (signs == COMMA) & (depth <= (1 if self.outline else 2))
+        here = np.flatnonzero(colon | comma | ((change == 1) & (depth <= 2)) | ((change == -1) & (depth <= 1)))
         raw, at = data.tobytes(), 0
-        for e in np.flatnonzero(colon | comma | (opened & (depth <= 2)) | (closed & (depth <= 1))).tolist():
-            d = int(depth[e])
-            if colon[e]:
+        for e, sign, d, way in zip(places[here].tolist(), signs[here].tolist(), depth[here].tolist(), change[here].tolist(), strict=True):
+            if sign == COLON:
                 name = raw[at:e].strip()
                 if self.kind is not None or not name.startswith(b'"'):
                     raise ValueError("a section's name holds a }, or this isn't JSON")
                 self.section, self.kind, at = json.loads(name), "value", e + 1
-            elif opened[e] and d == 1:
+            elif way == 1 and d == 1:
                 at = e + 1
-            elif opened[e]:
+            elif way == 1:
                 # a section's bracket: an array's elements come one by one, an object is one
-                self.kind, at = ("array", e + 1) if data[e] == 91 else ("object", e)
+                self.kind, at = ("array", e + 1) if sign == SQUARE else ("object", e)
             elif d == 2:
                 if self.kind == "array":
                     yield from self._ended(raw[at:e])
                     at = e + 1
-            elif closed[e] and d == 1:
+            elif way == -1 and d == 1:
                 if self.kind in ("array", "object"):
                     yield from self._ended(raw[at : e + (self.kind == "object")])
                 self.kind, at = "ended", e + 1
@@ -123,9 +156,10 @@ class _Reader:
                 if self.kind == "value":
                     yield from self._ended(raw[at:e])
                 self.kind, at = None, e + 1
-        if self.kind in ("array", "object", "value"):
+        if self.kind in ("array", "object", "value") and not self.outline:
             self.part.append(raw[at:])
-        self.inside, self.depth = inside, int(depth[-1]) if len(data) else self.depth
+        self.inside ^= int(odd[-1]) if len(odd) else 0
+        self.depth = int(depth[-1]) if len(depth) else self.depth
 
     def rest(self):
         """What is open at the end of a range."""
@@ -141,7 +175,7 @@ def _sections(batches):
         return ()
 
     end = lambda reader: [(reader.section, reader.kind)] if reader.section is not None and reader.kind in ("array", "object", "value") else []
-    for (file, start), (section, kind) in _by_range(batches, _Reader, walk, end):
+    for (file, start), (section, kind) in _by_range(batches, lambda row: _Reader(row, True), walk, end):
         yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "section": [section], "kind": [kind]})
 
 
@@ -151,7 +185,7 @@ def _elements(batches):
 
 
 def _element_batches(batches, most: int = 1000):
-    names = {"file": pa.string(), "start": pa.int64(), "seq": pa.int64(), "section": pa.string(), "text": pa.string(), "head": pa.bool_(), "ended": pa.bool_()}
+    names = {"file": pa.int64(), "start": pa.int64(), "seq": pa.int64(), "section": pa.string(), "text": pa.string(), "head": pa.bool_(), "ended": pa.bool_()}
     rows: list[tuple] = []
 
     def batch():
@@ -171,15 +205,15 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     pieces = _pieces(spark, path)
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     none = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
-    sums = stored(pieces.mapInArrow(_sums, "file string, start long, quotes long, outside long, inside long"))
+    sums = stored(pieces.mapInArrow(_sums, "file long, start long, quotes long, outside long, inside long"))
     states = sums.withColumn("in_string", (none("quotes") % 2).cast("int")).withColumn("change", F.when(F.col("in_string") == 1, F.col("inside")).otherwise(F.col("outside")))
     states = stored(states.select("file", "start", "in_string", none("change").cast("int").alias("depth")))
     # a row for each range
     told = pieces.join(F.broadcast(states), ["file", "start"])
-    left_open = told.mapInArrow(_sections, "file string, start long, section string, kind string")
+    left_open = told.mapInArrow(_sections, "file long, start long, section string, kind string")
     ended = states.join(left_open, ["file", "start"], "left").withColumn("open", F.when(F.col("section").isNotNull(), F.struct("section", "kind")))
     carried = stored(ended.select("file", "start", "in_string", "depth", F.last("open", ignorenulls=True).over(earlier).alias("open")).select("file", "start", "in_string", "depth", "open.section", "open.kind"))
-    found = stored(pieces.join(F.broadcast(carried), ["file", "start"]).mapInArrow(_element_batches, "file string, start long, seq long, section string, text string, head boolean, ended boolean"))
+    found = stored(pieces.join(F.broadcast(carried), ["file", "start"]).mapInArrow(_element_batches, "file long, start long, seq long, section string, text string, head boolean, ended boolean"))
     # places: what a section has in the ranges before, and in this one
     first = found.where("NOT head").groupBy("file", "section", "start").agg(F.count("*").alias("n"), F.min("seq").alias("least"))
     before = Window.partitionBy("file", "section").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

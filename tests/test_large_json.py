@@ -64,3 +64,27 @@ def test_schemas_several_files_and_none(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     (tmp_path / "empty" / "e.json").write_text("")
     assert large_json.elements(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_structure_is_found_once_for_both_cases(monkeypatch):
+    """Whether a range starts in a string isn't known when brackets are counted; each piece was scanned three times for that."""
+    import pyarrow as pa
+
+    text = r'{"a":[{"x":"\\\"}],{\\"},' + '"' + "\\" * 101 + '"' + r'"],"b":{"c":"' + "\\" * 80 + '"}}'
+    scans, scan = [], large_json._structure
+    monkeypatch.setattr(large_json, "_structure", lambda *a: scans.append(len(a[0])) or scan(*a))
+    pieces = text.split("}")
+    batches = [pa.RecordBatch.from_pydict({"file": [7] * len(x), "start": [0] * len(x), "value": x}) for x in (pieces[:2], pieces[2:])]
+    row = next(iter(large_json._sums(batches))).to_pylist()[0]
+
+    def plain(inside):
+        depth, escaped = 0, False
+        for c in text + "}":
+            if c == '"' and not escaped:
+                inside = not inside
+            elif not inside:
+                depth += (c in "{[") - (c in "}]")
+            escaped = c == "\\" and not escaped
+        return depth
+
+    assert (row["outside"], row["inside"]) == (plain(False), plain(True)) and len(scans) == 2
