@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: fixed values: elements without an end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -209,6 +211,20 @@ def tree_to_markdown(column: Column) -> Column:
     return _text_function(lambda x: markdown_of_tree(json.loads(x)).strip())(column)
 
 
+def markdown_rows(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, markdown) of an HTML column. A task holds the texts of few pages at a time and no text of their trees."""
+    rows = rows.select(*keys, F.col(column).alias("__html"))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [None if x is None else markdown_of_tree(tree_of_html(x)).strip() for x in part.column("__html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(texts, pa.string())], [*keys, "markdown"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("markdown", StringType())]))
+
+
 def json_flattened(column: Column) -> Column:
     """JSON text as an object of dotted paths."""
     return _text_function(lambda x: _json(dict(flattened(json.loads(x)))))(column)
@@ -247,6 +263,10 @@ def rich_text_to_tree(rows: DataFrame, column: str, index: DataFrame, name: str
     return rows.withColumns(_text_key(column)).join(found, _TEXT_KEY, "left").withColumn(name, run(F.col(column), F.col("__known"))).drop(*_TEXT_KEY, "__known")
 
 
+#: rows of a batch that is handed back
+MOST = 20_000
+#: pages of a batch that are texts in Python at a time
+SLICE = 500
 NODE_ROW = "pos int, depth int, parent int, type string, text string, href string"
 
 
@@ -255,6 +275,9 @@ def node_rows(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     rows = rows.select(*keys, F.col(column).alias("__html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + NODE_ROW
 
+    def frame(out):
+        return pd.DataFrame(out, columns=[*keys, "pos", "depth", "parent", "type", "text", "href"]).astype({"parent": "Int32"})
+
     def run(batches):
         for batch in batches:
             out = []
@@ -266,8 +289,11 @@ def node_rows(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
                     out.append((*row[:-1], pos, depth, parent, node.get("type", "text"), node.get("text"), attrs.get("href") or attrs.get("src")))
                     stack += [(c, depth + 1, pos) for c in reversed(node.get("children", []))]
                     pos += 1
-            frame = pd.DataFrame(out, columns=[*keys, "pos", "depth", "parent", "type", "text", "href"])
-            yield frame.astype({"parent": "Int32"})
+                    if len(out) == MOST:
+                        yield frame(out)
+                        out = []
+            if out:
+                yield frame(out)
 
     return rows.mapInPandas(run, schema)
 

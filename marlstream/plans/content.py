@@ -16,8 +16,7 @@ def richtext_nodes(spark, sf_dir):
 
 @register("richtext_markdown")
 def richtext_markdown(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", documents.html_to_tree(F.col("html")).alias("tree"))
-    return pages.select("page_id", documents.tree_to_markdown(F.col("tree")).alias("markdown"))
+    return documents.markdown_rows(table(spark, sf_dir, "pages"), ["page_id"], "html")
 
 
 @register("html_parsed_text")

@@ -221,3 +221,25 @@ def test_file_sizes_in_the_middle_go_to_the_even_decimal(spark):
     sizes = {997 * 256: "249.2KB", 997 * 768: "747.8KB", 1024: "1.0KB", 1023: "1023bytes", 997 * 262144: "249.2MB", 1048576 * 3 // 4 * 5: "3.8MB", 1048575: "1024.0KB"}
     found = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", X.file_size(F.col("n")).alias("size"))
     assert {x.n: x["size"] for x in found.collect()} == sizes
+
+
+def test_markdown_of_html_goes_through_no_text_of_trees(spark, monkeypatch):
+    from marlstream.functions import documents
+    from marlstream.plans import catalog
+
+    pages = catalog.table(spark, "/root/testdata/sf0.001", "pages").select("page_id", "html").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, '<p>a<b>b</b><ol><li>x<a href="y">z</a></ol>&#xD800;')], "page_id long, html string"))
+    by_tree = pages.select("page_id", documents.tree_to_markdown(documents.html_to_tree(F.col("html"))).alias("m"))
+    assert sorted(map(str, documents.markdown_rows(pages, ["page_id"], "html").withColumnRenamed("markdown", "m").collect())) == sorted(map(str, by_tree.collect()))
+    monkeypatch.setattr(documents, "tree_to_markdown", None)
+    assert catalog.queries()["richtext_markdown"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_node_rows_come_in_parts(spark):
+    """A batch of pages gave all its nodes at once."""
+    from marlstream.functions import documents
+
+    n = documents.MOST
+    rows = spark.createDataFrame([(1, "<p>x</p>" * n), (2, "<p>y</p>")], "k int, html string").coalesce(1)
+    found = documents.node_rows(rows, ["k"], "html")
+    sizes = [len(x) for x in found.mapInPandas(lambda parts: (x[["k"]] for x in parts), "k int").toPandas().groupby("k")["k"].apply(list)]
+    assert sizes == [2 * n + 1, 3] and found.where("k = 1 AND type = 'p' AND parent = 0").count() == n
