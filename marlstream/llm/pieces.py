@@ -17,7 +17,9 @@ A long run of spaces begins with its longest piece over and over; this is confir
 then only the last few of a run are composed, with the word behind them.
 
 If no piece has U+2581 inside or a line feed, texts are composed part by part, and the parts seen most lately are
-kept, twice KEPT_BYTES of them at most. Of the arcs MAX_ARCS are kept.
+kept, three times KEPT_BYTES of them at most beside those in hand. Of the arcs MAX_ARCS are kept. Parts of up to LONG_PART characters that aren't
+kept are searched together, PARTS_BLOCK characters at a time: the pieces at all of their places are looked up at once, and
+the search takes the first place of all parts, then the second, and so on. Longer ones are searched one by one.
 
 Defined cases: a null text stays null when decoded and has no ids, an empty text has no ids and decodes to itself;
 bytes that are no UTF-8 decode to U+FFFD each; a text's own U+2581 decodes to a space, as in the library itself;
@@ -45,12 +47,14 @@ SPACE = "▁"
 #: of parts and their ids, ENTRY_BYTES of each being Python's own; a part of more than LONG_PART characters isn't kept
 KEPT_BYTES, ENTRY_BYTES, LONG_PART = 32 << 20, 200, 200
 MAX_ARCS = 400_000
-#: positions that are searched at a time
-BLOCK = 1 << 16
+#: positions that are searched at a time in one part, and in many short ones
+BLOCK, PARTS_BLOCK = 1 << 16, 1 << 17
 #: what an unknown character costs more than the worst piece of a Unigram model (fixed value of the library)
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: parts that are composed at a time; a larger text is composed in runs of them
+MOST_PARTS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -169,6 +173,47 @@ class Normaliser:
         return (SPACE + text if self.v.dummy_prefix else text).replace(" ", SPACE)
 
 
+class Lookup:
+    """Whole numbers of at least 0 by whole numbers of at least 0, for arrays of keys at once; never over half full."""
+
+    def __init__(self, most: int):
+        self.most, self.bits = most, max(4, (2 * most).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.keys, self.values = 0, np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        places = self._places(keys)
+        there = self.keys[places]
+        found = np.where(there == keys, self.values[places], np.int32(-1))
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            places[open_] = places[open_] + 1 & (1 << self.bits) - 1
+            there, wanted = self.keys[places[open_]], keys[open_]
+            same = there == wanted
+            found[open_[same]] = self.values[places[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return found
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there yet; if they are more than it holds, the others go."""
+        if self.n + len(keys) > self.most:
+            self.clear()
+        self.n += len(keys)
+        places = self._places(keys)
+        while len(keys):
+            free = self.keys[places] < 0
+            self.keys[places[free]] = keys[free]
+            put = self.keys[places] == keys
+            self.values[places[put]] = values[put]
+            keys, values, places = keys[~put], values[~put], places[~put] + 1 & (1 << self.bits) - 1
+
+
 class Transducer:
     """The compiled model. Encodes texts to ids packed as little-endian uint32, and decodes ids."""
 
@@ -196,6 +241,25 @@ class Transducer:
             for char in p:
                 node = node.setdefault(char, {})
             node[""] = i
+        # the same trie for arrays: characters by number, nodes by node and character, the piece that ends at a node
+        self.numbers = np.zeros(0x110000, np.int32)
+        chars = sorted({c for p in self.ids for c in p})
+        self.numbers[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.single = np.zeros(len(chars) + 1, bool)
+        self.single[[self.numbers[ord(p)] for p in self.ids if len(p) == 1]] = True
+        number, open_, steps, ends = {c: i for i, c in enumerate(chars, 1)}, [self.trie], [], []
+        self.width = len(chars) + 1
+        for at, node in enumerate(open_):
+            ends.append(node.get("", -1))
+            for char, child in node.items():
+                if char:
+                    steps.append((at * self.width + number[char], len(open_)))
+                    open_.append(child)
+        self.nodes, self.ends = Lookup(len(steps)), np.array(ends, np.int32)
+        if steps:
+            self.nodes.put(*np.array(steps, np.int64).T)
+        self.all_weights = np.array([*self.weights, self.unknown_weight])
+        self.all_arcs = Lookup(MAX_ARCS)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kept_bytes = 0
@@ -218,17 +282,31 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _stay(self, a: int, b: int) -> bool:
+        x, y = self.vocabulary.pieces[a], self.vocabulary.pieces[b]
+        return self.merged(x + y) == [x, y]
+
     def follows(self, a: int, b: int) -> bool:
         """If there is an arc from the state of piece a to that of piece b."""
-        x, y = self.vocabulary.pieces[a], self.vocabulary.pieces[b]
         if self.n_arcs >= MAX_ARCS:
             for known in self.arcs:
                 known.clear()
             self.n_arcs = 0
         self.n_arcs += 1
-        self.arcs[a][b] = known = self.merged(x + y) == [x, y]
+        self.arcs[a][b] = known = self._stay(a, b)
         return known
 
+    def all_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same for many at once."""
+        keys = a.astype(np.int64) * len(self.arcs) + b
+        found = self.all_arcs.get(keys)
+        new, of = np.unique(keys[found < 0], return_inverse=True)
+        if len(new):
+            stay = np.array([self._stay(*divmod(k, len(self.arcs))) for k in new.tolist()])
+            self.all_arcs.put(new, stay)
+            found[found < 0] = stay[of]
+        return found > 0
+
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.vocabulary.byte_fallback else [self.unknown_id]
 
@@ -289,6 +367,73 @@ class Transducer:
                 return ids
             at, state, size = at + end, last[end], BLOCK
 
+    def _arcs_of(self, numbers: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pieces at all places of parts laid end to end, ordered by their place in their part: that place, the first
+        character, the last one, and the piece, or FALLBACK for a character that is none."""
+        behind = np.repeat(first + sizes, sizes)
+        at = begins = np.flatnonzero(~self.single[numbers])
+        found = [(begins, begins, np.full(len(begins), self.FALLBACK, np.int32))]
+        at, node, end = np.arange(len(numbers)), np.zeros(len(numbers), np.int64), np.arange(len(numbers))
+        while len(at):
+            node = self.nodes.get(node * self.width + numbers[end])
+            on = node >= 0
+            at, end, node = at[on], end[on], node[on].astype(np.int64)
+            piece = self.ends[node]
+            is_piece = piece >= 0
+            found.append((at[is_piece], end[is_piece], piece[is_piece]))
+            end = end + 1
+            on = end < behind[at]
+            at, end, node = at[on], end[on], node[on]
+        begin, end, piece = map(np.concatenate, zip(*found, strict=True))
+        place = (begin - np.repeat(first, sizes)[begin]).astype(np.uint16)
+        order = np.argsort(place, kind="stable")
+        return place[order], begin[order], end[order], piece[order]
+
+    def _all_shortest(self, parts: list[str]) -> list[bytes]:
+        """Packed ids on the path of least weight through each of many short parts."""
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(x) for x in parts])
+        first = np.cumsum(sizes) - sizes
+        place, begin, end, piece = self._arcs_of(self.numbers[chars], first, sizes)
+        n, bpe, none = len(chars), self.vocabulary.kind == BPE, self.FALLBACK - 1
+        # of the best path to the end of each character
+        last, start, cost = np.full(n, none, np.int32), np.zeros(n, np.int64), np.full(n, np.inf)
+        weight = self.all_weights[piece]
+        steps = np.searchsorted(place, np.arange(sizes.max() + 1))
+        for k, (low, high) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True)):
+            b, e, x, w = begin[low:high], end[low:high], piece[low:high], weight[low:high]
+            if k:
+                on = last[b - 1] > none
+                b, e, x, w = b[on], e[on], x[on], w[on]
+                w = cost[b - 1] + w
+                if bpe:
+                    before = last[b - 1]
+                    on = (before < 0) | (x < 0)
+                    asked = np.flatnonzero(~on)
+                    on[asked] = self.all_follow(before[asked], x[asked])
+                    b, e, x, w = b[on], e[on], x[on], w[on]
+            # the arcs of one place of a part end at different characters
+            on = w < cost[e]
+            e = e[on]
+            last[e], start[e], cost[e] = x[on], b[on], w[on]
+        passed, low, at = np.zeros(n, bool), first, first + sizes - 1
+        while len(at):
+            passed[at] = True
+            at = start[at]
+            on = at > low
+            at, low = at[on] - 1, low[on]
+        at = np.flatnonzero(passed)
+        ids, count = last[at], np.ones(len(at), np.int64)
+        if len(odd := np.flatnonzero(ids < 0)):
+            known, of = np.unique(chars[at[odd]], return_inverse=True)
+            known = [self.fallback(chr(c)) for c in known.tolist()]
+            count[odd] = np.array([len(x) for x in known])[of]
+            of_odd, ids = np.repeat(ids < 0, count), np.repeat(ids, count)
+            ids[of_odd] = [i for k in of.tolist() for i in known[k]]
+        to = np.append(0, np.cumsum(count))[np.searchsorted(at, np.append(first, n))] * 4
+        packed, to = ids.astype("<u4").tobytes(), to.tolist()
+        return [packed[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
+
     def _packed(self, part: str) -> bytes:
         n = len(part) - len(part.lstrip(SPACE)) if self.spaces and part[0] == SPACE else 0
         more = (n - 2 * self.spaces) // self.spaces if n >= 4 * self.spaces > 0 else 0
@@ -297,30 +442,49 @@ class Transducer:
         return np.full(more, self.ids[SPACE * self.spaces], "<u4").tobytes() + np.array(self.shortest(part[more * self.spaces :]), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        text = self.normalise(text)
-        if not text:
-            return b""
-        out, kept = [], self.kept
-        for part in self.part.findall(text):
-            packed = kept.get(part)
-            if packed is None:
-                packed = self.older.get(part)
-                if packed is None:
-                    packed = self._packed(part)
-                if len(part) <= LONG_PART:
-                    if self.kept_bytes >= KEPT_BYTES:
-                        self.older, self.kept, self.kept_bytes = kept, {}, 0
-                        kept = self.kept
-                    kept[part] = packed
-                    self.kept_bytes += ENTRY_BYTES + 4 * len(part) + len(packed)
-            out.append(packed)
-        packed = b"".join(out)
-        if not self.vocabulary.byte_fallback:
-            # unknown characters in a row are one unknown piece
-            ids = np.frombuffer(packed, "<u4")
-            if (ids == self.unknown_id).any():
-                packed = ids[np.append(True, (ids[1:] != self.unknown_id) | (ids[:-1] != self.unknown_id))].tobytes()
-        return packed
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [self.part.findall(self.normalise(x)) for x in texts]
+        if sum(map(len, split)) <= MOST_PARTS:
+            out = self._composed(split)
+        else:
+            out = [b"".join([self._composed([parts[i : i + MOST_PARTS]])[0] for i in range(0, len(parts), MOST_PARTS)]) for parts in split]
+        return out if self.vocabulary.byte_fallback else [self._one_unknown(x) for x in out]
+
+    def _composed(self, split: list[list[str]]) -> list[bytes]:
+        """Packed ids of each list of parts."""
+        kept = self.kept
+        new = set().union(*split).difference(kept)
+        long = [x for x in new if len(x) > LONG_PART]
+        new.difference_update(long)
+        short = new.difference(self.older)
+        added = {x: self.older[x] for x in new.difference(short)}
+        found, size = [], 0
+        for part in short:
+            found.append(part)
+            size += len(part)
+            if size >= PARTS_BLOCK:
+                added.update(zip(found, self._all_shortest(found), strict=True))
+                found, size = [], 0
+        if found:
+            added.update(zip(found, self._all_shortest(found), strict=True))
+        kept.update(added)
+        kept.update((x, self._packed(x)) for x in long)
+        out = [b"".join([kept[x] for x in parts]) for parts in split]
+        for x in long:
+            del kept[x]
+        self.kept_bytes += ENTRY_BYTES * len(added) + 4 * sum(map(len, added)) + sum(map(len, added.values()))
+        if self.kept_bytes >= KEPT_BYTES:
+            self.older, self.kept, self.kept_bytes = kept if self.kept_bytes < 2 * KEPT_BYTES else {}, {}, 0
+        return out
+
+    def _one_unknown(self, packed: bytes) -> bytes:
+        """Unknown characters in a row are one unknown piece."""
+        ids = np.frombuffer(packed, "<u4")
+        if not (ids == self.unknown_id).any():
+            return packed
+        return ids[np.append(True, (ids[1:] != self.unknown_id) | (ids[:-1] != self.unknown_id))].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
@@ -364,7 +528,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, text: str = "text", ids: str
         t = _transducer(model)
         for whole in batches:
             for batch in batches_of(whole, text, BATCH_BYTES):
-                packed = [t.encode(x or "") for x in batch.column(text).to_pylist()]
+                packed = t.encode_all([x or "" for x in batch.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], _ids_column(packed)], [*rest, ids])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
@@ -398,12 +562,12 @@ def round_trips(docs: DataFrame, path: str = MODEL_PATH, with_ids: bool = False)
         is_byte = np.array([k == BYTE for k in t.vocabulary.kinds])
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
-                packed, n_bytes, same = [], [], []
-                for x in batch.column("text").to_pylist():
-                    packed.append(t.encode(x or ""))
-                    ids = np.frombuffer(packed[-1], "<u4")
+                texts, n_bytes, same = [x or "" for x in batch.column("text").to_pylist()], [], []
+                packed = t.encode_all(texts)
+                for x, of_x in zip(texts, packed, strict=True):
+                    ids = np.frombuffer(of_x, "<u4")
                     n_bytes.append(int(is_byte[ids].sum()))
-                    same.append(t.decode(ids) == (x or ""))
+                    same.append(t.decode(ids) == x)
                 out = [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(n_bytes, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in packed]), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*out, *([_ids_column(packed)] if with_ids else [])], schema.names)
 
