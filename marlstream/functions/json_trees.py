@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from hashlib import blake2b
 from json.encoder import encode_basestring
 
@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-TYPES = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 #: rows of a batch that is handed back
 MOST = 20_000
+#: characters of documents that a task holds or hands back at once
+HELD = 1 << 23
 #: Spark reads JSON of up to 1,000 levels
 DEEPEST = 10_000
 INDEX = re.compile(r"\[([0-9]+)\]")
@@ -171,42 +173,89 @@ def marks(value, ignored: tuple[str, ...], orders: tuple[bool, ...]) -> list[tup
     return [tuple(blake2b(mark(value, ignored, o).encode("utf-8", "surrogatepass"), digest_size=16).digest() for o in orders)]
 
 
-def blocks(value, uids: tuple[str, ...], lists: tuple[str, ...], ignored: tuple[str, ...], ordered: bool) -> list[tuple]:
-    """(block, parent, list, at, depth, uid, sig, own) of a document that is an object, and of the objects in its lists of
-    blocks: uid is the JSON of the first identifier, own the JSON of what a block has besides its lists."""
+def _opened(value, lists: tuple[str, ...], ignored: tuple[str, ...], ordered: bool) -> list[tuple]:
+    """(block, parent, list, at, depth, object, mark) of a document that is an object, and of the objects in its lists of
+    blocks, which come before what holds them."""
     out = []
 
-    def add(value, path, parent, held, at, depth, found):
-        uid = next((value[u] for u in uids if type(value.get(u, {})) not in (dict, list) and value[u] is not None and value[u] != ""), None)
-        own = "{" + ",".join([quoted(k) + ":" + text(v) for k, v in value.items() if k not in lists]) + "}"
-        out.append((path, parent, held, at, depth, None if uid is None else text(uid), bytes.fromhex(found[1:]), own))
-
     def visit(value, path, depth, name, above):
-        kind = type(value)
-        if kind is dict:
+        if type(value) is dict:
             parts = []
             for k, v in value.items():
-                found = visit(v, f"{path}.{k}" if path else k, depth + 1, k, path)
+                found = visit(v, f"{path}.{k}" if path else k, depth + 1, k, path) if type(v) in (dict, list) else text(v)
                 if k not in ignored:
                     parts.append(quoted(k) + ":" + found)
             return _mark("{", sorted(parts))
-        if kind is list:
-            parts = []
-            for i, v in enumerate(value):
+        parts = []
+        for i, v in enumerate(value):
+            if type(v) in (dict, list):
                 at = f"{path}[{i}]"
                 found = visit(v, at, depth + 1, "", None)
                 if name in lists and type(v) is dict:
-                    add(v, at, above, name, i, depth + 1, found)
-                parts.append(found)
-            return _mark("[", parts if ordered else sorted(parts))
-        return text(value)
+                    out.append((at, above, name, i, depth + 1, v, found))
+            else:
+                found = text(v)
+            parts.append(found)
+        return _mark("[", parts if ordered else sorted(parts))
 
-    found = visit(value, "", 0, "", None)
     if type(value) is dict:
-        add(value, "", None, "", 0, 0, found)
+        out.append(("", None, "", 0, 0, value, visit(value, "", 0, "", None)))
     return out
 
 
+def _uid(block: dict, uids: tuple[str, ...]):
+    """A block's first identifier, or None."""
+    return next((block[u] for u in uids if type(block.get(u, {})) not in (dict, list) and block[u] is not None and block[u] != ""), None)
+
+
+def _own(block: dict, lists: tuple[str, ...]) -> str:
+    """The JSON of what a block has besides its lists."""
+    return "{" + ",".join([quoted(k) + ":" + text(v) for k, v in block.items() if k not in lists]) + "}"
+
+
+def blocks(value, uids: tuple[str, ...], lists: tuple[str, ...], ignored: tuple[str, ...], ordered: bool) -> list[tuple]:
+    """(block, parent, list, at, depth, uid, sig, own) of a document that is an object, and of the objects in its lists of
+    blocks: uid is the JSON of the first identifier, own the JSON of what a block has besides its lists."""
+    out = []
+    for path, parent, held, at, depth, block, found in _opened(value, lists, ignored, ordered):
+        uid = _uid(block, uids)
+        out.append((path, parent, held, at, depth, None if uid is None else text(uid), bytes.fromhex(found[1:]), _own(block, lists)))
+    return out
+
+
+def merged(documents: Iterable, uids: tuple[str, ...], lists: tuple[str, ...], ignored: tuple[str, ...], ordered: bool) -> list[tuple]:
+    """(first, path, n, kept, own) of the blocks of one model's documents, which come in order, as
+    `operators.blocks.merged_by_signature` merges them; first is the number of a document."""
+    groups, seen = {}, set()
+    for no, value in enumerate(documents):
+        below = {}
+        for path, parent, held, at, depth, block, found in _opened(value, lists, ignored, ordered):
+            below.setdefault((depth, parent), []).append((at, path, held, block, found))
+        depth = 0
+        level = [((), path, "", block, found) for _, path, _, block, found in below.get((0, None), ())]
+        while level:
+            # a block's place among all that it meets: the document's, the places from the root, its path
+            level.sort(key=lambda x: x[:2])
+            following = []
+            for places, path, group, block, found in level:
+                least = (no, places, path)
+                if (own := groups.get(group)) is None:
+                    own = groups[group] = [0, 0, least, _own(block, lists)]
+                elif least < own[2]:
+                    own[2:] = least, _own(block, lists)
+                own[0] += 1
+                if (mark := (depth, group, found)) in seen:
+                    continue
+                seen.add(mark)
+                own[1] += 1
+                for at, inner, held, v, its in below.get((depth + 2, path), ()):
+                    uid = _uid(v, uids)
+                    uid = "unknown" if uid is None else uid if type(uid) is str else text(uid)
+                    following.append(((*places, at), inner, f"{group}/{held}:{uid}" if group else f"{held}:{uid}", v, its))
+            level, depth = following, depth + 2
+    return [(least[0], path, n, kept, own) for path, (n, kept, least, own) in groups.items()]
+
+
 def rows(frame: DataFrame, keys: list[str], column: str, make: Callable, columns: str) -> DataFrame:
     """(keys, columns): the rows that make(document) gives of each JSON document. Text that isn't JSON gives none. Documents are
     dealt out by their keys first: those of a small table come from one file and would all be opened by one task."""
@@ -240,6 +289,61 @@ def rows(frame: DataFrame, keys: list[str], column: str, make: Callable, columns
     return read.mapInArrow(run, schema)
 
 
+def by_ranges(frame: DataFrame, group: str, order: str, column: str, make: Callable, columns: str) -> DataFrame:
+    """(group, order, columns, __json): the rows that make(documents) gives of all JSON documents of a group in order, where one
+    task holds them all; the first value that it gives for a row is the number of the document whose order the row has. group is never
+    null.
+
+    Documents are dealt out by ranges of (group, order), so a group of any length is spread over tasks. Those of the
+    groups at both ends of a task, which may go on in another one, and of groups of over HELD characters come back as they are, in
+    __json, for the caller to deal with; a task has no more than HELD in hand.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = [TYPES[c.split()[1]] for c in columns.split(", ")]
+    dealt = frame.select(group, order, column).repartitionByRange(group, order).sortWithinPartitions(group, order)
+    read = dealt.select(group, order, F.to_json(F.try_parse_json(column)).alias("__json"))
+
+    def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+        decode = json.JSONDecoder(parse_int=Number, parse_float=_fraction).decode
+        now, whole, held, size = None, False, [], 0
+        out, waiting, own_types = [], 0, None
+
+        def batch_of(out):
+            cells = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (*own_types, *types, pa.string()), strict=True)], [group, order, *names, "__json"])
+
+        def as_they_are(documents):
+            return [(now, at, *[None] * len(names), document) for at, document in documents]
+
+        for batch in batches:
+            own_types = [batch.schema.field(k).type for k in (group, order)]
+            for own, at, document in zip(batch.column(group).to_pylist(), batch.column(order).to_pylist(), batch.column("__json"), strict=True):
+                if own != now:
+                    if whole:
+                        out += [(now, held[no][0], *row, None) for no, *row in make(decode(d) for _, d in held)]
+                        waiting += size
+                    # the first group of a task may have begun in another one
+                    now, whole, held, size = own, now is not None, [], 0
+                if (document := document.as_py()) is not None:
+                    size += len(document)
+                    held.append((at, document))
+                    if not whole or size > HELD:
+                        out += as_they_are(held)
+                        waiting += size
+                        whole, held, size = False, [], 0
+                if len(out) >= MOST or waiting > HELD:
+                    yield batch_of(out)
+                    out, waiting = [], 0
+        # and the last may go on in another one
+        out += as_they_are(held)
+        if out:
+            yield batch_of(out)
+
+    schema = StructType([frame.schema[group], frame.schema[order], *StructType.fromDDL(f"{columns}, __json string")])
+    return read.mapInArrow(run, schema)
+
+
 def projected(frame: DataFrame, key: str, column: str, pairs: dict[str, list]) -> DataFrame:
     """(key, path, value) of the leaves of JSON documents under the paths that pairs gives them, as `project` does, one for each
     key and path. All documents of a key are in one task, which waits for as many as there are."""

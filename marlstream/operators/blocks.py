@@ -86,10 +86,25 @@ def merged_by_signature(docs: DataFrame, model: str, order: str, column: str, ui
     others with all below them are left out. n is how many blocks met, kept how many of them went on, first the order of
     the first and attributes what it has besides its lists.
 
-    `order` is unique in a model. Documents of a null model are one model; blocks without an identifier are `unknown`.
+    `order` is unique in a model, null comes first. Documents of a null model are one model; blocks without an identifier are `unknown`. Documents
+    are dealt out by ranges of model and order. A model that one task has whole is merged there, so that its blocks are
+    never written or shuffled; the models that are cut by the ranges, two a task at most, and very large ones are merged a level at a
+    time by many tasks.
     """
-    keys = ["__model", "__order"]
     rows = docs.select(_key(model).alias("__model"), F.col(order).alias("__order"), F.col(column).alias("__text"))
+    made = partial(json_trees.merged, uids=uids, lists=lists, ignored=PLACES, ordered=ordered)
+    passed = stored(json_trees.by_ranges(rows, "__model", "__order", "__text", made, "path string, n bigint, kept bigint, attributes string"))
+    # a null order joins inside a struct
+    cut = passed.where("__json IS NOT NULL").select("__model", F.struct("__order").alias("__order"), F.col("__json").alias("__text"))
+    by_levels = _merged_by_levels(cut, uids, lists, ordered).withColumn("__order", F.col("__order.__order"))
+    found = passed.where("__json IS NULL").drop("__json").unionByName(by_levels)
+    return found.select(_value("__model", docs, model).alias(model), "path", "n", "kept", F.col("__order").alias("first"), "attributes")
+
+
+def _merged_by_levels(rows: DataFrame, uids: tuple[str, ...], lists: tuple[str, ...], ordered: bool) -> DataFrame:
+    """(__model, __order, path, n, kept, attributes) of (__model, __order, __text): `merged_by_signature` with one group-by and
+    one join a level for all models at once. Stored."""
+    keys = ["__model", "__order"]
     made = partial(json_trees.blocks, uids=uids, lists=lists, ignored=PLACES, ordered=ordered)
     found = json_trees.rows(rows, keys, "__text", made, "block string, parent string, list string, at int, depth int, uid string, sig binary, own string")
     every = stored(found.withColumn("uid", F.coalesce(json_trees.plain(F.col("uid")), F.lit("unknown"))))
@@ -112,8 +127,7 @@ def merged_by_signature(docs: DataFrame, model: str, order: str, column: str, ui
     first = F.min(F.struct("__order", "places", "block"))
     groups = met.groupBy("__model", "group").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), first.alias("first"))
     base = groups.select("__model", "group", "n", "kept", F.col("first.__order").alias("__order"), F.col("first.block").alias("block")).join(every.select(*keys, "block", "own"), [*keys, "block"])
-    found = base.select(_value("__model", docs, model).alias(model), F.col("group").alias("path"), "n", "kept", F.col("__order").alias("first"), F.col("own").alias("attributes"))
-    result = stored(found)
+    result = stored(base.select(*keys, F.col("group").alias("path"), "n", "kept", F.col("own").alias("attributes")))
     dropped(every, *done)
     return result
 

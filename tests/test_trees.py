@@ -7,7 +7,9 @@ import random
 
 import pytest
 
+from marlstream.functions import json_trees
 from marlstream.operators import blocks
+from marlstream.session import stored
 
 
 def text(x):
@@ -72,6 +74,54 @@ def test_merged_by_signature(spark, seed):
     assert sorted(((x.model, x.path, x.n, x.kept, x.first, text(json.loads(x.attributes))) for x in found.collect()), key=repr) == sorted(wanted, key=repr)
 
 
+@pytest.fixture
+def not_coalesced(spark):
+    """Several tasks, however small the tables."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("held", [json_trees.HELD, 3000, 0])
+def test_models_are_merged_in_their_task_by_levels_or_cut_by_ranges(spark, monkeypatch, not_coalesced, held):
+    monkeypatch.setattr(json_trees, "HELD", held)
+    r = random.Random(held)
+    rows = [(m, i, text(block(r, 2))) for i, m in enumerate(sorted(r.choices(["a", "b", "c", "d", "e", "f", "g", "h", "large"], [1] * 8 + [8], k=90)))]
+    rows += [(m, 100 + i, t) for i, (m, _, t) in enumerate(r.sample(rows, 20))]
+    found = blocks.merged_by_signature(spark.createDataFrame(r.sample(rows, len(rows)), "model string, no int, content string"), "model", "no", "content")
+    wanted = [(model, *x) for model in {m for m, _, _ in rows} for x in merged([((no,), json.loads(t)) for m, no, t in rows if m == model])]
+    assert sorted((x.model, x.path, x.n, x.kept, x.first, text(json.loads(x.attributes))) for x in found.collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "string", "decimal(20,3)", "date"])
+def test_identifiers_and_attributes_are_the_same_in_a_task_and_by_levels(spark, monkeypatch, kind):
+    uids = ["1", "1e3", "1.50", "-0", "1e12", "true", '"true"', '"1"', '"a/blocks:b"', '"\\u00e9\\""', '""', "null", "[]", "{}", "0.0000001"]
+    inner = ",".join(f'{{"uid":{u},"id":{i},"x":[1e3,{{"index":1}}]}}' for i, u in enumerate(uids))
+    outer = ",".join(f'{{"schema":[{inner}],"uid":{u}}}' for u in [*uids, '"a"', '"a"'])
+    texts = [f'{{"blocks":[{outer},[{{"blocks":[{{}}]}}]],"more":{{"blocks":[{{}}]}}}}', f'{{"blocks":[{inner}],"schema":[{inner}]}}', f"[{outer}]", "7", '{"blocks":{}}']
+    docs = spark.createDataFrame([(m, f"2020-01-0{i + 1}" if i else None, t) for m in range(4) for i, t in enumerate(texts[m % 2 :])], "model int, no string, content string")
+    made = {"decimal(20,3)": "replace(no, '-', '')"}.get(kind, "no")
+    docs = docs.selectExpr("model", f"cast({made} AS {kind}) AS no", "content")
+    found = []
+    for held in (json_trees.HELD, 0):
+        monkeypatch.setattr(json_trees, "HELD", held)
+        frame = blocks.merged_by_signature(docs, "model", "no", "content")
+        assert frame.schema["first"].dataType == docs.schema["no"].dataType
+        found.append(sorted(map(tuple, frame.collect()), key=repr))
+    assert len(found[0]) > 100 and found[0] == found[1] and {m for m, path, _, _, first, _ in found[0] if path == "" and first is None} == {0, 1, 2, 3}
+
+
+def test_blocks_of_models_that_a_task_has_whole_are_not_written(spark, monkeypatch):
+    content = text({"uid": "r", "blocks": [{"uid": f"u{i % 3}", "id": i} for i in range(50)]})
+    docs = spark.createDataFrame([(m, i, content) for m in range(40) for i in range(5)], "model int, no int, content string")
+    written = []
+    monkeypatch.setattr(blocks, "stored", lambda df: (written.append((found := stored(df)).count()), found)[1])
+    found = blocks.merged_by_signature(docs, "model", "no", "content").collect()
+    assert {(x.path, x.n, x.kept) for x in found} == {("", 5, 1), ("blocks:u0", 17, 1), ("blocks:u1", 17, 1), ("blocks:u2", 16, 1)} and len(found) == 40 * 4
+    # all 40 models have 10,200 blocks, the two at the ends of the one task 510
+    assert sum(written) < 2000
+
+
 def test_signatures_of_order_and_place(spark):
     same = ['{"uid":"a","id":1,"l":[1,2]}', '{"l":[1,2],"id":2,"index":9,"uid":"a"}']
     other = ['{"uid":"a","l":[2,1]}', '{"uid":"a","l":["1",2]}', '{"uid":"a","l":[1,2],"m":null}', '{"uid":"a","l":[[1,2]]}', '{"uid":"a","l":{"0":1,"1":2}}']
