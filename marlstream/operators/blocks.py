@@ -2,7 +2,8 @@
 
 Every object, array and value of every document is a row that knows its parent. Signatures go from the leaves up and merges
 from the root down, each with one group-by and one join a level, however many documents there are; nothing is collected:
-what a node's children add up to is a sum of hashes, which Spark combines before it shuffles.
+what a node's children add up to is a sum of hashes, which Spark combines before it shuffles. Blocks of a model whose
+documents one task has are merged in that task.
 """
 
 from __future__ import annotations
